@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +42,13 @@ def save_vectors(vectors: DataFrame, path: str, model: str) -> None:
 def build_vectors(tokens: DataFrame, embed) -> DataFrame:
     """token, vec of the distinct tokens: embed() gives a model on a worker, which maps lists of tokens to vectors, in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821, UP037
-        import pandas as pd
-
+    def run(batches):
         model = embed()
         for tokens in batches:
             yield pd.Series([list(map(float, v)) for v in model(tokens.tolist())])
 
-    run.__annotations__ = {}
-    return tokens.select("token").distinct().select("token", run("token").alias("vec"))
+    vec = F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)
+    return tokens.select("token").distinct().select("token", vec("token").alias("vec"))
 
 
 def write_baseline(measured: DataFrame, path: str, epsilon: float = 0.02) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The shares of the mix.
 FAN_RATIO, FAILING, HEALTHY, NOISE_EMPTY, CLICKS = 0.02, 0.12, 0.75, 0.30, 0.35
-KINDS = ("프라이팬", "블루투스 이어폰", "물티슈", "도넛", "백팩", "텀블러", "운동화", "충전기")
+KINDS = ("커튼", "텐트", "우산", "책상", "조명", "텀블러", "운동화", "충전기")
 QUALITIES = ("경량", "대용량", "무선", "프리미엄", "접이식", "미니", "방수", "국산")
 FAN = "아이돌 팬 미팅 굿즈"
 
