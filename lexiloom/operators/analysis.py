@@ -27,6 +27,9 @@ class Tokenizer(ABC):
     @abstractmethod
     def morphemes(self, text: Column, whole_words: dict[str, str]) -> Column: ...
 
+    def content_forms(self, text: Column, whole_words: dict[str, str]) -> Column | None:
+        return None
+
 
 def default_tag(form: Column) -> Column:
     """Numbers SN, Latin words SL, Han SH, all else NNG."""
@@ -44,15 +47,23 @@ class RegexTokenizer(Tokenizer):
     lexicon: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
     longest: bool = False
 
-    def morphemes(self, text: Column, whole_words: dict[str, str]) -> Column:
+    def _surfaces(self, text: Column, whole_words: dict[str, str]) -> Column:
         text = F.lower(text)
         if whole_words or (self.longest and self.lexicon):
             known = sorted({*whole_words, *(self.lexicon if self.longest else ())}, key=lambda w: (-len(w), w))
             bound = {w: re.match(r"[\w]", w) and not re.search(r"[가-힣぀-ヿ一-鿿]", w) for w in known}
             words = "|".join((rf"(?<![\p{{L}}\p{{N}}])\Q{w}\E(?![\p{{L}}\p{{N}}])" if bound[w] else rf"\Q{w}\E") for w in known)
-            surfaces = F.regexp_extract_all(text, F.lit(rf"(?:{words})|[\p{{L}}\p{{N}}]+?(?={words})|[\p{{L}}\p{{N}}]+" if not all(bound.values()) else rf"(?:{words})|[\p{{L}}\p{{N}}]+"), F.lit(0))
-        else:
-            surfaces = F.filter(F.split(text, SEPARATOR), lambda s: s != "")
+            return F.regexp_extract_all(text, F.lit(rf"(?:{words})|[\p{{L}}\p{{N}}]+?(?={words})|[\p{{L}}\p{{N}}]+" if not all(bound.values()) else rf"(?:{words})|[\p{{L}}\p{{N}}]+"), F.lit(0))
+        return F.filter(F.split(text, SEPARATOR), lambda s: s != "")
+
+    def content_forms(self, text: Column, whole_words: dict[str, str]) -> Column | None:
+        """Lower-case content forms without their tags, where every tag is a content word's; else None."""
+        if self.lexicon or not all(re.match(CONTENT_TAGS, tag) for tag in whole_words.values()):
+            return None
+        return self._surfaces(text, whole_words)
+
+    def morphemes(self, text: Column, whole_words: dict[str, str]) -> Column:
+        surfaces = self._surfaces(text, whole_words)
         if not self.lexicon and not whole_words:
             return F.transform(surfaces, lambda s: F.struct(s.alias("form"), default_tag(s).alias("tag")))
         entries = {s: m for s, m in self.lexicon.items()} | {w: [(w, tag)] for w, tag in whole_words.items()}
@@ -116,7 +127,18 @@ class Analyzer:
         return tokens
 
     def tokens(self, text: Column | str) -> Column:
-        return F.transform(self.explain(text), lambda t: t["form"])
+        """The forms of explain(); where tags decide nothing, they aren't made."""
+        plain = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+        forms = self.tokenizer.content_forms(plain, self.config.whole_words)
+        if forms is None:
+            return F.transform(self.explain(text), lambda t: t["form"])
+        if expansions := self.config.expansion_map:
+            parts = F.create_map(*(x for w, ps in expansions.items() for x in (F.lit(w), F.array(*map(F.lit, (w, *ps))))))
+            forms = F.flatten(F.transform(forms, lambda f: F.coalesce(F.try_element_at(parts, f), F.array(f))))
+        if synonyms := {t: c for t, c in self.config.synonym_map.items() if t != c}:
+            canonical = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))
+            forms = F.transform(forms, lambda f: F.coalesce(F.try_element_at(canonical, f), f))
+        return forms
 
     def dropped(self, text: Column | str) -> Column:
         """The morphemes that the part-of-speech filter leaves out."""

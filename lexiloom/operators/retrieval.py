@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.functions.relevance import RRF_K, rrf
 from lexiloom.functions.vectors import dot, unit
@@ -20,14 +24,22 @@ def fold(ranked: DataFrame, owners: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("best", "doc_id"))).drop("best")
 
 
-def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
+#: Cells of the table of similarities, known tokens by asked tokens, that a worker may hold (8 bytes each).
+MATRIX_CELLS = 8_000_000
+
+
+def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, cells: int = MATRIX_CELLS) -> DataFrame:
     """query, doc_id, score: the mean over the query's known tokens, repeats counted, of the greatest cosine to a known token of the document.
 
-    queries(query, tokens), docs(doc_id, tokens). Similarities are made between distinct tokens, not within each
-    document; the result meets the documents' distinct tokens by an equality join.
+    queries(query, tokens), docs(doc_id, tokens). Similarities are made between distinct tokens once. If their table
+    has at most `cells` cells, each task looks documents up in it, in Arrow batches and without a shuffle; a larger one
+    meets the documents' distinct tokens by an equality join.
     """
     known = vectors.select("token", unit("vec").alias("u")).where("u is not null")
     q = queries.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token", "left_semi")
+    n_known, n_asked = known.count(), q.select("token").distinct().count()
+    if n_known * max(n_asked, 1) <= cells:
+        return _maxsim_by_table(queries, docs, known.collect(), q.collect())
     asked = q.select("token").distinct().join(known, "token").select(F.col("token").alias("q"), F.col("u").alias("uq"))
     d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
     present = known.join(d.select("token").distinct(), "token", "left_semi")
@@ -38,6 +50,35 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame
     return joined.join(total, "query").select("query", "doc_id", F.round(F.col("s") / 1e9 / F.col("n"), 6).alias("score"))
 
 
+def _maxsim_by_table(queries: DataFrame, docs: DataFrame, known: list, asked: list) -> DataFrame:
+    """maxsim() with the vectors and the queries' tokens at hand."""
+    at = {r.token: i for i, r in enumerate(known)}
+    terms = sorted({r.token for r in asked})
+    keys = sorted({r["query"] for r in asked}, key=str)
+    column, row = {t: i for i, t in enumerate(terms)}, {k: i for i, k in enumerate(keys)}
+    times = np.zeros((len(terms), len(keys)))
+    for r in asked:
+        times[column[r.token], row[r["query"]]] = r.times
+    unit_vectors = np.array([r.u for r in known]).reshape(len(known), -1)
+    sims = unit_vectors @ unit_vectors[[at[t] for t in terms]].T if terms else np.zeros((len(known), 0))
+    schema = StructType([queries.schema["query"], docs.schema["doc_id"], StructField("score", DoubleType())])
+    wanted = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            ids, found, scores = batch.column(0), [], []
+            for i, tokens in enumerate(batch.column(1).to_pylist()):
+                rows = [at[t] for t in set(tokens) if t in at]
+                if rows and keys:
+                    best = sims[rows].max(0)
+                    found.append(i)
+                    scores.append(np.round(np.rint(best[:, None] * times * 1e9).sum(0) / 1e9 / times.sum(0), 6))
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys * n, wanted.field(0).type), ids.take(pa.array(np.repeat(np.array(found, np.int64), len(keys)))), pa.array(np.concatenate(scores) if n else np.zeros(0))], schema=wanted)
+
+    return docs.select("doc_id", "tokens").mapInArrow(run, schema)
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     return scored.select("query", "doc_id", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")).alias("rank"))
 

@@ -122,7 +122,7 @@ def evaluation_set(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     An answerable passage's anchor, its rarest long term, is a healthy query; with a q before it, a failing one.
     """
     docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    found = docs.join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    found = docs.join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", F.col("passage"))).select("item_id", "doc_id").cache()  # the few documents that hold a passage
     words = items.join(found.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.explode(F.array_distinct(Analyzer().tokens("text"))).alias("term")).where(F.char_length("term") >= 5)
     df = engine(spark, sf_dir).index.postings.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     anchors = words.join(df, "term").withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))).where("rn = 1").select("item_id", "term")
@@ -130,7 +130,7 @@ def evaluation_set(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     failing = anchors.where("item_id % 2 = 0").select("item_id", F.concat(F.lit("q"), "term").alias("query"), F.lit("spelling_variant").alias("family"))
     named = healthy.unionByName(failing).cache()  # a few rows a passage
     queries = named.groupBy("query").agg(F.min("family").alias("family")).withColumn("expected_patch_kinds", F.array(F.lit("synonym_group")))
-    return queries, named.join(found, "item_id").select("query", "doc_id", F.lit(2).alias("grade")).distinct(), anchors
+    return queries, named.join(found, "item_id").select("query", "doc_id", F.lit(2).alias("grade")).distinct().cache(), anchors
 
 
 def patches(spark, sf_dir, anchors: DataFrame) -> tuple[Prescription, Prescription]:

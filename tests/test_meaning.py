@@ -94,9 +94,10 @@ def queries(spark, *rows):
     return spark.createDataFrame(rows, "query string, tokens array<string>")
 
 
-def test_maxsim_keeps_repeated_query_tokens(spark, table):
+@pytest.mark.parametrize("cells", [0, 10**6])
+def test_maxsim_keeps_repeated_query_tokens(spark, table, cells):
     docs = spark.createDataFrame([("d1", ["a", "x"]), ("d2", ["c"]), ("d3", ["x"])], "doc_id string, tokens array<string>")
-    got = {r.doc_id: r.score for r in maxsim(queries(spark, ("q", ["a", "a", "b", "unknown"])), docs, table).collect()}
+    got = {r.doc_id: r.score for r in maxsim(queries(spark, ("q", ["a", "a", "b", "unknown"])), docs, table, cells).collect()}
     assert got == {"d1": pytest.approx((1 + 1 + 0.8) / 3, abs=1e-6), "d2": pytest.approx(0.2, abs=1e-6)}
 
 
