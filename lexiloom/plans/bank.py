@@ -392,14 +392,17 @@ def str_jamo_similarity(spark, sf_dir):
     return spark.createDataFrame(KOREAN_PAIRS, "a string, b string").select("a", "b", F.round(jamo.jamo_similarity("a", "b"), 3).alias("similarity"))
 
 
-VECTORS_SQL = "vec as (select f.term as token, e.embedding::double[] as v from (select term, row_number() over (order by df desc, term) - 1 as i from (select term, df from df order by df desc, term limit 500)) f join embeddings e on e.vec_id = f.i)"
+VECTORS_SQL = "vec as (select f.term as token, list_transform(list_zip(e.embedding, g.embedding), lambda s: s[1]::double + s[2]::double) as v from (select term, row_number() over (order by df desc, term) - 1 as i from (select term, df from df order by df desc, term limit 500)) f join embeddings e on e.vec_id = f.i join embeddings g on g.vec_id = f.i - f.i % 2)"
 
 
 def token_vectors(spark, sf_dir) -> DataFrame:
-    """A vector for each of the 500 most frequent terms: a stand-in for an embedding model's cache of its vocabulary."""
+    """A vector for each of the 500 most frequent terms: a stand-in for an embedding model's cache of its vocabulary. Two terms in a row share a part, so they are near."""
     top = engine(spark, sf_dir).index.doc_freq().orderBy(F.desc("df"), "term").limit(500)
     numbered = top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("vec_id"))
-    return numbered.join(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("term").alias("token"), F.col("embedding").cast("array<double>").alias("vec"))
+    given = table(spark, sf_dir, "embeddings")
+    shared = given.select((F.col("vec_id")).alias("even"), F.col("embedding").alias("part"))
+    both = numbered.join(given, "vec_id").withColumn("even", F.col("vec_id") - F.pmod("vec_id", F.lit(2))).join(shared, "even")
+    return both.select(F.col("term").alias("token"), F.zip_with("embedding", "part", lambda x, y: x.cast("double") + y.cast("double")).alias("vec"))
 
 
 PROBES_SQL = "probes as (select query as probe from evalq where family is not null)"
@@ -440,14 +443,16 @@ def doc_rule_variant(spark, sf_dir):
     return similar.rule_variant(rule_input(spark, sf_dir)).select("query", F.array_join("synonyms", " ").alias("synonyms"))
 
 
-@query(f"{RULES_SQL}, pre as (select p.probe[2:] as probe, b.token, b.similarity, b.position from best b join probes p on p.probe = b.probe) select query, word, parts from (select probe as query, token as word, case when suffix(token, probe) then token[:length(token) - length(probe)] || ' ' || probe else probe || ' ' || token[length(probe) + 1:] end as parts, row_number() over (partition by probe order by position) as rn from pre where length(probe) >= 2 and length(token) > length(probe) and (suffix(token, probe) or prefix(token, probe))) where rn = 1")
+@query(f"with {index_sql()}, probes as (select distinct w as probe from (select unnest({WORDS.format('text')}) as w from benchmark where item_id % 50 = 0)), {SPELLED_SQL}, near as (select *, row_number() over (partition by probe order by similarity desc, token) as position from spelled) select query, word, parts from (select probe as query, token as word, case when suffix(token, probe) then token[:length(token) - length(probe)] || ' ' || probe else probe || ' ' || token[length(probe) + 1:] end as parts, row_number() over (partition by probe order by position) as rn from near where position <= 8 and length(probe) >= 2 and length(token) > length(probe) and (suffix(token, probe) or prefix(token, probe))) where rn = 1")
 def doc_rule_compound(spark, sf_dir):
-    """The probe without its first letter stands for a part of a compound."""
-    rows = rule_input(spark, sf_dir).withColumn("probe", F.expr("substring(probe, 2)")).withColumn("query", F.col("probe"))
-    return similar.rule_compound(rows).select("query", "word", F.array_join("parts", " ").alias("parts"))
+    """Words of some passages as parts of compounds."""
+    items = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0")
+    asked = items.select(F.explode(Analyzer().tokens("text")).alias("term")).distinct()
+    found = similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary()).withColumn("query", F.col("probe"))
+    return similar.rule_compound(found).select("query", "word", F.array_join("parts", " ").alias("parts"))
 
 
-@query(f"with {index_sql()}, {VECTORS_SQL}, {FREQUENT_SQL}, pos as (select *, row_number() over (partition by probe order by greatest(similarity, coalesce(vector_similarity, 0)) desc, token) as position from cut where rs <= 8 or (rv <= 8 and vector_similarity is not null)) select probe as query, 'synonym_gap' as family, token || ' ' || probe as synonyms from (select *, row_number() over (partition by probe order by position) as rn from pos where vector_similarity >= 0.6 and similarity < 0.65) where rn = 1")
+@query(f"with {index_sql()}, {VECTORS_SQL}, {FREQUENT_SQL}, pos as (select *, row_number() over (partition by probe order by greatest(similarity, coalesce(vector_similarity, 0)) desc, token) as position from cut where rs <= 8 or (rv <= 8 and vector_similarity is not null)) select probe as query, case when regexp_matches(token, '[A-Za-z]') <> regexp_matches(probe, '[A-Za-z]') then 'cross_script' else 'synonym_gap' end as family, token || ' ' || probe as synonyms from (select *, row_number() over (partition by probe order by position) as rn from pos where vector_similarity >= 0.6 and similarity < 0.65) where rn = 1")
 def doc_rule_semantic(spark, sf_dir):
     v = token_vectors(spark, sf_dir).cache()
     asked = v.select(F.col("token").alias("term")).orderBy("term").limit(20)
