@@ -27,16 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: it cuts the lineage and survives lost executors.
 
-    The files stay until the folder's owner clears it, since the returned plan reads them.
+    The path is noted in `scratch`, for cleared(); else the files stay until the folder's owner removes them, since the
+    returned plan reads them.
     """
     path = f"{shared_dir(df.sparkSession)}/lexiloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, scratch: list[str]) -> None:
+    """Removes stored tables that no plan reads any more: what was made of them must be stored itself."""
+    for path in scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
 def whole_text(text_col: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -57,13 +68,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start)
 
 
-def mapped(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | StructType, text: str | None = "text") -> DataFrame:
+def mapped(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | StructType, text: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """`make` over df's rows, in slices by the column `text` where one is named; it returns the columns of `schema` by name."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wanted = to_arrow_schema(schema)
 
     def run(batches):
-        for part in slices(batches, text) if text else batches:
+        for part in slices(batches, text, limit) if text else batches:
             cols = make(part)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for f in wanted for c in [cols[f.name]]], schema=wanted)
 
