@@ -22,14 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import column, mapped, stored, whole_text
+from lexiloom.llm.common import cleared, column, mapped, stored, whole_text
 
 WINDOW, GRAM = 35, 8
 SPAN = WINDOW - GRAM + 1
-#: Variants of a gram that one task holds as a subtree; larger groups split by longer prefixes.
-GROUP = 256
+#: Variants of a gram that one task holds as a subtree, some 3 MB of hashes; larger groups split by longer prefixes.
+GROUP = 8192
 #: Words of suffixes that a task refines at once.
 CHUNK = 400_000
+#: Bytes of text that a worker hashes at once; words and their arrays take some thirty times as much.
+SLICE = 1 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,7 +42,7 @@ def words_of(text: str) -> list[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -165,9 +167,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         of = owner[at] if len(at) else at
         return {"doc_id": column(batch, "doc_id").take(pa.array(of)), "x": column(batch, "x").take(pa.array(of)), "start": (at - begin[of]).astype(np.int32), "n": n.astype(np.int32), "m": m.view(np.int64), "s": s.view(np.int64)}
 
-    every = stored(mapped(docs.select("doc_id", "x", "text"), cut, "doc_id long, x long, start int, n int, m long, s long"), "runs")
-    twice = every.groupBy("m").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("m")
+    scratch: list[str] = []
+    every = stored(mapped(docs.select("doc_id", "x", "text"), cut, "doc_id long, x long, start int, n int, m long, s long", limit=SLICE), "runs", scratch)
+    # The stored side of the join leaves Spark free to split a frequent gram's rows over tasks.
+    twice = stored(every.groupBy("m").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("m"), "twice", scratch)
     again = stored(every.join(twice, "m"), "again")
+    cleared(docs.sparkSession, scratch)
     variants = again.groupBy("m", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "x", "start", "n")).alias("at"))
     groups = variants.groupBy("m").agg(F.count(F.lit(1)).alias("variants"))
     variants = stored(variants.join(groups, "m").select("m", "s", "c", "at.*", "variants"), "variants")
@@ -185,7 +190,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 out["words"].append(h[w["start"] : w["start"] + w["n"] + WINDOW - 1].tobytes())
         return out
 
-    contents = mapped(texts.select("text", "wanted"), fetch, "m long, s long, n int, c long, variants long, words binary")
+    contents = mapped(texts.select("text", "wanted"), fetch, "m long, s long, n int, c long, variants long, words binary", limit=SLICE)
     contents = stored(contents, "contents")
     small = contents.where(F.col("variants") <= GROUP).repartition("m").sortWithinPartitions("m", "s").mapInArrow(_grow, "m long, s long, mask long")
     suffixes = contents.where(F.col("variants") > GROUP).select("m", "s", "n", "c", "words").mapInArrow(_split, "m long, s long, c long, j int, k1 long, k2 long")
@@ -225,4 +230,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["kept"].append(b" ".join(stay).decode())
         return out | {"doc_id": column(batch, "doc_id")}
 
-    return mapped(joined, keep, "doc_id long, n_words long, n_removed long, kept string")
+    return mapped(joined, keep, "doc_id long, n_words long, n_removed long, kept string", limit=SLICE)
