@@ -490,3 +490,16 @@ def test_rank_files_are_base64(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
     assert bpe_ranks(str(path))[b"\xff"] == 255
+
+
+def test_components_follow_chains(spark):
+    rng = np.random.default_rng(12)
+    edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(100) if i % 9] + [("500", "501"), ("501", "502"), ("502", "500"), ("700", "700")]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    got = {bytes(r.node).decode(): bytes(r.label).decode() for r in near_dedup.components(spark.createDataFrame([(a.encode(), b.encode()) for a, b in edges], "a binary, b binary"), []).collect()}
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    assert got == up
