@@ -17,7 +17,7 @@ from lexiloom.operators.analysis import Analyzer, catalog_text
 from lexiloom.operators.config import AnalyzerConfig, Prescription
 from lexiloom.operators.index import Engine
 from lexiloom.plans import api, doctor, reports, scale
-from lexiloom.plans.service import ClinicService
+from lexiloom.plans.service import RepairService
 from lexiloom.sources import files, lake, search_server, synthetic
 from lexiloom.sources.store import PatchStore
 
@@ -54,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     command("diagnose", "docs", "evalset", vectors=None)
     command("heal", "docs", "evalset", vectors=None, rules="scripted", ledger=None)
     command("demo-trap", "docs", "evalset", "good", "broad")
-    command("export-es", url=None, index="clinic", docs=None)
+    command("export-es", url=None, index="lexiloom", docs=None)
     command("build-vectors", "docs", "model")
     command("build-lake", "root", docs=5000, rows=500_000, days=7)
     command("mine-logs", "root", engine="spark", min_volume=3, limit=50, since=None, until=None)
@@ -62,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
     command("rag-eval", "docs", "evalset", "knowledge", vectors=None, k=3, chunking="none")
     command("baseline", "docs", "evalset", "file", action="check")
     command("vector-probe", "vectors", "pairs")
-    command("es-verify", "docs", "evalset", "url", index="clinic")
+    command("es-verify", "docs", "evalset", "url", index="lexiloom")
     command("serve", "docs", "evalset", store=None, port=8000, protocol="http")
     return p
 
@@ -90,10 +90,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
         rows = doctor.candidate_patches(engine, queries.where("family is not null"), cache, doctor.LADDER).orderBy("query", "priority").collect()
         return reports.table(["query", "family", "patch"], [(r.query, r.family, doctor.prescription(r).summary()) for r in rows]), True
     if c == "heal":
-        done = doctor.run_clinic(engine, queries, qrels, cache, doctor.LADDER if args.rules == "ladder" else doctor.SCRIPTED)
+        done = doctor.run_repair(engine, queries, qrels, cache, doctor.LADDER if args.rules == "ladder" else doctor.SCRIPTED)
         if args.ledger:
             Path(args.ledger).write_text(files.ledger_json(files.ledger(spark, done.accepted)))
-        return reports.clinic_report(done), doctor.healthy_regressions(done, queries).isEmpty()
+        return reports.repair_report(done), doctor.healthy_regressions(done, queries).isEmpty()
     if c == "demo-trap":
         verdicts = [evaluation.run_gate(engine, queries, qrels, Prescription.from_json(Path(p).read_text()))[0] for p in (args.good, args.broad)]
         return "\n\n".join(v.feedback() for v in verdicts), [v.accepted for v in verdicts] == [True, False]
@@ -161,7 +161,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
         remote = evaluation.metrics(queries, spark.createDataFrame(hits, "query string, doc_id string, rank int"), qrels)
         diff = search_server.divergence(evaluation.evaluate(engine, queries, qrels), remote)
         return reports.divergence_report(diff, search_server.token_difference(queries, analyzer, analyzer)), diff.where("diverged").isEmpty()
-    service = ClinicService(engine, queries, qrels, store=PatchStore(spark, args.store) if args.store else None)
+    service = RepairService(engine, queries, qrels, store=PatchStore(spark, args.store) if args.store else None)
     if args.protocol == "lines":
         api.ToolProtocol(service).run()
     else:

@@ -7,7 +7,7 @@ import re
 import sys
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from lexiloom.plans.service import TOOLS, ClinicService, SessionNotFound, UnknownTool
+from lexiloom.plans.service import TOOLS, RepairService, SessionNotFound, UnknownTool
 
 #: Method, path and what it calls; {id} is a session.
 ROUTES = [
@@ -19,7 +19,7 @@ ROUTES = [
 ]
 
 
-def answer(service: ClinicService, method: str, path: str, body: dict) -> tuple[int, object]:
+def answer(service: RepairService, method: str, path: str, body: dict) -> tuple[int, object]:
     """Status and payload: 404 for absent sessions and tools, 400 for bad requests, 202 for a rejected patch."""
     for m, pattern, call in ROUTES:
         hit = re.fullmatch(pattern.replace("{id}", "([^/]+)"), path)
@@ -40,7 +40,7 @@ def answer(service: ClinicService, method: str, path: str, body: dict) -> tuple[
     return 404, {"error": "no such route"}
 
 
-def serve(service: ClinicService, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
+def serve(service: RepairService, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
     """A server that isn't started yet; call serve_forever()."""
 
     class Handler(BaseHTTPRequestHandler):
@@ -68,7 +68,7 @@ def serve(service: ClinicService, host: str = "127.0.0.1", port: int = 8000) ->
 class ToolProtocol:
     """JSON-RPC by lines: initialize, tools/list, tools/call. One session per process, opened by open_target."""
 
-    def __init__(self, service: ClinicService) -> None:
+    def __init__(self, service: RepairService) -> None:
         self.service, self.session = service, None
 
     def tools(self) -> list[dict]:

@@ -331,12 +331,12 @@ def base_diff(spark, sf_dir):
 
 
 @query()
-def harn_clinic(spark, sf_dir):
+def harn_repair(spark, sf_dir):
     """The outcome of the rule doctor on each failing query."""
-    from lexiloom.plans.doctor import run_clinic
+    from lexiloom.plans.doctor import run_repair
 
     queries, qrels, _ = evaluation_set(spark, sf_dir)
-    run = run_clinic(engine(spark, sf_dir), queries, qrels)
+    run = run_repair(engine(spark, sf_dir), queries, qrels)
     return spark.createDataFrame([(c.query, c.family, c.diagnosed, c.healed, c.attempts) for c in run.cases], "query string, family string, diagnosed string, healed boolean, attempts int")
 
 

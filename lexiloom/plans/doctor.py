@@ -68,7 +68,7 @@ class Case:
 
 
 @dataclass
-class ClinicRun:
+class RepairRun:
     cases: list[Case]
     engine: Engine
     before: DataFrame
@@ -87,7 +87,7 @@ class ClinicRun:
         }
 
 
-def run_clinic(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: DataFrame | None = None, rules: tuple[str, ...] = SCRIPTED, submits: int | None = None) -> ClinicRun:
+def run_repair(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: DataFrame | None = None, rules: tuple[str, ...] = SCRIPTED, submits: int | None = None) -> RepairRun:
     """Tries each failing query's candidates in the rules' order and keeps what the gate accepts.
 
     queries(query, family, expected_patch_kinds): failing ones have a family; an evaluation set is small, so its rows
@@ -115,10 +115,10 @@ def run_clinic(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: Da
                 now = evaluate(engine, queries, qrels).cache()
                 break
         cases.append(case)
-    return ClinicRun(cases, engine, before, now)
+    return RepairRun(cases, engine, before, now)
 
 
-def healthy_regressions(run: ClinicRun, queries: DataFrame, epsilon: float = 0.02) -> DataFrame:
+def healthy_regressions(run: RepairRun, queries: DataFrame, epsilon: float = 0.02) -> DataFrame:
     """query, metric, before, after of healthy queries whose nDCG or recall dropped over the whole run."""
     from lexiloom.operators.evaluation import compare
 
@@ -148,6 +148,6 @@ def session(executor, doctor: Callable[[list], dict], brief: str, turns: int = M
     return {"outcome": "out of turns", "transcript": transcript, "submits": used}
 
 
-def summary(run: ClinicRun) -> dict:
+def summary(run: RepairRun) -> dict:
     b, a = means(run.before).first(), means(run.after).first()
     return run.rates() | {"mean_ndcg_before": b.mean_ndcg, "mean_ndcg_after": a.mean_ndcg, "zero_rate_before": b.zero_result_rate, "zero_rate_after": a.zero_result_rate}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from lexiloom.plans.doctor import ClinicRun, summary
+from lexiloom.plans.doctor import RepairRun, summary
 from lexiloom.plans.scale import ScalePoint, cost, verdict_holds
 
 
@@ -12,11 +12,11 @@ def table(head: list[str], rows) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "-|" * len(head), *("| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows)])
 
 
-def clinic_report(run: ClinicRun) -> str:
+def repair_report(run: RepairRun) -> str:
     s = summary(run)
     rows = [(c.query, c.family, c.diagnosed, "healed" if c.healed else "open", c.attempts, c.patch.summary() if c.patch else None) for c in run.cases]
     lines = [f"- {k.replace('_', ' ')}: {v}" for k, v in s.items()]
-    return "\n".join(["# Clinic report", "", *lines, "", table(["query", "family", "diagnosis", "outcome", "attempts", "patch"], rows)])
+    return "\n".join(["# Repair report", "", *lines, "", table(["query", "family", "diagnosis", "outcome", "attempts", "patch"], rows)])
 
 
 def candidates_report(found: DataFrame) -> str:

@@ -1,4 +1,4 @@
-"""The clinic's tools and the service around them: sessions with their own configuration, restored from the store by replay."""
+"""The repair loop's tools and the service around them: sessions with their own configuration, restored from the store by replay."""
 
 from __future__ import annotations
 
@@ -120,7 +120,7 @@ class Session:
     stored: int = 0
 
 
-class ClinicService:
+class RepairService:
     """Sessions are isolated; a lock makes each one's calls sequential. Relevance judgements never leave the service."""
 
     def __init__(self, engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: DataFrame | None = None, store: PatchStore | None = None) -> None:

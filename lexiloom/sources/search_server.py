@@ -35,13 +35,13 @@ def render_settings(config: AnalyzerConfig, decompound_mode: str = "mixed") -> d
                 rules.append(term)
                 known.add(term)
     synonyms = [f"{', '.join(t for t in g.terms if t != g.canonical)} => {g.canonical}" for g in config.synonym_groups]
-    filters = ["clinic_pos", "lowercase", *(["clinic_synonyms"] if synonyms else [])]
+    filters = ["own_pos", "lowercase", *(["own_synonyms"] if synonyms else [])]
     analysis = {
-        "tokenizer": {"clinic_tokenizer": {"type": "nori_tokenizer", "decompound_mode": decompound_mode, "user_dictionary_rules": rules}},
-        "filter": {"clinic_pos": {"type": "nori_part_of_speech", "stoptags": list(STOP_TAGS)}} | ({"clinic_synonyms": {"type": "synonym", "synonyms": synonyms, "lenient": False}} if synonyms else {}),
-        "analyzer": {"clinic": {"type": "custom", "tokenizer": "clinic_tokenizer", "filter": filters}},
+        "tokenizer": {"own_tokenizer": {"type": "nori_tokenizer", "decompound_mode": decompound_mode, "user_dictionary_rules": rules}},
+        "filter": {"own_pos": {"type": "nori_part_of_speech", "stoptags": list(STOP_TAGS)}} | ({"own_synonyms": {"type": "synonym", "synonyms": synonyms, "lenient": False}} if synonyms else {}),
+        "analyzer": {"lexiloom": {"type": "custom", "tokenizer": "own_tokenizer", "filter": filters}},
     }
-    return {"settings": {"analysis": analysis}, "mappings": {"properties": {"doc_id": {"type": "keyword"}, "text": {"type": "text", "analyzer": "clinic"}}}}
+    return {"settings": {"analysis": analysis}, "mappings": {"properties": {"doc_id": {"type": "keyword"}, "text": {"type": "text", "analyzer": "lexiloom"}}}}
 
 
 def render_json(config: AnalyzerConfig, **options) -> str:
@@ -123,7 +123,7 @@ class SearchServer:
         return [(h["_id"], round(h["_score"], 4)) for h in reply["hits"]["hits"]]
 
     def analyze(self, index: str, text: str) -> list[str]:
-        return [t["token"] for t in self.request("POST", f"{index}/_analyze", {"analyzer": "clinic", "text": text}).get("tokens", [])]
+        return [t["token"] for t in self.request("POST", f"{index}/_analyze", {"analyzer": "lexiloom", "text": text}).get("tokens", [])]
 
 
 def write_documents(docs: DataFrame, server: SearchServer, index: str, batch: int = 500) -> None:

@@ -23,7 +23,7 @@ class PatchStore:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if self.jdbc:
-            return self.spark.read.jdbc(self.jdbc, f"clinic_{name}")
+            return self.spark.read.jdbc(self.jdbc, f"lexiloom_{name}")
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except Exception as e:  # noqa: BLE001
@@ -34,7 +34,7 @@ class PatchStore:
     def _append(self, name: str, row: tuple, schema: str) -> None:
         df = self.spark.createDataFrame([row], schema)
         if self.jdbc:
-            df.write.jdbc(self.jdbc, f"clinic_{name}", mode="append")
+            df.write.jdbc(self.jdbc, f"lexiloom_{name}", mode="append")
         else:
             df.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
 

@@ -10,7 +10,7 @@ from lexiloom.operators import evaluation, mining
 from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup, UserWord
 from lexiloom.plans import doctor, reports, scale
 from lexiloom.plans.api import ToolProtocol, answer, serve
-from lexiloom.plans.service import ClinicService, Executor, SessionNotFound
+from lexiloom.plans.service import RepairService, Executor, SessionNotFound
 from lexiloom.sources import files, lake, search_server, synthetic
 from lexiloom.sources.store import PatchStore
 from lexiloom.streaming.mining import start_mining
@@ -95,8 +95,8 @@ def test_baseline_files(spark, engine, evalset, tmp_path):
     assert ok.ok and "ok" in reports.baseline_report(ok, diff)
 
 
-def test_clinic_heals_spelling_variants(spark, engine, evalset):
-    run = doctor.run_clinic(engine, *evalset)
+def test_repair_heals_spelling_variants(spark, engine, evalset):
+    run = doctor.run_repair(engine, *evalset)
     got = {c.query: c for c in run.cases}
     assert got["후라이팬"].healed and got["도너츠"].healed and got["후라이팬"].patch.synonym_groups == (SynonymGroup(("프라이팬", "후라이팬")),)
     s = doctor.summary(run)
@@ -104,7 +104,7 @@ def test_clinic_heals_spelling_variants(spark, engine, evalset):
     assert doctor.healthy_regressions(run, evalset[0]).isEmpty()
     entries = files.ledger(spark, run.accepted)
     assert [r.no for r in entries.orderBy("no").collect()] == [1, 2] and json.loads(files.ledger_json(entries))[0]["evidence"]["target_ndcg"] == [0.0, 1.0]
-    assert "후라이팬" in files.ledger_markdown(entries) and "healed" in reports.clinic_report(run)
+    assert "후라이팬" in files.ledger_markdown(entries) and "healed" in reports.repair_report(run)
 
 
 def test_ladder_proposes_in_its_order(engine, evalset):
@@ -135,7 +135,7 @@ def test_tools_tell_errors(engine, evalset):
 
 @pytest.fixture
 def service(spark, engine, evalset, tmp_path):
-    return ClinicService(engine, *evalset, store=PatchStore(spark, str(tmp_path / "store")))
+    return RepairService(engine, *evalset, store=PatchStore(spark, str(tmp_path / "store")))
 
 
 def test_service_restores_sessions_by_replay(service, spark, engine, evalset):
@@ -144,7 +144,7 @@ def test_service_restores_sessions_by_replay(service, spark, engine, evalset):
     assert service.submit(key, GOOD)["content"]["accepted"]
     other = service.open("도너츠")
     assert service.describe(other)["config"]["synonym_groups"] == []
-    fresh = ClinicService(engine, *evalset, store=service.store)
+    fresh = RepairService(engine, *evalset, store=service.store)
     assert fresh.describe(key) == {"session_id": key, "target_query": "후라이팬", "patches": 1, "config": {"user_words": [], "synonym_groups": [["프라이팬", "후라이팬"]], "compound_expansions": {}}}
     assert {s["session_id"]: s["n_patches"] for s in fresh.list_sessions()} == {key: 1, other: 0}
     fresh.delete(key)
@@ -187,10 +187,10 @@ def test_tool_protocol(service):
 def test_rendered_settings():
     cfg = AnalyzerConfig((UserWord("백팩"),), (SynonymGroup(("프라이팬", "후라이팬", "pan")),), (CompoundExpansion("물티슈", ("물", "티슈")),))
     s = search_server.render_settings(cfg)
-    assert s["settings"]["analysis"]["tokenizer"]["clinic_tokenizer"]["user_dictionary_rules"] == ["백팩", "물티슈 물 티슈", "프라이팬", "후라이팬"]
-    assert s["settings"]["analysis"]["filter"]["clinic_synonyms"]["synonyms"] == ["후라이팬, pan => 프라이팬"]
+    assert s["settings"]["analysis"]["tokenizer"]["own_tokenizer"]["user_dictionary_rules"] == ["백팩", "물티슈 물 티슈", "프라이팬", "후라이팬"]
+    assert s["settings"]["analysis"]["filter"]["own_synonyms"]["synonyms"] == ["후라이팬, pan => 프라이팬"]
     assert search_server.validate_settings(s) == []
-    s["settings"]["analysis"]["tokenizer"]["clinic_tokenizer"]["user_dictionary_rules"] = []
+    s["settings"]["analysis"]["tokenizer"]["own_tokenizer"]["user_dictionary_rules"] = []
     assert len(search_server.validate_settings(s)) == 2
     assert search_server.validate_settings(search_server.render_settings(cfg, decompound_mode="none")) == []
 
