@@ -18,7 +18,7 @@ SITES = 10
 LOG_K = 12
 #: Estimates within this share of the threshold (and at least 1) count exactly.
 MARGIN = 0.08
-BLANK = r"^[\x20\x09-\x0D]*$"
+BLANK = r"\A[\x20\x09-\x0D]*\z"
 
 
 def _lines(text: Column) -> Column:
