@@ -506,6 +506,6 @@ def test_components_follow_chains(spark):
 
 
 def test_only_ascii_blanks_make_a_blank_line(spark):
-    rows = [(i, " \n\u0085\n \t\r\n\x0b", f"s{i}") for i in range(12)]
+    rows = [(i, "\u2028\n\u0085\n \t\r\n\x0b", f"s{i}") for i in range(12)]
     got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")))
     assert got[0].text == rows[0][1] and got[1].text == " \t\r\n\x0b" and got[1]["__lines"] == 2
