@@ -249,7 +249,9 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the spans of find() masked in its text; all columns and rows stay. Null texts stay null."""
-    known, model = _judged(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__given")), ["__row", "__given"], "__given")
+    # The text is stored once, beside the other columns.
+    others = F.struct(*(c for c in docs.columns if c != text_col), F.lit(None).cast("int").alias("__none"))
+    known, model = _judged(docs.select(others.alias("__row"), F.col(text_col).alias("__given")), ["__row", "__given"], "__given")
 
     def decide(batch: pa.RecordBatch) -> dict:
         spans = _accepted(model, column(batch, "found").to_pylist())
