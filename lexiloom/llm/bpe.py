@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import bpe_ranks, column, mapped, whole_text
 
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Words that a worker remembers, with their ids and those ids' bytes, in each of two generations.
+REMEMBERED = 400_000
 
 ENCODE = """
 with recursive state(w, ids) using key (w) as (
@@ -77,14 +77,14 @@ class SqlBpe:
 
 
 class Worker:
-    """What one Python worker keeps: the database, and two generations of words with their ids and of ids with their bytes."""
+    """What one Python worker keeps: the database, and two generations of words with their ids and with the bytes that these stand for."""
 
     kept: dict = {}
 
     def __init__(self, path: str, pattern: str) -> None:
         self.sql, self.split = SqlBpe(bpe_ranks(path)), regex.compile(pattern)
-        self.ids: list[dict] = [{}, {}]
-        self.bytes: list[dict] = [{}, {}]
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Worker:
@@ -92,31 +92,27 @@ class Worker:
             cls.kept[path, pattern] = cls(path, pattern)
         return cls.kept[path, pattern]
 
-    @staticmethod
-    def known(memory: list[dict], wanted: set, compute) -> dict:
-        """The wanted keys' values; those in neither generation are computed at once."""
-        young, old = memory
+    def known(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """A table that holds the wanted words; those in neither generation are encoded at once, and what comes out is decoded at once."""
         missing = []
-        for k in wanted:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    missing.append(k)
+        for w in wanted.difference(self.young):
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                missing.append(w)
         if missing:
-            young.update(zip(missing, compute(missing), strict=True))
-        if len(young) > REMEMBERED:
-            memory[:] = [{}, young]
-        return young
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
+            ids = self.sql.encode([w.encode() for w in missing])
+            self.young.update(zip(missing, zip(ids, self.sql.decode(ids), strict=True), strict=True))
+        table = self.young
+        if len(table) > REMEMBERED:
+            self.young, self.old = {}, table
+        return table
+
+    def encode_decode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         words = [self.split.findall(t) for t in texts]
-        ids = self.known(self.ids, set().union(*words), lambda missing: self.sql.encode([w.encode() for w in missing]))
-        return [[ids[w] for w in ws] for ws in words]
-
-    def decode(self, groups: list[list[bytes]]) -> list[bytes]:
-        got = self.known(self.bytes, set().union(*groups), self.sql.decode)
-        return [b"".join([got[g] for g in gs]) for gs in groups]
+        table = self.known(set().union(*words))
+        both = [list(map(table.__getitem__, ws)) for ws in words]
+        return [b"".join([p[0] for p in ps]) for ps in both], [b"".join([p[1] for p in ps]) for ps in both]
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,9 +123,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
 
     def make(batch: pa.RecordBatch) -> dict:
-        worker = Worker.of(ranks_path, pattern)
-        groups = worker.encode(column(batch, "text").to_pylist())
-        ids = [b"".join(gs) for gs in groups]
-        return {"doc_id": column(batch, "doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": worker.decode(groups)}
+        ids, decoded = Worker.of(ranks_path, pattern).encode_decode(column(batch, "text").to_pylist())
+        return {"doc_id": column(batch, "doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded}
 
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), make, "doc_id long, n_tokens long, ids binary, decoded binary")
