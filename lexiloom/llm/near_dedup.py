@@ -4,10 +4,11 @@ Each element of a weighted set of word shingles sends a Poisson process of arriv
 random registers; a register keeps its first arrival, and a process ends early when its next arrival comes after every
 register's. Two texts' registers agree with the probability Jaccard similarity. Bands of registers give buckets.
 
-Equal texts are one node. A bucket's pairs aren't listed: all members are compared with one centre, similarity is
-computed exactly, and linked nodes are contracted to components. In buckets that still hold several components, the
-registers tell which nodes of other components are near, block by block of at most some BLOCK nodes; the NEAREST of
-them are compared exactly. Rounds go on until one finds no link, or ROUNDS are over.
+Equal texts are one node. All members of a bucket are compared with one centre, similarity is computed exactly, and
+linked nodes are contracted to components. Crowded buckets of several components get further centres, the nodes nearest
+to their modal registers, while these link many. Last, wherever a bucket still holds several components, the registers
+of all its pairs of two components are compared, block by block, and every pair that is LIKELY is compared exactly
+unless links join it already.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +27,12 @@ from lexiloom.llm.common import cleared, column, mapped, stored, whole_text
 SHINGLE, SIMILARITY = 5, 0.8
 #: 1 - (1 - 0.8 ** 5) ** 30: of pairs at the threshold about 7 in a million share no bucket.
 BANDS, ROWS = 30, 5
-#: Nodes of a bucket whose registers meet in one piece of work; candidates of a node there, best first.
-BLOCK, NEAREST = 1024, 2
+#: Nodes and bytes of text in a block of a bucket; each two blocks are one piece of work.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Equal registers from which on a pair is a candidate: over four standard errors below the threshold.
 LIKELY = 0.65
-#: Rounds at most, the first included.
-ROUNDS = 3
+#: Nodes from which on a bucket of several components gets further centres, and rows that tell its modal registers.
+CROWD, MODAL = 64, 1024
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -104,32 +106,108 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / ((rest_x + above[i]) / x + (rest_y + below[i]) / y)).sum()))
 
 
-def _candidates(batches):
-    """Pairs of nodes of two components with LIKELY equal registers or more, from rows sorted by (key, block); a node's NEAREST only."""
-
-    def of(nodes: list[bytes], labels: list[bytes], sig: np.ndarray) -> list[tuple[bytes, bytes]]:
-        own = np.unique(np.array(labels, "V16"), return_inverse=True)[1].ravel()
-        out = set()
-        for i in range(0, len(nodes), 64):
-            part = sig[i : i + 64]
-            near = (part[:, None, :] == sig[None, :, :]).sum(2).astype(np.int32)
-            near[own[i : i + 64, None] == own[None, :]] = -1
-            k = min(NEAREST, len(nodes) - 1)
-            best = np.argpartition(-near, k, axis=1)[:, :k]
-            for r, c in zip(*np.nonzero(np.take_along_axis(near, best, 1) >= LIKELY * sig.shape[1]), strict=True):
-                a, b = nodes[i + r], nodes[best[r, c]]
-                out.add((min(a, b), max(a, b)))
-        return sorted(out)
+def _groups(batches, by: int, names: tuple[str, ...]):
+    """Lists of rows that agree in the first `by` columns, from rows sorted by them."""
 
     def rows():
         for batch in batches:
-            yield from zip(*(column(batch, c).to_pylist() for c in ("key", "block", "node", "label", "sig")), strict=True)
-
-    for _, group in itertools.groupby(rows(), lambda r: r[:2]):
-        held = list(group)
-        pairs = of([r[2] for r in held], [r[3] for r in held], np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1)) if len(held) > 1 else []
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["centre", "node"])
+            yield from zip(*(column(batch, c).to_pylist() for c in names), strict=True)
+
+    for _, group in itertools.groupby(rows(), lambda r: r[:by]):
+        yield list(group)
+
+
+class _Block:
+    """Nodes of one bucket, of two of its blocks or of one."""
+
+    def __init__(self, key: int, blocks: list[int], labels: list[bytes], sig: list[bytes], keys: list[bytes]) -> None:
+        self.own = np.unique(np.array(labels, "V16"), return_inverse=True)[1].ravel()
+        self.sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), 2, -1)
+        self.keys = np.frombuffer(b"".join(keys), np.int64).reshape(len(keys), 2, -1)
+        self.band = int(np.argwhere(self.keys[0] == key)[0, 1])
+        order, side = np.argsort(self.own, kind="stable"), np.array(blocks)
+        self.one = bool((side == side[0]).all())
+        self.rows = order[side[order] == side[0]]
+        self.cols = self.rows if self.one else order[side[order] != side[0]]
+
+    def likely(self):
+        """Arrays of rows and columns of LIKELY pairs of two components, best first in each; a pair only in the first band that it shares."""
+        of_cols, many = self.own[self.cols], bool((self.sig[:, 0] != self.sig[:, 1]).any())
+        for i in range(0, len(self.rows), 64):
+            rows = self.rows[i : i + 64]
+            if self.one:
+                cols = self.cols[np.searchsorted(of_cols, self.own[rows[0]], "right") :]
+            else:
+                cols = self.cols[of_cols != self.own[rows[0]]] if self.own[rows[0]] == self.own[rows[-1]] else self.cols
+            if not len(cols):
+                continue
+            near = np.zeros((len(rows), len(cols)), np.uint8)
+            for kind in range(1 + many):
+                found = np.zeros_like(near)
+                for x, y in zip(self.sig[rows, kind].T, np.ascontiguousarray(self.sig[cols, kind].T), strict=True):
+                    found += (x[:, None] == y[None, :]).view(np.uint8)
+                np.maximum(near, found, out=near)
+            a, b = self.own[rows, None], self.own[None, cols]
+            r, c = np.nonzero((near >= LIKELY * self.sig.shape[2]) & ((a < b) if self.one else (a != b)))
+            r, c = (v[np.argsort(-near[r, c].astype(int), kind="stable")] for v in (r, c))
+            r, c = rows[r], cols[c]
+            before = self.keys[:, :, : self.band]
+            again = np.zeros(len(r), bool)
+            for x, y in ((0, 0), (0, 1), (1, 0), (1, 1))[: 4 if many else 1]:
+                again |= (before[r, x] == before[c, y]).any(1)
+            yield r[~again], c[~again]
+
+
+def _involved(batches):
+    """The nodes of LIKELY pairs of two components, from rows sorted by (key, low, high)."""
+    for held in _groups(batches, 3, ("key", "low", "high", "block", "node", "label", "sig", "keys")):
+        hit = np.zeros(len(held), bool)
+        if len(held) > 1:
+            for r, c in _Block(held[0][0], *([h[i] for h in held] for i in (3, 5, 6, 7))).likely():
+                hit[r] = hit[c] = True
+        if hit.any():
+            out = [held[i] for i in np.flatnonzero(hit)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "low", "high", "block", "node"])
+
+
+def _joined(batches):
+    """Links a, b between the components of LIKELY pairs, from rows sorted by (key, low, high): every pair is compared exactly unless links join it by then."""
+    for held in _groups(batches, 3, ("key", "low", "high", "block", "node", "label", "sig", "keys", "text")):
+        block = _Block(held[0][0], *([h[i] for h in held] for i in (3, 5, 6, 7)))
+        root, sets, a, b = list(range(len(held))), {}, [], []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = shingles(held[i][8])
+            return sets[i]
+
+        for rows, cols in block.likely():
+            for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+                x, y = top(int(block.own[r])), top(int(block.own[c]))
+                if x != y and similarity(of(r), of(c)) >= SIMILARITY:
+                    root[x] = y
+                    a.append(held[r][4])
+                    b.append(held[c][4])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _modes(batches):
+    """A bucket's most frequent value of each register, from rows sorted by key."""
+    for held in _groups(batches, 1, ("key", "sig")):
+        sig = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(len(held), -1)
+        mode = np.array([np.bincount(v, minlength=256).argmax() for v in sig.T], np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([mode.tobytes()])], names=["key", "mode"])
+
+
+def _nearness(batch: pa.RecordBatch) -> dict:
+    sig, mode = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "mode"))
+    return {"key": column(batch, "key"), "node": column(batch, "node"), "near": (sig == mode).sum(1).astype(np.int32)}
 
 
 def components(edges: DataFrame, scratch: list[str]) -> DataFrame:
@@ -175,13 +253,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sketch(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in column(batch, "text").to_pylist()]
         sig = signatures(sets)
-        keys = bands(sig).tolist()
-        return {"node": column(batch, "node"), "doc_id": column(batch, "doc_id"), "keys": [k if len(s[0]) else [] for k, s in zip(keys, sets, strict=True)], "sig": [r.tobytes() for r in (_mix(sig) & np.uint64(255)).astype(np.uint8)]}
+        both = np.stack([sig, sig], 1)
+        keys = bands(both.reshape(-1, BANDS * ROWS)).reshape(len(sets), -1)
+        return {"node": column(batch, "node"), "doc_id": column(batch, "doc_id"), "buckets": [np.unique(k) if len(s[0]) else [] for k, s in zip(keys, sets, strict=True)], "keys": [k.tobytes() for k in keys], "sig": [r.tobytes() for r in (_mix(both) & np.uint64(255)).astype(np.uint8)], "bytes": pc.binary_length(column(batch, "text")).cast(pa.int64())}
 
     scratch: list[str] = []
-    sketches = mapped(rows, sketch, "node binary, doc_id long, keys array<long>, sig binary")
-    nodes = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")), "nodes", scratch)
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    sketches = mapped(rows, sketch, "node binary, doc_id long, buckets array<long>, keys binary, sig binary, bytes long")
+    nodes = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("buckets", "keys", "sig", "bytes"))), "nodes", scratch)
+    members = nodes.select("node", F.explode("buckets").alias("key"))
     # Stored sides of joins leave Spark free to split a large bucket's rows over tasks.
     shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("key", "centre"), "shared", scratch)
     members = stored(members.join(shared, "key"), "members", scratch)  # of buckets of two nodes or more
@@ -191,19 +270,38 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = stored(_verified(tested, texts), "links", scratch)
     labels = components(links, scratch)
     members = members.where("node != centre").select("key", "node")  # a first centre has been compared with all of its bucket
-    for turn in range(1, ROUNDS):
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-        several = stored(several.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several", scratch)
-        members = stored(named.join(several, "key").select("key", "node", "label", F.pmod(F.xxhash64("node", F.lit(turn)), "blocks").alias("block")), "members", scratch)
-        dealt = members.join(nodes.select("node", "sig"), "node").select("key", "block", "node", "label", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
-        pairs = dealt.mapInArrow(_candidates, "centre binary, node binary").distinct()
-        pairs = stored(pairs.join(tested, ["centre", "node"], "left_anti"), "tested", scratch)
+
+    def several(of: DataFrame, least: int, name: str) -> DataFrame:
+        """The members of buckets of several components and at least so many nodes, with labels, registers, and the bucket's nodes and bytes."""
+        named = of.join(labels, "node", "left").join(nodes.select("node", "sig", "keys", "bytes"), "node").select("key", "node", F.coalesce("label", "node").alias("label"), "sig", "keys", "bytes")
+        held = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).where((F.col("low") != F.col("high")) & (F.col("n") >= least))
+        held = stored(held.select("key", "n", "size"), "several", scratch)
+        return stored(named.join(held, "key"), name, scratch)
+
+    rest = members
+    while not (crowd := several(rest, CROWD, "crowd")).isEmpty():
+        sample = crowd.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MODAL)) == 0).select("key", F.substring("sig", 1, BANDS * ROWS).alias("sig"))
+        modes = stored(sample.repartition("key").sortWithinPartitions("key").mapInArrow(_modes, "key long, mode binary"), "modes", scratch)
+        near = mapped(crowd.select("key", "node", F.substring("sig", 1, BANDS * ROWS).alias("sig")).join(modes, "key"), _nearness, "key long, node binary, near int", None)
+        centres = stored(near.groupBy("key").agg(F.max(F.struct("near", "node"))["node"].alias("centre")), "centres", scratch)
+        met = crowd.join(centres, "key").where("node != centre").select("key", "centre", "node")
+        pairs = stored(met.select("centre", "node").distinct().join(tested, ["centre", "node"], "left_anti"), "tested", scratch)
         found = stored(_verified(pairs, texts), "links", scratch)
-        if found.isEmpty():
-            break
-        tested, links, members = tested.unionByName(pairs), links.unionByName(found), members.select("key", "node")
+        tested, links, n = tested.unionByName(pairs), links.unionByName(found), found.count()
         labels = components(links, scratch)
+        if n < 0.1 * pairs.count():
+            break
+        named = met.join(labels, "node", "left").join(labels.select(F.col("node").alias("centre"), F.col("label").alias("its")), "centre", "left")
+        rest = stored(named.where("label is null or its is null or label != its").select("key", "node"), "members", scratch)
+    left = several(members, 2, "left")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES))
+    dealt = left.select("key", "node", "label", "sig", "keys", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    piece = ["key", "low", "high"]
+    hit = dealt.select(*piece, "block", "node", "label", "sig", "keys").repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_involved, "key long, low long, high long, block long, node binary")
+    hit = stored(hit, "likely", scratch).join(left.select("key", "node", "label", "sig", "keys"), ["key", "node"]).join(texts, "node")
+    found = stored(hit.select(*piece, "block", "node", "label", "sig", "keys", "text").repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_joined, "a binary, b binary"), "links", scratch)
+    labels = components(links.unionByName(found), scratch)
     label = nodes.select("node", "least", "copies").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
     classes = label.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     of = stored(label.select("node", "label").join(classes, "label").select("node", "class_id", "class_size"), "classes")

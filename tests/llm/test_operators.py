@@ -320,6 +320,52 @@ def test_chains_and_groups_of_edited_copies(spark):
     assert [got[i].class_id for i in range(len(texts))] == plain_classes(texts)
 
 
+def star(n, seed=7):
+    """Copies of a text with 7 or 8 of its words changed, each like the text but hardly like each other, and the text among them."""
+    rng = np.random.default_rng(seed)
+    base = [f"s{i}" for i in range(400)]
+    texts = []
+    for i in range(n):
+        w = base[:]
+        for at in rng.choice(79, 7 + i % 2, replace=False):
+            w[at * 5 + 2] = f"c{i}x{at}"
+        texts.append(" ".join(w))
+    texts.insert(n // 3, " ".join(base))
+    return texts
+
+
+def family(pairs, seed=8):
+    """Texts of one template, just too unlike each other but for pairs."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(2000)]
+    texts = []
+    for i in range(pairs):
+        at = rng.choice(399, 48, replace=False)
+        for own in (at[6:27], at[27:48]):
+            w = base[:]
+            for j in at[:6]:
+                w[j * 5 + 2] = f"p{i}x{j}"
+            for j in own:
+                w[j * 5 + 2] = f"o{i}x{j}x{own[0]}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_a_large_star_of_edited_copies_is_one_class(spark):
+    texts = star(10_000)
+    middle = near_dedup.shingles(texts[10_000 // 3])
+    assert all(near_dedup.similarity(middle, near_dedup.shingles(t)) >= 0.8 for t in texts)  # so brute force joins all
+    got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert collections.Counter(r.class_id for r in got) == {0: len(texts)}
+
+
+def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    texts = family(20)
+    got = by_id(near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].class_id for i in range(len(texts))] == plain_classes(texts)
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(6)
     e = rng.integers(1, 1 << 62, 400).astype(np.uint64)
