@@ -359,6 +359,14 @@ def test_a_large_star_of_edited_copies_is_one_class(spark):
     assert collections.Counter(r.class_id for r in got) == {0: len(texts)}
 
 
+def test_pairs_inside_a_template_family_are_found(spark):
+    texts = family(150)
+    got = by_id(near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = plain_classes(texts)
+    assert len(set(want)) == 150  # brute force joins the pairs and nothing else
+    assert [got[i].class_id for i in range(len(texts))] == want
+
+
 def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     texts = family(20)
