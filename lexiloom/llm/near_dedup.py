@@ -253,7 +253,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sketch(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in column(batch, "text").to_pylist()]
         sig = signatures(sets)
+        # Registers by counts, then those by distinct shingles, which differ where a shingle repeats.
         both = np.stack([sig, sig], 1)
+        repeats = [i for i, (_, n) in enumerate(sets) if len(n) and n.max() > 1]
+        both[repeats, 1] = signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in repeats])
         keys = bands(both.reshape(-1, BANDS * ROWS)).reshape(len(sets), -1)
         return {"node": column(batch, "node"), "doc_id": column(batch, "doc_id"), "buckets": [np.unique(k) if len(s[0]) else [] for k, s in zip(keys, sets, strict=True)], "keys": [k.tobytes() for k in keys], "sig": [r.tobytes() for r in (_mix(both) & np.uint64(255)).astype(np.uint8)], "bytes": pc.binary_length(column(batch, "text")).cast(pa.int64())}
 

@@ -367,6 +367,18 @@ def test_pairs_inside_a_template_family_are_found(spark):
     assert [got[i].class_id for i in range(len(texts))] == want
 
 
+def test_a_line_repeated_many_times_hides_no_copy(spark):
+    texts = []
+    for i in range(12):
+        words = " ".join(f"d{i}x{j}" for j in range(200))
+        line = " ".join(f"l{i}x{j}" for j in range(10))
+        texts += [words, words + f" {line}" * (10, 20, 60)[i % 3]]
+    got = by_id(near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = plain_classes(texts)
+    assert len(set(want)) == 12
+    assert [got[i].class_id for i in range(len(texts))] == want
+
+
 def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     texts = family(20)
