@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from lexiloom.llm import line_dedup, near_dedup, pii, quality
+from tests.llm.test_operators import family, star
 
 
 @pytest.fixture(scope="module")
@@ -74,5 +75,13 @@ def test_run_equals_the_stages(spark, folder):
     assert a.count() > 300 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_of_a_star_and_of_each_pair_in_a_family_one_document_stays(spark, folder):
+    texts = star(10_000) + family(150)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], spark.read.parquet(f"{folder}/documents.parquet").schema)
+    stay = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, folder).select("doc_id").collect())
+    # star() and family() are compared with brute force in test_operators; a family's pairs are neighbours.
+    assert stay == [0, *range(10_001, 10_301, 2)]
+
+
 def test_thresholds_are_the_production_ones():
     assert (line_dedup.SITES, near_dedup.SIMILARITY, near_dedup.SHINGLE, quality.CUT) == (10, 0.8, 5, 0.7)
