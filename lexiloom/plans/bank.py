@@ -396,10 +396,11 @@ VECTORS_SQL = "vec as (select f.term as token, list_transform(list_zip(e.embeddi
 
 
 def token_vectors(spark, sf_dir) -> DataFrame:
-    """A vector for each of the 500 most frequent terms: a stand-in for an embedding model's cache of its vocabulary. Two terms in a row share a part, so they are near."""
-    top = engine(spark, sf_dir).index.doc_freq().orderBy(F.desc("df"), "term").limit(500)
-    numbered = top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("vec_id"))
+    """Each vector to the term of its rank by frequency: a stand-in for an embedding model's cache of its vocabulary. Two terms in a row share a part, so they are near."""
     given = table(spark, sf_dir, "embeddings")
+    ranks = given.agg(F.max("vec_id")).first()[0] + 1  # no term beyond has a vector
+    top = engine(spark, sf_dir).index.doc_freq().orderBy(F.desc("df"), "term").limit(ranks)
+    numbered = top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("vec_id"))
     shared = given.select((F.col("vec_id")).alias("even"), F.col("embedding").alias("part"))
     both = numbered.join(given, "vec_id").withColumn("even", F.col("vec_id") - F.pmod("vec_id", F.lit(2))).join(shared, "even")
     return both.select(F.col("term").alias("token"), F.zip_with("embedding", "part", lambda x, y: x.cast("double") + y.cast("double")).alias("vec"))
@@ -425,7 +426,7 @@ FREQUENT_SQL = f"probes as (select token as probe from (select token, row_number
 
 @query(f"with {index_sql()}, {VECTORS_SQL}, {FREQUENT_SQL} select probe, token, similarity, vector_similarity, row_number() over (partition by probe order by greatest(similarity, coalesce(vector_similarity, 0)) desc, token) as position from cut where rs <= 8 or (rv <= 8 and vector_similarity is not null)")
 def tool_similar_union(spark, sf_dir):
-    v = token_vectors(spark, sf_dir).cache()  # 500 rows
+    v = token_vectors(spark, sf_dir).cache()
     asked = v.select(F.col("token").alias("term")).orderBy("term").limit(20)
     return similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary(), vectors=v).withColumn("position", F.col("position").cast("bigint"))
 

@@ -36,3 +36,8 @@ def test_entry_points_are_consistent():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_vector_belongs_to_a_term(spark):
+    at = "/root/testdata/sf0.1"  # more vectors than the 500 of the smaller tables
+    assert bank.token_vectors(spark, at).count() == spark.read.parquet(f"{at}/embeddings.parquet").count()
