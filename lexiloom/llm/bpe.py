@@ -3,7 +3,7 @@
 Python only splits texts by the tokenizer's pattern. The merges run in DuckDB, inside each task: a recursive query
 unnests the tokens of every word to positions, joins adjacent pairs with the merge table, contracts each word's
 leftmost pair of least rank, and goes on until no pair is in the table. An ordered aggregation over token positions
-gives the bytes back. Words already encoded in a worker are remembered, within a bound, so frequent words cost one lookup.
+gives the bytes back, word by word. Long words are encoded in parts that are put together (common.stitched). Words already encoded in a worker are remembered, within a bound, so frequent words cost one lookup.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import bpe_ranks, column, mapped, whole_text
+from lexiloom.llm.common import PART, bpe_ranks, column, mapped, stitched, whole_text
 
 #: Words that a worker remembers, with their ids and those ids' bytes, in each of two generations.
 REMEMBERED = 400_000
@@ -51,13 +51,28 @@ class SqlBpe:
         self.db.register("given", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]}))
         self.db.execute("create table vocabulary as from given")
         self.db.unregister("given")
+        self.token = {r: t for t, r in ranks.items()}
 
     def _ask(self, query: str, ids: pa.Array) -> pa.Table:
         self.db.register("words", pa.table({"w": np.arange(len(ids), dtype=np.int32), "ids": ids}))
-        return self.db.execute(query).to_arrow_table()
+        return self.db.sql(query).to_arrow_table()
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian 32-bit integers. Empty words have none."""
+        """The ids of each word, as little-endian 32-bit integers. Empty words have none. Long words are put together from parts."""
+        out = dict(zip(short := [w for w in words if len(w) <= PART], self._contracted(short), strict=True))
+        long = [w for w in words if len(w) > PART]
+
+        def lists(parts: list[bytes]) -> list[list[int]]:
+            each = list(dict.fromkeys(parts))
+            known = {w: np.frombuffer(x, "<u4").tolist() for w, x in zip(each, self._contracted(each), strict=True)}
+            return [known[p] for p in parts]
+
+        if long:
+            out |= {w: np.array(ids, "<u4").tobytes() for w, ids in zip(long, stitched(long, lists, self.token), strict=True)}
+        return [out[w] for w in words]
+
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        """The recursive query over the words."""
         ends = np.cumsum([0, *map(len, words)])
         flat = self.first[np.frombuffer(b"".join(words), np.uint8)]
         ids = self._ask(ENCODE, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))).column("ids").combine_chunks()
@@ -100,13 +115,16 @@ class Worker:
                 self.young[w] = self.old[w]
             else:
                 missing.append(w)
+        long = {}
         if missing:
             ids = self.sql.encode([w.encode() for w in missing])
-            self.young.update(zip(missing, zip(ids, self.sql.decode(ids), strict=True), strict=True))
+            new = dict(zip(missing, zip(ids, self.sql.decode(ids), strict=True), strict=True))
+            long = {w: new.pop(w) for w in missing if len(w) > PART}  # not remembered: the memory is bounded by words
+            self.young.update(new)
         table = self.young
         if len(table) > REMEMBERED:
             self.young, self.old = {}, table
-        return table
+        return {w: long.get(w) or table[w] for w in wanted} if long else table
 
     def encode_decode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         words = [self.split.findall(t) for t in texts]
@@ -119,7 +137,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the bytes that these ids stand for).
 
     A row comes out for each row that goes in. Null and empty texts have no ids. Other columns are ignored. Special
-    tokens are not recognised. The pattern splits a text in one pass; time grows with the square only of a single match's length.
+    tokens are not recognised. The pattern splits a text in one pass; time grows with a text's length, whatever its words.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
