@@ -11,11 +11,10 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import bpe_ranks, column, mapped, whole_text
+from lexiloom.llm.common import PART, Ranked, column, mapped, whole_text
 
 #: Pre-tokens in a leaf of the tree as it is built.
 LEAF = 32
@@ -32,7 +31,7 @@ class Counter:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.pattern, self.memory = regex.compile(pattern), {}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe_ranks(path), special_tokens={})
+        self.bpe = Ranked.of(path)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Counter:
@@ -47,9 +46,10 @@ class Counter:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
+            long = {}
             for p in set(pieces).difference(known):
-                known[p] = len(self.bpe.encode_ordinary(p))
-            return [known[p] for p in pieces]
+                (known if len(p) <= PART else long)[p] = len(self.bpe.ids(p))
+            return [known[p] if p in known else long[p] for p in pieces]
 
 
 class TokenTree:
