@@ -7,6 +7,7 @@ number of open sequences with a gap of g tokens; a new one is opened only if a p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import column, slices, whole_text
+from lexiloom.llm.common import Ranked, bpe_ranks, column, slices, whole_text
 
 CAPACITY = 1024
 #: Bytes of ids that a task holds before it places them; more give a better order.
 BLOCK_BYTES = 96 << 20
+#: Characters of a run with no blank, or of blanks only, from which on a text is split outside the fast library.
+RUN = 2048
+_LONG_RUN = re.compile(rf"\S{{{RUN}}}|\s{{{RUN}}}")
 
 
 class SumOfSquares:
@@ -101,8 +105,10 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], id_co
 class Encoder:
     """The ids that a `tokenizers` file gives to texts, each followed by an end id.
 
-    The file's vocabulary and splitting pattern are those of the rank file beside it, which a faster library reads;
-    texts that hold a special token's string go through the `tokenizers` file itself.
+    The file's vocabulary and splitting pattern are those of the rank file beside it, which a faster library reads.
+    Strings of the file's special tokens get their ids before anything is split, as that library does it (they strip
+    nothing here, and match within words). Texts with long runs without a blank, or of blanks, are split by the pattern
+    outside that library, whose matcher and merges give up on them.
     """
 
     kept: dict = {}
@@ -110,18 +116,36 @@ class Encoder:
     def __init__(self, json_path: str, ranks_path: str, pattern: str, end: int) -> None:
         self.json_path, self.ranks_path, self.pattern, self.end = json_path, ranks_path, pattern, end
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if "both" not in self.kept:
+    def _loaded(self) -> tuple:
+        key = (self.json_path, self.ranks_path, self.pattern)
+        if key not in self.kept:
+            import regex
             import tiktoken
             from tokenizers import Tokenizer
 
-            from lexiloom.llm.common import bpe_ranks
+            added = Tokenizer.from_file(self.json_path).get_added_tokens_decoder()
+            if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+                raise ValueError("special tokens that strip, match whole words or are normalized aren't supported")
+            special = {t.content: i for i, t in added.items()}
+            cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+            fast = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=bpe_ranks(self.ranks_path), special_tokens={})
+            self.kept[key] = special, cut, fast, Ranked.of(self.ranks_path), regex.compile(self.pattern)
+        return self.kept[key]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        special, cut, fast, ranked, split = self._loaded()
+
+        def plain(text: str) -> np.ndarray:
+            if len(text) < RUN or not _LONG_RUN.search(text):
+                return fast.encode_to_numpy(text, disallowed_special=())
+            return np.array([i for piece in split.findall(text) for i in ranked.ids(piece)], np.uint32)
+
+        def ids(text: str) -> list[np.ndarray]:
+            if cut is None or not cut.search(text):
+                return [plain(text)]
+            return [np.array([special[part]], np.uint32) if part in special else plain(part) for part in cut.split(text) if part]
 
-            slow = Tokenizer.from_file(self.json_path)
-            special = [t.content for t in slow.get_added_tokens_decoder().values()]
-            self.kept["both"] = slow, special, tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=bpe_ranks(self.ranks_path), special_tokens={})
-        slow, special, fast = self.kept["both"]
-        return [np.append(np.array(slow.encode(t, add_special_tokens=False).ids, np.uint32) if any(s in t for s in special) else fast.encode_to_numpy(t, disallowed_special=()), np.uint32(self.end)).astype("<u4") for t in texts]
+        return [np.concatenate([*ids(t), np.array([self.end], np.uint32)]).astype("<u4") for t in texts]
 
     def __reduce__(self):
         return Encoder, (self.json_path, self.ranks_path, self.pattern, self.end)

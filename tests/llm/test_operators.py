@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiloom.llm import bpe, exact_dedup, line_dedup, media, near_dedup, packing, pii, quality, queries, substrings, token_counts
-from lexiloom.llm.common import bpe_ranks
+from lexiloom.llm.common import Ranked, bpe_ranks
 
 RANKS = public_tokenizers.path(queries.RANKS)
 
@@ -75,6 +75,40 @@ def test_kept_trees_are_restored(docs, texts, plain_bpe):
     assert all(got[i].n_tokens_after == len(plain_bpe.encode_ordinary(re.sub("[0-9]+", "0", t or "") + "\n")) for i, t in enumerate(texts))
 
 
+@pytest.fixture(scope="module")
+def long_words():
+    """Words and runs far beyond what the libraries' matchers and merges take; periodic ones decide their tokens from the left."""
+    rng = np.random.default_rng(2)
+    letters = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (1, 300, 16_000)]
+    return [*letters, "lol" * 2001, "ab" * 1500 + "c" * 1999, "=" * 2050 + "-" * 1999, "漢字" * 4000, " " * 5000 + "x", "".join(rng.choice(list("的一是不了人我在有他"), 3000))]
+
+
+def test_long_words_are_put_together_from_parts(long_words, plain_bpe):
+    ranked, sql = Ranked.of(RANKS), bpe.SqlBpe(bpe_ranks(RANKS))
+    assert {len(t) for t in bpe_ranks(RANKS)} >= {1, 2, 3} and all(ranked._piece(t) == [i] for t, i in list(bpe_ranks(RANKS).items())[::50])
+    for w in long_words:
+        whole = plain_bpe._encode_single_piece(w.encode())
+        assert ranked.ids(w) == whole
+        assert np.frombuffer(sql.encode([w.encode()])[0], "<u4").tolist() == whole
+
+
+def test_very_long_runs_are_counted_encoded_and_packed(spark, long_words, plain_bpe):
+    texts = [" ".join(long_words), " " * 1_000_000, "\n" * 300_000 + "x", "<|endoftext|>" + " " * 5000 + "<|endoftext|>y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [plain_bpe.encode_ordinary(texts[0]), [i for s in (" " * 1_000_000,) for i in Ranked.of(RANKS).ids(s)]]
+    ids.append([i for s in ("\n" * 299_999, "\n", "x") for i in Ranked.of(RANKS).ids(s)])
+    counts = by_id(token_counts.edited_counts(docs, RANKS, public_tokenizers.PATTERN, queries.masking_edits))
+    coded = by_id(bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN))
+    for i, x in enumerate(ids):
+        assert counts[i].n_tokens == coded[i].n_tokens == len(x) and np.frombuffer(coded[i].ids, "<u4").tolist() == x
+        assert bytes(coded[i].decoded) == texts[i].encode()
+    packed = packing.pack(docs, queries.encoder()).orderBy("doc_id", "start").collect()
+    for i, x in enumerate(ids):
+        assert b"".join(bytes(r.ids) for r in packed if r.doc_id == i) == np.array([*x, queries.END_OF_TEXT], "<u4").tobytes()
+    slow = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)).encode(texts[3], add_special_tokens=False).ids
+    assert b"".join(bytes(r.ids) for r in packed if r.doc_id == 3) == np.array([*slow, queries.END_OF_TEXT], "<u4").tobytes()
+
+
 # ---- 2 substring dedup -----------------------------------------------------------------------------------------------
 
 
