@@ -438,12 +438,13 @@ def test_registers_estimate_probability_jaccard():
 # ---- 8 exact dedup ---------------------------------------------------------------------------------------------------
 
 
-def test_exact_dedup_equals_plain(docs, texts):
+@pytest.mark.parametrize("key_bytes", [32, 1, 0])
+def test_exact_dedup_equals_plain(docs, texts, key_bytes):
     norm = [re.sub("[\x20\x09-\x0d]+", " ", t or "") for t in texts]
     first, size = {}, collections.Counter(norm)
     for i, n in enumerate(norm):
         first.setdefault(n, i)
-    got = by_id(exact_dedup.exact_dedup(docs))
+    got = by_id(exact_dedup.exact_dedup(docs, key_bytes=key_bytes))  # with less than the whole digest, texts that differ meet
     for i, n in enumerate(norm):
         assert got[i] == (i, first[n], size[n], first[n] == i, sha(n))
 
