@@ -2,90 +2,207 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.relevance import B, K1, QUANTUM, bm25_term, exact_sum, idf
 from lexiloom.functions.text import compact
-from lexiloom.operators.analysis import Analyzer
+from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig
 
 TOP_K = 10
+#: Tasks over which one term's stored postings are dealt.
+SPREAD = 8
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf, dl), doc_len(doc_id, dl), stats(n, avgdl); documents without tokens count in stats."""
+    """postings(term, doc_id, tf, dl), doc_len(doc_id, dl), stats(n, avgdl); documents without tokens count in stats.
+
+    `terms` may hold a row (term) for each distinct term of a document, where that is cheaper than the postings; `df`
+    the document frequencies (term, df) themselves.
+    """
 
     postings: DataFrame
     doc_len: DataFrame
     stats: DataFrame
     k1: float = K1
     b: float = B
+    terms: DataFrame | None = None
+    df: DataFrame | None = None
 
     @classmethod
     def of_tokens(cls, docs: DataFrame, k1: float = K1, b: float = B) -> Index:
         """From docs(doc_id, tokens). A term's frequency is counted before anything is shuffled."""
         sized = docs.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"))
         postings = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        stats = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        return cls(postings.select("term", "doc_id", "tf", "dl"), sized.select("doc_id", "dl"), stats, k1, b)
+        lengths = sized.select("doc_id", "dl")
+        return cls(postings.select("term", "doc_id", "tf", "dl"), lengths, cls.stats_of(lengths), k1, b, docs.select(F.explode(F.array_distinct("tokens")).alias("term")))
+
+    @staticmethod
+    def stats_of(lengths: DataFrame) -> DataFrame:
+        return lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
     @classmethod
     def build(cls, docs: DataFrame, analyzer: Analyzer, k1: float = K1, b: float = B) -> Index:
         return cls.of_tokens(docs.select("doc_id", analyzer.tokens("text").alias("tokens")), k1, b)
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self.df.select("term") if self.df is not None else (self.terms if self.terms is not None else self.postings).select("term").distinct()
 
     def doc_freq(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if self.df is not None:
+            return self.df
+        return (self.terms if self.terms is not None else self.postings).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def doc_freq_of(self, terms: DataFrame) -> DataFrame:
+        """term, df of those terms(term) that are in the index."""
+        if self.df is not None:
+            return self.df.join(terms, "term", "left_semi")
+        return self.postings.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def idf(self) -> DataFrame:
         return self.doc_freq().crossJoin(F.broadcast(self.stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # one row of stats
 
     def scores(self, queries: DataFrame, key: str = "query") -> DataFrame:
-        """key, doc_id, score, matched_terms for documents that share a term with queries(key, tokens).
+        """key, doc_id, score for documents that share a term with queries(key, tokens).
 
         The queries' terms reach the postings first, so only postings of asked terms are aggregated.
         """
         asked = queries.select(key, F.explode(F.array_distinct("tokens")).alias("term"))
-        hit = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
-        df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weighted = hit.join(df.crossJoin(F.broadcast(self.stats)), "term")
+        df = self.doc_freq_of(asked.select("term").distinct())
+        weighted = self.postings.join(df.crossJoin(F.broadcast(self.stats)), "term")  # one row of stats
         part = bm25_term(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
         # Rounded to the quantum before the sum, whose order then doesn't matter.
         parts = weighted.select("term", "doc_id", part.alias("part")).join(asked, "term")
-        return parts.groupBy(key, "doc_id").agg(exact_sum(F.col("part")).alias("score"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
+        return parts.groupBy(key, "doc_id").agg(exact_sum(F.col("part")).alias("score"))
 
-    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query") -> DataFrame:
-        """key, doc_id, rank (from 1), score (4 decimals), matched_terms; ranked by the unrounded score, then doc_id."""
+    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", terms: bool = True) -> DataFrame:
+        """key, doc_id, rank (from 1), score (4 decimals), and matched_terms if wanted; ranked by the unrounded score, then doc_id.
+
+        The cut comes first in each task, then over all; only the documents that stay are asked for their terms.
+        """
         order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
-        ranked = self.scores(queries, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k))
-        return ranked.select(key, "doc_id", "rank", F.round("score", 4).alias("score"), "matched_terms")
+        best = self.scores(queries, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k))
+        best = best.select(key, "doc_id", "rank", F.round("score", 4).alias("score"))
+        if not terms:
+            return best
+        wanted = best.select(key, "doc_id").join(queries.select(key, F.explode(F.array_distinct("tokens")).alias("term")), key)
+        matched = self.postings.select("term", "doc_id").join(wanted, ["term", "doc_id"]).groupBy(key, "doc_id").agg(F.sort_array(F.collect_list("term")).alias("matched_terms"))
+        return best.join(matched, [key, "doc_id"])
+
+
+@dataclass(frozen=True)
+class Stored:
+    """What was built once: each document's tokens and the index over them, under one analyzer."""
+
+    analyzer: Analyzer
+    tokens: DataFrame
+    index: Index
 
 
 @dataclass(frozen=True)
 class Engine:
-    """Documents under one analyzer configuration. Plans are lazy; with_config() is the sandbox of another configuration."""
+    """Documents under one analyzer configuration; doc_id is a key. with_config() is the sandbox of another configuration.
+
+    An engine over a stored index reads that, and after a change of configuration analyses only the documents that the
+    change touches. Without one, plans build what they need.
+    """
 
     docs: DataFrame
     analyzer: Analyzer = Analyzer()
+    base: Stored | None = None
+
+    def stored(self, keep: Callable[[str, Callable[[], DataFrame]], DataFrame]) -> Engine:
+        """This engine over a stored index; keep(name, make) writes a table once and reads it back.
+
+        Postings lie together by term and sorted, so that filters on terms skip row groups; a frequent term's are
+        dealt over SPREAD tasks.
+        """
+        tokens = keep("tokens", lambda: self.docs.select("doc_id", self.analyzer.tokens("text").alias("tokens")))
+        built = Index.of_tokens(tokens)
+        postings = keep("postings", lambda: built.postings.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("term"))
+        df = keep("df", lambda: postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        lengths = keep("lengths", lambda: built.doc_len)
+        return Engine(self.docs, self.analyzer, Stored(self.analyzer, tokens, Index(postings, lengths, keep("stats", lambda: Index.stats_of(lengths)), df=df)))
+
+    @cached_property
+    def _touched(self) -> DataFrame | None:
+        """doc_id of the documents whose tokens may differ from the stored ones; None if there are none.
+
+        A changed synonym or expansion touches documents that hold its form as a token, which the postings tell; a
+        changed user word touches documents whose text holds it, spaces aside.
+        """
+        old, new = self.base.analyzer.config, self.analyzer.config
+        words = _changed(old.whole_words, new.whole_words)
+        forms = {old.synonym_map.get(f, f) for f in _changed(old.synonym_map, new.synonym_map) | _changed(old.expansion_map, new.expansion_map)}
+        found = []
+        if words:
+            found.append(self.docs.where(_holds(words)).select("doc_id"))
+        if forms:
+            found.append(self.base.index.postings.where(F.col("term").isin(sorted(forms))).select("doc_id"))
+        return reduce(DataFrame.unionByName, found).distinct() if found else None
+
+    def _again(self) -> DataFrame:
+        return self.docs.join(self._touched, "doc_id", "left_semi").select("doc_id", self.analyzer.tokens("text").alias("tokens"))
+
+    @property
+    def _fresh(self) -> bool:
+        return self.base is None or self.base.analyzer.tokenizer != self.analyzer.tokenizer
+
+    @property
+    def tokens(self) -> DataFrame:
+        """doc_id, tokens."""
+        if self._fresh:
+            return self.docs.select("doc_id", self.analyzer.tokens("text").alias("tokens"))
+        if self._touched is None:
+            return self.base.tokens
+        return self.base.tokens.join(self._touched, "doc_id", "left_anti").unionByName(self._again())
 
     @property
     def index(self) -> Index:
-        return Index.build(self.docs, self.analyzer)
+        if self._fresh:
+            return Index.of_tokens(self.tokens)
+        base = self.base.index
+        if self._touched is None:
+            return base
+        again = Index.of_tokens(self._again())
+        lengths = base.doc_len.join(self._touched, "doc_id", "left_anti").unionByName(again.doc_len)
+        return Index(base.postings.join(self._touched, "doc_id", "left_anti").unionByName(again.postings), lengths, Index.stats_of(lengths), base.k1, base.b)
 
     def with_config(self, config: AnalyzerConfig) -> Engine:
-        return Engine(self.docs, self.analyzer.with_config(config))
+        return Engine(self.docs, self.analyzer.with_config(config), self.base)
+
+    def holding(self, passages: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """key, doc_id of the documents whose text contains a passage, for passages(key, text).
+
+        A passage's tokens but the first and the last are tokens of any text that contains it. Its rarest one finds
+        the candidates, whose texts are then compared. Passages of two tokens or fewer are looked for in all texts, and
+        so are all if words are kept whole, since the words around them decide then.
+        """
+        asked = passages.select(F.col(key).alias("__key"), F.col(text).alias("__passage")).where("__passage is not null")
+        texts = self.docs.select("doc_id", F.col("text").alias("__text"))
+        if self.analyzer.config.whole_words or not isinstance(self.analyzer.tokenizer, RegexTokenizer) or self.analyzer.tokenizer.longest:
+            return asked.join(texts, F.contains("__text", F.col("__passage"))).select(F.col("__key").alias(key), "doc_id")
+        inner = asked.withColumn("__inner", self.analyzer.tokens(F.regexp_replace("__passage", r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", "")))
+        index = self.index
+        terms = inner.select("__key", F.explode(F.array_distinct("__inner")).alias("term"))
+        df = index.doc_freq_of(terms.select("term").distinct())
+        rarest = terms.join(df, "term", "left").groupBy("__key").agg(F.min(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "term"))["term"].alias("term"))
+        near = index.postings.select("term", "doc_id").join(rarest, "term").select("__key", "doc_id")
+        found = near.join(asked, "__key").join(texts, "doc_id").where(F.contains("__text", F.col("__passage")))
+        short = inner.where(F.size("__inner") == 0).join(texts, F.contains("__text", F.col("__passage")))
+        return found.select(F.col("__key").alias(key), "doc_id").unionByName(short.select(F.col("__key").alias(key), "doc_id"))
 
     def tokenized(self, queries: DataFrame, key: str = "query", text: str | Column | None = None) -> DataFrame:
         return queries.select(key, self.analyzer.tokens(text if text is not None else key).alias("tokens"))
 
-    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", text: str | Column | None = None) -> DataFrame:
-        return self.index.search(self.tokenized(queries, key, text), k, key)
+    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", text: str | Column | None = None, terms: bool = True) -> DataFrame:
+        return self.index.search(self.tokenized(queries, key, text), k, key, terms)
 
     def doc_tokens(self, doc_id) -> DataFrame:
         """doc_id, tokens of one document; LookupError if it doesn't exist."""
@@ -107,18 +224,20 @@ def reindexed(before: DataFrame, docs: DataFrame, old: Analyzer, new: Analyzer)
     `before` has doc_id, tokens under the old one. A changed synonym term, compound or user word touches a document
     only if its text holds that form, spaces aside; all others keep their tokens.
     """
-    def forms(c: AnalyzerConfig) -> dict:
-        return {("w", k): v for k, v in c.whole_words.items()} | {("s", k): v for k, v in c.synonym_map.items()} | {("e", k): v for k, v in c.expansion_map.items()}
-
-    a, b = forms(old.config), forms(new.config)
-    changed = sorted({k[1] for k in a.keys() | b.keys() if a.get(k) != b.get(k)})
+    changed = {f for kind in ("whole_words", "synonym_map", "expansion_map") for f in _changed(getattr(old.config, kind), getattr(new.config, kind))}
     if not changed:
         return before
-    touched = F.lit(False)
-    for form in changed:
-        touched = touched | F.contains(compact("text"), F.lit(form.replace(" ", "")))
-    again = docs.where(touched).select("doc_id", new.tokens("text").alias("tokens"))
+    again = docs.where(_holds(changed)).select("doc_id", new.tokens("text").alias("tokens"))
     return before.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)
 
 
-__all__ = ["QUANTUM", "TOP_K", "Engine", "Index", "reindexed"]
+def _changed(old: dict, new: dict) -> set[str]:
+    return {f for f in old.keys() | new.keys() if old.get(f) != new.get(f)}
+
+
+def _holds(forms: set[str]) -> Column:
+    """Whether the text holds one of the forms, spaces aside."""
+    return reduce(Column.__or__, (F.contains(compact("text"), F.lit(f.replace(" ", ""))) for f in sorted(forms)))
+
+
+__all__ = ["QUANTUM", "TOP_K", "Engine", "Index", "Stored", "reindexed"]

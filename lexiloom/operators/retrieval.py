@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lexiloom.functions.relevance import RRF_K, rrf
 from lexiloom.functions.vectors import dot, unit
 from lexiloom.operators.index import Index
+from lexiloom.sources.shared import written
 
 MODES = ("bm25", "dense", "hybrid")
 
@@ -24,22 +25,54 @@ def fold(ranked: DataFrame, owners: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("best", "doc_id"))).drop("best")
 
 
-#: Cells of the table of similarities, known tokens by asked tokens, that a worker may hold (8 bytes each).
-MATRIX_CELLS = 8_000_000
+def placed(scored: DataFrame) -> DataFrame:
+    """query, doc_id, place: places in a query's list, by falling score, then doc_id; the smallest comes first."""
+    return scored.select("query", "doc_id", F.struct((-F.col("score")).alias("down"), F.col("doc_id").alias("tie")).alias("place"))
 
 
-def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, cells: int = MATRIX_CELLS) -> DataFrame:
+def fold_places(chunks: DataFrame, owners: DataFrame) -> DataFrame:
+    """placed() chunks as their documents: a document has its best chunk's place. Nothing is ranked for it."""
+    named = chunks.withColumnRenamed("doc_id", "chunk_id").join(owners.select("chunk_id", "doc_id"), "chunk_id")
+    return named.groupBy("query", "doc_id").agg(F.min("place").alias("place"))
+
+
+def ranked(places: DataFrame, depth: int | None = None) -> DataFrame:
+    """query, doc_id, rank; the first `depth` of each query, which each task cuts its rows to before they meet."""
+    out = places.select("query", "doc_id", F.row_number().over(Window.partitionBy("query").orderBy("place", "doc_id")).alias("rank"))
+    return out if depth is None else out.where(F.col("rank") <= depth)
+
+
+def ranks_of(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, doc_id, rank of the wanted (query, doc_id) in placed lists of any length.
+
+    Two levels: rows are dealt by ranges of (query, place), so that a long list lies in several parts, ranked inside
+    each part, and moved by the number of rows of the query in the parts before.
+    """
+    dealt = written(places.repartitionByRange("query", "place", "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = dealt.groupBy("query", "part").agg(F.count(F.lit(1)).alias("n")).select("query", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("moved"))
+    local = dealt.withColumn("local", F.row_number().over(Window.partitionBy("query", "part").orderBy("place", "doc_id"))).join(wanted.select("query", "doc_id"), ["query", "doc_id"], "left_semi")
+    return local.join(moved, ["query", "part"]).select("query", "doc_id", (F.col("local") + F.col("moved")).cast("int").alias("rank"))
+
+
+#: Bytes of the table of similarities, known tokens by asked tokens, and of the vectors it is made of; both are broadcast.
+TABLE_BYTES = 64 << 20
+
+
+def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = TABLE_BYTES, keep: int | None = None) -> DataFrame:
     """query, doc_id, score: the mean over the query's known tokens, repeats counted, of the greatest cosine to a known token of the document.
 
     queries(query, tokens), docs(doc_id, tokens). Similarities are made between distinct tokens once. If their table
-    has at most `cells` cells, each task looks documents up in it, in Arrow batches and without a shuffle; a larger one
-    meets the documents' distinct tokens by an equality join.
+    and the vectors take at most `limit` bytes, each task looks documents up in it, in Arrow batches and without a
+    shuffle; larger ones meet the documents' distinct tokens by an equality join. With `keep` a task may leave out
+    documents that aren't among its `keep` best of a query, by falling score, then doc_id; the best of all stay whole.
     """
     known = vectors.select("token", unit("vec").alias("u")).where("u is not null")
     q = queries.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token", "left_semi")
-    n_known, n_asked = known.count(), q.select("token").distinct().count()
-    if n_known * max(n_asked, 1) <= cells:
-        return _maxsim_by_table(queries, docs, known.collect(), q.collect())
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("u")), F.lit(0)).alias("dims")).first()
+    n_asked, n_pairs = q.agg(F.count_distinct("token"), F.count(F.lit(1))).first()
+    if size.n * (size.dims + n_asked) * 8 + n_pairs * 100 <= limit:
+        return _maxsim_by_table(queries, docs, known.collect(), q.collect(), keep)
     asked = q.select("token").distinct().join(known, "token").select(F.col("token").alias("q"), F.col("u").alias("uq"))
     d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
     present = known.join(d.select("token").distinct(), "token", "left_semi")
@@ -50,39 +83,46 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, cells: int =
     return joined.join(total, "query").select("query", "doc_id", F.round(F.col("s") / 1e9 / F.col("n"), 6).alias("score"))
 
 
-def _maxsim_by_table(queries: DataFrame, docs: DataFrame, known: list, asked: list) -> DataFrame:
+def _maxsim_by_table(queries: DataFrame, docs: DataFrame, known: list, asked: list, keep: int | None) -> DataFrame:
     """maxsim() with the vectors and the queries' tokens at hand."""
     at = {r.token: i for i, r in enumerate(known)}
     terms = sorted({r.token for r in asked})
     keys = sorted({r["query"] for r in asked}, key=str)
     column, row = {t: i for i, t in enumerate(terms)}, {k: i for i, k in enumerate(keys)}
-    times = np.zeros((len(terms), len(keys)))
-    for r in asked:
-        times[column[r.token], row[r["query"]]] = r.times
+    asked = sorted((row[r["query"]], column[r.token], r.times) for r in asked)
+    of, cols, times = (np.array([a[i] for a in asked], np.int64) for i in range(3))
+    starts = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
+    total = np.add.reduceat(times, starts) if len(of) else np.ones(0)
     unit_vectors = np.array([r.u for r in known]).reshape(len(known), -1)
     sims = unit_vectors @ unit_vectors[[at[t] for t in terms]].T if terms else np.zeros((len(known), 0))
+    shipped = docs.sparkSession.sparkContext.broadcast((at, keys, cols, times, starts, total, sims))
     schema = StructType([queries.schema["query"], docs.schema["doc_id"], StructField("score", DoubleType())])
     wanted = to_arrow_schema(schema)
 
     def run(batches):
+        at, keys, cols, times, starts, total, sims = shipped.value
+        if not keys:
+            return
         for batch in batches:
             ids, found, scores = batch.column(0), [], []
             for i, tokens in enumerate(batch.column(1).to_pylist()):
-                rows = [at[t] for t in set(tokens) if t in at]
-                if rows and keys:
-                    best = sims[rows].max(0)
+                rows = [at[t] for t in set(tokens or ()) if t in at]
+                if rows:
                     found.append(i)
-                    scores.append(np.round(np.rint(best[:, None] * times * 1e9).sum(0) / 1e9 / times.sum(0), 6))
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys * n, wanted.field(0).type), ids.take(pa.array(np.repeat(np.array(found, np.int64), len(keys)))), pa.array(np.concatenate(scores) if n else np.zeros(0))], schema=wanted)
+                    scores.append(np.round(np.add.reduceat(np.rint(sims[rows].max(0)[cols] * times * 1e9), starts) / 1e9 / total, 6))
+            if not found:
+                continue
+            table, ids = np.array(scores), ids.take(pa.array(found))  # documents by queries
+            if keep is None or len(found) <= keep:
+                doc, query = (x.ravel() for x in np.indices(table.shape))
+            else:  # what reaches the query's keep-th best score, equal ones too
+                least = -np.partition(-table, keep - 1, axis=0)[keep - 1]
+                doc, query = np.nonzero(table >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, wanted.field(0).type).take(pa.array(query)), ids.take(pa.array(doc)), pa.array(table[doc, query])], schema=wanted)
 
     return docs.select("doc_id", "tokens").mapInArrow(run, schema)
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    return scored.select("query", "doc_id", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")).alias("rank"))
-
-
 def fuse(bm25: DataFrame, dense: DataFrame, k: int = RRF_K) -> DataFrame:
     """query, doc_id, score, rank_bm25, rank_dense (null where a list lacks the document): reciprocal ranks added."""
     both = bm25.select("query", "doc_id", F.col("rank").alias("rank_bm25")).join(dense.select("query", "doc_id", F.col("rank").alias("rank_dense")), ["query", "doc_id"], "full_outer")
@@ -91,7 +131,7 @@ def fuse(bm25: DataFrame, dense: DataFrame, k: int = RRF_K) -> DataFrame:
 
 @dataclass(frozen=True)
 class Retriever:
-    """Over docs(doc_id, tokens): documents, or chunks with `owners`(chunk_id, doc_id) to fold them.
+    """Over docs(doc_id, tokens): documents, or chunks with `owners`(chunk_id, doc_id) to fold them; `index` over them if it is there already.
 
     Without vectors dense and hybrid fall back to bm25, and `degraded` says so.
     """
@@ -100,6 +140,7 @@ class Retriever:
     mode: str = "hybrid"
     vectors: DataFrame | None = None
     owners: DataFrame | None = None
+    index: Index | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -109,24 +150,32 @@ class Retriever:
     def degraded(self) -> bool:
         return self.mode != "bm25" and self.vectors is None
 
-    def _folded(self, r: DataFrame) -> DataFrame:
-        return fold(r, self.owners) if self.owners is not None else r
+    def _places(self, scored: DataFrame) -> DataFrame:
+        return fold_places(placed(scored), self.owners) if self.owners is not None else placed(scored)
 
     def retrieve(self, queries: DataFrame, k: int = 3) -> DataFrame:
-        """query, doc_id, rank, score, rank_bm25, rank_dense, degraded for queries(query, tokens); a query without dense hits takes the bm25 list."""
-        bm25 = self._folded(ranked(Index.of_tokens(self.docs).scores(queries)))
+        """query, doc_id, rank, score, rank_bm25, rank_dense, degraded for queries(query, tokens); a query without dense hits takes the bm25 list.
+
+        Of the fused lists only the first RRF_K + 2 k places can matter: the k best of either list reach 1 / (RRF_K + k),
+        so what is to beat them reaches half of that in one list.
+        """
+        k, none = max(1, k), F.lit(None).cast("int")
+        bm25 = self._places((self.index or Index.of_tokens(self.docs)).scores(queries))
         if self.mode == "bm25" or self.degraded:
-            fused = bm25.select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), F.lit(None).cast("int").alias("rank_dense"))
+            fused = ranked(bm25, k).select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), none.alias("rank_dense"))
+        elif self.mode == "dense":
+            keep = k if self.owners is None else None  # a document's chunks take several places
+            dense = ranked(self._places(maxsim(queries, self.docs, self.vectors, keep=keep)), k)
+            only = dense.select("query", "doc_id", rrf(F.col("rank")).alias("score"), none.alias("rank_bm25"), F.col("rank").alias("rank_dense"))
+            rest = ranked(bm25.join(dense.select("query").distinct(), "query", "left_anti"), k)
+            fused = only.unionByName(rest.select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), none.alias("rank_dense")))
         else:
-            dense = self._folded(ranked(maxsim(queries, self.docs, self.vectors)))
-            if self.mode == "dense":
-                only = dense.select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.lit(None).cast("int").alias("rank_bm25"), F.col("rank").alias("rank_dense"))
-                rest = bm25.join(dense.select("query").distinct(), "query", "left_anti").select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), F.lit(None).cast("int").alias("rank_dense"))
-                fused = only.unionByName(rest)
-            else:
-                fused = fuse(bm25, dense)
+            depth = RRF_K + 2 * k
+            bm25, dense = written(bm25, "bm25"), written(self._places(maxsim(queries, self.docs, self.vectors)), "dense")
+            near = ranked(bm25, depth).select("query", "doc_id").unionByName(ranked(dense, depth).select("query", "doc_id")).distinct()
+            fused = fuse(ranks_of(bm25, near), ranks_of(dense, near))
         order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-        return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k)).select("query", "doc_id", "rank", F.round("score", 6).alias("score"), "rank_bm25", "rank_dense", F.lit(self.degraded).alias("degraded"))
+        return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "doc_id", "rank", F.round("score", 6).alias("score"), "rank_bm25", "rank_dense", F.lit(self.degraded).alias("degraded"))
 
 
 def discriminative(knowledge: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import jamo, text
-from lexiloom.operators import chunking, config, evaluation, index, mining, retrieval, similar, vectors
+from lexiloom.operators import chunking, config, evaluation, mining, retrieval, similar, vectors
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup
 from lexiloom.operators.index import Engine
-from lexiloom.sources import lake, synthetic
+from lexiloom.sources import lake, shared, synthetic
 from lexiloom.streaming.mining import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,8 +49,19 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def engine(spark, sf_dir, cfg: AnalyzerConfig = AnalyzerConfig()) -> Engine:
-    return Engine(documents(spark, sf_dir), Analyzer(cfg))
+def building(spark, sf_dir) -> Engine:
+    """The engine whose plans build what they need: for queries about the building itself."""
+    return Engine(shared.spread(documents(spark, sf_dir), f"{sf_dir}/documents.parquet", "doc_id"))
+
+
+def engine(spark, sf_dir) -> Engine:
+    """The engine over an index that is built once an application and version of the documents."""
+    return building(spark, sf_dir).stored(keeper(spark, sf_dir))
+
+
+def keeper(spark, sf_dir) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
+    of = "|".join(shared.version(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return lambda name, make: shared.kept(spark, f"{name}|{of}", make)
 
 
 # ---- SQL parts -------------------------------------------------------------------------------------------------------
@@ -121,16 +132,20 @@ def evaluation_set(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     An answerable passage's anchor, its rarest long term, is a healthy query; with a q before it, a failing one.
     """
-    docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    found = docs.join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", F.col("passage"))).select("item_id", "doc_id").cache()  # the few documents that hold a passage
-    words = items.join(found.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.explode(F.array_distinct(Analyzer().tokens("text"))).alias("term")).where(F.char_length("term") >= 5)
-    df = engine(spark, sf_dir).index.postings.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    anchors = words.join(df, "term").withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))).where("rn = 1").select("item_id", "term")
+    items, e, keep = table(spark, sf_dir, "benchmark"), engine(spark, sf_dir), keeper(spark, sf_dir)
+    found = keep("qr", lambda: e.holding(items, "item_id"))
+
+    def rarest() -> DataFrame:
+        words = items.join(found.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.explode(F.array_distinct(Analyzer().tokens("text"))).alias("term")).where(F.char_length("term") >= 5)
+        df = e.index.doc_freq_of(words.select("term").distinct())
+        return words.join(df, "term").withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))).where("rn = 1").select("item_id", "term")
+
+    anchors = keep("anchors", rarest)
     healthy = anchors.select("item_id", F.col("term").alias("query"), F.lit(None).cast("string").alias("family"))
     failing = anchors.where("item_id % 2 = 0").select("item_id", F.concat(F.lit("q"), "term").alias("query"), F.lit("spelling_variant").alias("family"))
-    named = healthy.unionByName(failing).cache()  # a few rows a passage
+    named = healthy.unionByName(failing)
     queries = named.groupBy("query").agg(F.min("family").alias("family")).withColumn("expected_patch_kinds", F.array(F.lit("synonym_group")))
-    return queries, named.join(found, "item_id").select("query", "doc_id", F.lit(2).alias("grade")).distinct().cache(), anchors
+    return queries, named.join(found, "item_id").select("query", "doc_id", F.lit(2).alias("grade")).distinct(), anchors
 
 
 def patches(spark, sf_dir, anchors: DataFrame) -> tuple[Prescription, Prescription]:
@@ -181,7 +196,7 @@ def scl_synthetic_log(spark, sf_dir):
 
 @query(f"with {index_sql()} select doc_id, term, tf from post")
 def ana_tokens_tf(spark, sf_dir):
-    return engine(spark, sf_dir).index.postings.select("doc_id", "term", "tf")
+    return building(spark, sf_dir).index.postings.select("doc_id", "term", "tf")
 
 
 SYNONYM_CASE = f"case when w in ({', '.join(map(repr, SYNONYMS))}) then '{SYNONYMS[0]}' else w end"
@@ -224,22 +239,22 @@ def str_normalize(spark, sf_dir):
 
 @query(f"with {index_sql()} select term from df")
 def idx_vocabulary(spark, sf_dir):
-    return engine(spark, sf_dir).index.vocabulary()
+    return building(spark, sf_dir).index.vocabulary()
 
 
 @query(f"with {index_sql()} select term, df from df")
 def idx_doc_freq(spark, sf_dir):
-    return engine(spark, sf_dir).index.doc_freq()
+    return building(spark, sf_dir).index.doc_freq()
 
 
 @query(f"with {index_sql()} select term, round(ln(1.0 + (n - df + 0.5) / (df + 0.5)), 6) as idf from df cross join stats")
 def idx_idf(spark, sf_dir):
-    return engine(spark, sf_dir).index.idf().select("term", F.round("idf", 6).alias("idf"))
+    return building(spark, sf_dir).index.idf().select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {index_sql()} select n, round(avgdl, 6) as avgdl, (select max(dl) from dl) as longest from stats")
 def idx_stats(spark, sf_dir):
-    i = engine(spark, sf_dir).index
+    i = building(spark, sf_dir).index
     return i.stats.crossJoin(i.doc_len.agg(F.max("dl").alias("longest"))).select("n", F.round("avgdl", 6).alias("avgdl"), "longest")
 
 
@@ -274,10 +289,7 @@ def fil_lookup(spark, sf_dir):
 @query(f"with {index_sql('', SYNONYM_CASE)} select doc_id, term, tf from post")
 def idx_reindexed(spark, sf_dir):
     """Tokens after a configuration change, analysing only the documents that it touches."""
-    old = Analyzer()
-    new = old.with_config(AnalyzerConfig(synonym_groups=(SynonymGroup(SYNONYMS),)))
-    docs = documents(spark, sf_dir)
-    return index.Index.of_tokens(index.reindexed(docs.select("doc_id", old.tokens("text").alias("tokens")), docs, old, new)).postings.select("doc_id", "term", "tf")
+    return engine(spark, sf_dir).with_config(AnalyzerConfig(synonym_groups=(SynonymGroup(SYNONYMS),))).index.postings.select("doc_id", "term", "tf")
 
 
 # ---- evaluation, gate, baseline --------------------------------------------------------------------------------------
@@ -392,18 +404,22 @@ def str_jamo_similarity(spark, sf_dir):
     return spark.createDataFrame(KOREAN_PAIRS, "a string, b string").select("a", "b", F.round(jamo.jamo_similarity("a", "b"), 3).alias("similarity"))
 
 
-VECTORS_SQL = "vec as (select f.term as token, list_transform(list_zip(e.embedding, g.embedding), lambda s: s[1]::double + s[2]::double) as v from (select term, row_number() over (order by df desc, term) - 1 as i from (select term, df from df order by df desc, term limit 500)) f join embeddings e on e.vec_id = f.i join embeddings g on g.vec_id = f.i - f.i % 2)"
+VECTORS_SQL = "vec as (select f.term as token, f.i, list_transform(list_zip(e.embedding, g.embedding), lambda s: s[1]::double + s[2]::double) as v from (select term, row_number() over (order by df desc, term) - 1 as i from (select term, df from df order by df desc, term limit (select max(vec_id) + 1 from embeddings))) f join embeddings e on e.vec_id = f.i join embeddings g on g.vec_id = f.i - f.i % 2)"
 
 
 def token_vectors(spark, sf_dir) -> DataFrame:
-    """Each vector to the term of its rank by frequency: a stand-in for an embedding model's cache of its vocabulary. Two terms in a row share a part, so they are near."""
-    given = table(spark, sf_dir, "embeddings")
-    ranks = given.agg(F.max("vec_id")).first()[0] + 1  # no term beyond has a vector
-    top = engine(spark, sf_dir).index.doc_freq().orderBy(F.desc("df"), "term").limit(ranks)
-    numbered = top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("vec_id"))
-    shared = given.select((F.col("vec_id")).alias("even"), F.col("embedding").alias("part"))
-    both = numbered.join(given, "vec_id").withColumn("even", F.col("vec_id") - F.pmod("vec_id", F.lit(2))).join(shared, "even")
-    return both.select(F.col("term").alias("token"), F.zip_with("embedding", "part", lambda x, y: x.cast("double") + y.cast("double")).alias("vec"))
+    """token, vec, vec_id: each vector to the term of its rank by frequency, a stand-in for an embedding model's cache of its vocabulary. Two terms in a row share a part, so they are near."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+    def made() -> DataFrame:
+        ranks = given.agg(F.max("vec_id")).first()[0] + 1  # no term beyond has a vector
+        top = engine(spark, sf_dir).index.doc_freq().orderBy(F.desc("df"), "term").limit(ranks)
+        numbered = top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("vec_id"))
+        shared_part = given.select(F.col("vec_id").alias("even"), F.col("embedding").alias("part"))
+        both = numbered.join(given, "vec_id").withColumn("even", F.col("vec_id") - F.pmod("vec_id", F.lit(2))).join(shared_part, "even")
+        return both.select(F.col("term").alias("token"), F.zip_with("embedding", "part", lambda x, y: x.cast("double") + y.cast("double")).alias("vec"), "vec_id")
+
+    return keeper(spark, sf_dir)("vectors|" + shared.version(spark, f"{sf_dir}/embeddings.parquet"), made)
 
 
 PROBES_SQL = "probes as (select query as probe from evalq where family is not null)"
@@ -421,13 +437,13 @@ def tool_similar_spelling(spark, sf_dir):
     return similar.similar_tokens(probes(spark, sf_dir), engine(spark, sf_dir).index.vocabulary()).select("probe", "token", "similarity")
 
 
-FREQUENT_SQL = f"probes as (select token as probe from (select token, row_number() over (order by token) as rn from vec) where rn <= 20), {SPELLED_SQL}, both_ as (select s.*, round(list_cosine_similarity(a.v, b.v), 3) as vector_similarity from spelled s left join vec a on a.token = s.probe left join vec b on b.token = s.token), cut as (select *, row_number() over (partition by probe order by similarity desc, token) as rs, row_number() over (partition by probe order by vector_similarity desc nulls last, token) as rv from both_)"
+FREQUENT_SQL = f"probes as (select token as probe from vec where i % 50 = 0), {SPELLED_SQL}, both_ as (select s.*, round(list_cosine_similarity(a.v, b.v), 3) as vector_similarity from spelled s left join vec a on a.token = s.probe left join vec b on b.token = s.token), cut as (select *, row_number() over (partition by probe order by similarity desc, token) as rs, row_number() over (partition by probe order by vector_similarity desc nulls last, token) as rv from both_)"
 
 
 @query(f"with {index_sql()}, {VECTORS_SQL}, {FREQUENT_SQL} select probe, token, similarity, vector_similarity, row_number() over (partition by probe order by greatest(similarity, coalesce(vector_similarity, 0)) desc, token) as position from cut where rs <= 8 or (rv <= 8 and vector_similarity is not null)")
 def tool_similar_union(spark, sf_dir):
-    v = token_vectors(spark, sf_dir).cache()
-    asked = v.select(F.col("token").alias("term")).orderBy("term").limit(20)
+    v = token_vectors(spark, sf_dir)
+    asked = v.where("vec_id % 50 = 0").select(F.col("token").alias("term"))
     return similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary(), vectors=v).withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -455,8 +471,8 @@ def doc_rule_compound(spark, sf_dir):
 
 @query(f"with {index_sql()}, {VECTORS_SQL}, {FREQUENT_SQL}, pos as (select *, row_number() over (partition by probe order by greatest(similarity, coalesce(vector_similarity, 0)) desc, token) as position from cut where rs <= 8 or (rv <= 8 and vector_similarity is not null)) select probe as query, case when regexp_matches(token, '[A-Za-z]') <> regexp_matches(probe, '[A-Za-z]') then 'cross_script' else 'synonym_gap' end as family, token || ' ' || probe as synonyms from (select *, row_number() over (partition by probe order by position) as rn from pos where vector_similarity >= 0.6 and similarity < 0.65) where rn = 1")
 def doc_rule_semantic(spark, sf_dir):
-    v = token_vectors(spark, sf_dir).cache()
-    asked = v.select(F.col("token").alias("term")).orderBy("term").limit(20)
+    v = token_vectors(spark, sf_dir)
+    asked = v.where("vec_id % 50 = 0").select(F.col("token").alias("term"))
     found = similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary(), vectors=v).withColumn("query", F.col("probe"))
     return similar.rule_semantic(found).select("query", "family", F.array_join("synonyms", " ").alias("synonyms"))
 
@@ -516,7 +532,7 @@ def vec_coverage(spark, sf_dir):
 
 
 def knowledge(spark, sf_dir) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", Analyzer().tokens("text").alias("tokens"))
+    return engine(spark, sf_dir).tokens
 
 
 def asked(spark, sf_dir) -> DataFrame:
@@ -528,7 +544,7 @@ MAXSIM_SQL = f"qt as (select query, term, count(*) as times from asked where ter
 
 @query(f"with {index_sql()}, {BENCH_ASKED}, {VECTORS_SQL}, {MAXSIM_SQL} select query, doc_id, round(score, 4) as score from denser where rank <= 5")
 def rag_maxsim(spark, sf_dir):
-    scored = retrieval.maxsim(asked(spark, sf_dir), knowledge(spark, sf_dir), token_vectors(spark, sf_dir))
+    scored = retrieval.maxsim(asked(spark, sf_dir), knowledge(spark, sf_dir), token_vectors(spark, sf_dir), keep=5)
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).where("rank <= 5")
     return best.select("query", "doc_id", F.round("score", 4).alias("score"))
 
@@ -538,7 +554,7 @@ FULL_HITS = hits_sql("", "asked", 1_000_000_000)
 
 @query(f"with {index_sql()}, {BENCH_ASKED}, {FULL_HITS}, {VECTORS_SQL}, {MAXSIM_SQL}, fused as (select coalesce(h.query, d.query) as query, coalesce(h.doc_id, d.doc_id) as doc_id, round(coalesce(1.0 / (60 + h.rank), 0) + coalesce(1.0 / (60 + d.rank), 0), 9) as score from hits h full join denser d on d.query = h.query and d.doc_id = h.doc_id) select query, doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query order by score desc, doc_id) as rank from fused) where rank <= 3")
 def rag_hybrid(spark, sf_dir):
-    out = retrieval.Retriever(knowledge(spark, sf_dir), "hybrid", token_vectors(spark, sf_dir)).retrieve(asked(spark, sf_dir))
+    out = retrieval.Retriever(knowledge(spark, sf_dir), "hybrid", token_vectors(spark, sf_dir), index=engine(spark, sf_dir).index).retrieve(asked(spark, sf_dir))
     return out.select("query", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
@@ -547,18 +563,18 @@ RELEVANT_SQL = "rel as (select b.item_id as query, d.doc_id from documents d joi
 
 @query(f"with {index_sql()}, {BENCH_ASKED}, {hits_sql('', 'asked', 3)}, {RELEVANT_SQL}, x as (select r.query, count(distinct r.doc_id) as wanted, count(h.doc_id) as found, min(h.rank) as first from rel r left join hits h on h.query = r.query and h.doc_id = r.doc_id group by r.query), y as (select query, count(*) as n from hits group by query) select round(avg((found > 0)::int), 4) as hit_rate, round(avg(found / wanted), 4) as recall, round(avg(coalesce(found / n, 0)), 4) as precision, round(avg(coalesce(1.0 / first, 0)), 4) as mrr, count(*) as n_queries from x left join y using (query)")
 def rag_eval_means(spark, sf_dir):
-    items, docs = table(spark, sf_dir, "benchmark"), documents(spark, sf_dir)
-    relevant = docs.join(items.select(F.col("item_id").alias("query"), F.col("text").alias("passage")), F.contains("text", F.col("passage"))).select("query", "doc_id")
-    got = retrieval.Retriever(knowledge(spark, sf_dir), "bm25").retrieve(asked(spark, sf_dir))
+    e, items = engine(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    relevant = e.holding(items.withColumnRenamed("item_id", "query"), "query")
+    got = retrieval.Retriever(e.tokens, "bm25", index=e.index).retrieve(asked(spark, sf_dir))
     return retrieval.retrieval_means(retrieval.retrieval_metrics(got, relevant))
 
 
 @query(f"with {index_sql()}, {BENCH_ASKED}, {FULL_HITS}, folded as (select h.query, d.source, min(h.rank) as best from hits h join documents d using (doc_id) group by all) select query, source as doc_id, row_number() over (partition by query order by best, source) as rank from folded")
 def rag_fold(spark, sf_dir):
     """Documents folded to their sources, as chunks are to their documents."""
-    ranks = retrieval.ranked(index.Index.of_tokens(knowledge(spark, sf_dir)).scores(asked(spark, sf_dir)))
     owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"))
-    return retrieval.fold(ranks, owners).select("query", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+    folded = retrieval.fold_places(retrieval.placed(engine(spark, sf_dir).index.scores(asked(spark, sf_dir))), owners)
+    return retrieval.ranked(folded).select("query", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query()

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import similar, vectors
 from lexiloom.operators.chunking import chunk_documents, chunk_knowledge
-from lexiloom.operators.retrieval import Retriever, discriminative, fold, fuse, maxsim, relevant_docs, render_context, retrieval_means, retrieval_metrics, symptom_query
+from lexiloom.operators.index import Index
+from lexiloom.operators.retrieval import Retriever, discriminative, fold, fuse, maxsim, placed, ranked, ranks_of, relevant_docs, render_context, retrieval_means, retrieval_metrics, symptom_query
 
 
 @pytest.fixture(scope="module")
@@ -94,10 +95,10 @@ def queries(spark, *rows):
     return spark.createDataFrame(rows, "query string, tokens array<string>")
 
 
-@pytest.mark.parametrize("cells", [0, 10**6])
-def test_maxsim_keeps_repeated_query_tokens(spark, table, cells):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_maxsim_keeps_repeated_query_tokens(spark, table, limit):
     docs = spark.createDataFrame([("d1", ["a", "x"]), ("d2", ["c"]), ("d3", ["x"])], "doc_id string, tokens array<string>")
-    got = {r.doc_id: r.score for r in maxsim(queries(spark, ("q", ["a", "a", "b", "unknown"])), docs, table, cells).collect()}
+    got = {r.doc_id: r.score for r in maxsim(queries(spark, ("q", ["a", "a", "b", "unknown"])), docs, table, limit).collect()}
     assert got == {"d1": pytest.approx((1 + 1 + 0.8) / 3, abs=1e-6), "d2": pytest.approx(0.2, abs=1e-6)}
 
 
@@ -111,6 +112,33 @@ def test_fusion_and_folding(spark):
     assert {r.doc_id: r.rank for r in fold(chunks, owners).collect()} == {"d": 1, "e": 2}
 
 
+def test_maxsim_leaves_out_only_what_cannot_be_among_the_best(spark, table):
+    docs = spark.createDataFrame([(i, ["a", "c"][: 1 + i % 2] if i % 3 else ["c"]) for i in range(60)], "doc_id long, tokens array<string>").coalesce(2)
+    asked = queries(spark, ("q", ["a", "b"]), ("r", ["c"]))
+    every, few = maxsim(asked, docs, table), maxsim(asked, docs, table, keep=3)
+    assert few.count() < every.count()
+    assert sorted(ranked(placed(few), 3).collect()) == sorted(ranked(placed(every), 3).collect())
+
+
+def test_ranks_of_equal_a_full_ranking(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).cast("string").alias("query"), F.col("id").alias("doc_id"), (F.col("id") * 7 % 50 / 10).alias("score"))
+    wanted = rows.where("doc_id % 97 = 0").select("query", "doc_id")
+    places = placed(rows)
+    assert sorted(ranks_of(places, wanted).collect()) == sorted(ranked(places).join(wanted, ["query", "doc_id"]).collect())
+
+
+def test_hybrid_needs_only_the_first_places(spark, table):
+    import random
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, [rng.choice("abcxyz") for _ in range(rng.randint(1, 6))]) for i in range(300)], "doc_id long, tokens array<string>")
+    asked = queries(spark, ("q", ["a", "x", "y"]), ("r", ["c", "z"]))
+    fused = fuse(ranked(placed(Index.of_tokens(docs).scores(asked))), ranked(placed(maxsim(asked, docs, table))))
+    want = {q: [r.doc_id for r in sorted((r for r in fused.collect() if r.query == q), key=lambda r: (-r.score, r.doc_id))][:3] for q in "qr"}
+    got = Retriever(docs, "hybrid", table).retrieve(asked).collect()
+    assert {q: [r.doc_id for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)] for q in "qr"} == want
+
+
 def test_retriever_modes(spark, table):
     docs = spark.createDataFrame([("d1", ["a", "x"]), ("d2", ["c", "x", "x"]), ("d3", ["y"])], "doc_id string, tokens array<string>")
     asked = queries(spark, ("q1", ["x", "a"]), ("q2", ["y"]))

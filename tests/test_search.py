@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import evaluation
 from lexiloom.operators.analysis import Analyzer
-from lexiloom.operators.config import AnalyzerConfig, Prescription, SynonymGroup
-from lexiloom.operators.index import Index, reindexed
+from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup, UserWord
+from lexiloom.operators.index import Engine, Index, reindexed
+from lexiloom.sources import shared
 from tests.data import BROAD, GOOD
 
 
@@ -126,3 +127,46 @@ def test_incremental_reindexing_equals_a_full_one(engine):
 def test_search_pushes_only_asked_terms_into_the_aggregation(engine, spark):
     hits = Index.build(engine.docs, Analyzer()).search(ask(spark, ["프라이팬"]))
     assert hits.count() == 2 and hits.where(F.col("score") <= 0).isEmpty()
+
+
+@pytest.mark.parametrize("config", [
+    AnalyzerConfig(),
+    AnalyzerConfig(synonym_groups=(SynonymGroup(("프라이팬", "팬")),)),
+    AnalyzerConfig(synonym_groups=(SynonymGroup(("프라이팬", "후라이팬")),), user_words=(UserWord("프라이"),)),
+    AnalyzerConfig(compound_expansions=(CompoundExpansion("프라이팬", ("프라이", "팬")),)),
+])
+def test_a_stored_index_follows_configurations(engine, spark, config):
+    name = f"test|{id(config)}"
+    stored = engine.stored(lambda part, make: shared.kept(spark, f"{name}|{part}", make))
+    for old in (stored, engine.with_config(AnalyzerConfig(synonym_groups=(SynonymGroup(("후라이팬", "팬")),))).stored(lambda part, make: shared.kept(spark, f"{name}|other|{part}", make))):
+        now, fresh = old.with_config(config), Engine(engine.docs, engine.analyzer.with_config(config))
+        assert sorted((r.doc_id, r.tokens) for r in now.tokens.collect()) == sorted((r.doc_id, r.tokens) for r in fresh.tokens.collect())
+        for of in (lambda e: e.index.postings.select("term", "doc_id", "tf", "dl"), lambda e: e.index.doc_freq(), lambda e: e.index.stats, lambda e: e.search(ask(spark, ["프라이팬", "팬 굿즈"])).withColumn("matched_terms", F.array_join("matched_terms", " "))):
+            assert sorted(of(now).collect()) == sorted(of(fresh).collect())
+
+
+def test_passages_are_found_where_texts_hold_them(spark):
+    docs = spark.createDataFrame([(1, "One two THREE four, five six"), (2, "two three four"), (3, "xtwo three fourx and more"), (4, None), (5, "five six")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "two three four"), (2, "three"), (3, "wo three fou"), (4, ", five"), (5, "no such words here"), (6, None), (7, "wo THREE four,")], "item long, text string")
+    want = {(p.item, d.doc_id) for p in passages.collect() for d in docs.collect() if p.text and d.text and p.text in d.text}
+    assert {tuple(r) for r in Engine(docs).holding(passages, "item").collect()} == want and len(want) > 5
+
+
+def test_kept_tables_are_built_once_and_again_when_gone(spark):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert shared.kept(spark, "test|once", make).count() == 3
+    assert len(made) == 1
+    shared.dropped(spark)
+    assert shared.kept(spark, "test|once", make).count() == 3 and len(made) == 2
+
+
+def test_small_files_are_dealt_over_the_cores(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(path)
+    assert shared.spread(spark.read.parquet(path), path, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
