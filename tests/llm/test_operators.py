@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -485,6 +486,62 @@ def test_ranker_is_right_on_held_out_rows(judged):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
 
 
+def test_the_fit_is_the_least_loss_over_explicit_differences():
+    """Plain gradient descent on the differences themselves finds the same strengths, and the quantile is the plain one."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((300, quality.SHAPES + 4), np.float32)
+    x[:, :6] = rng.normal(size=(300, 6))
+    x[:, -4:] = rng.normal(size=(300, 4))
+    better = x[:, 0] + 0.5 * x[:, 1] - x[:, -1] + rng.normal(0, 0.7, 300) > -0.8
+    model = quality.fit_pairs(x, better, pairs=5000, penalty=0.05)
+    z = (x - model.mean) / model.spread
+    assert np.allclose(model.spread[-4:] * quality.GRAM_SCALE, x[:, -4:].std(0) + 1e-3, atol=1e-4)
+    again = np.random.default_rng(7)
+    good, bad = again.choice(np.flatnonzero(better), 5000), again.choice(np.flatnonzero(~better), 5000)
+    d, w = z[good] - z[bad], np.zeros(z.shape[1])
+    for _ in range(4000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 0.05 * w)
+    assert np.abs(w - model.weights).max() < 1e-3
+    s = np.sort(model.strength(x))
+    at = int(round((~better).mean() * len(s)))
+    assert s[max(0, at - 4)] <= model.threshold <= s[min(len(s) - 1, at + 4)]
+    assert np.array_equal(model.scores(x) >= quality.CUT, model.strength(x) >= model.threshold)
+
+
+def test_words_alone_can_tell_bad_texts():
+    rng = np.random.default_rng(4)
+    fine, junk = [[f"{c}{i}" for i in range(60)] for c in ("word", "spam")]
+    texts = [" ".join(rng.choice(fine + junk[: 60 * bad], 80)) for bad in rng.integers(0, 2, 800)]
+    better = np.array(["spam" not in t for t in texts])
+    x = np.array([quality.features(t) for t in texts])
+    model = quality.fit_pairs(x[:500], better[:500])
+    assert ((model.scores(x[500:]) >= quality.CUT) == better[500:]).mean() > 0.97
+
+
+def test_grams_count_what_they_say():
+    text = "Ab ab c ab" * 3
+    words = text.lower().encode().split()
+    want = np.zeros(quality.WORDS + quality.CHARS)
+    h = [xxhash.xxh32_intdigest(w) for w in words]
+    for v in h + [(a * 0x9E3779B1 % 2**32) ^ b for a, b in zip(h, h[1:], strict=False)]:
+        want[v * 0x85EBCA6B % 2**32 >> 23] += 1
+    raw = text.lower().encode()
+    for i in range(len(raw) - 2):
+        want[quality.WORDS + (int.from_bytes(raw[i : i + 3], "big") * 0xC2B2AE35 % 2**32 >> 23)] += 1
+    want[: quality.WORDS] /= want[: quality.WORDS].sum()
+    want[quality.WORDS :] /= want[quality.WORDS :].sum()
+    assert np.allclose(quality.grams(text), np.sqrt(want)) and not quality.grams("").any() and not quality.grams("a").any() == (not want.any())
+    long = "x1 yz " * 400_000  # longer than what is hashed at once
+    assert abs((quality.grams(long)[quality.WORDS :] ** 2).sum() - 1) < 1e-9
+
+
+def test_repeated_ids_are_one_labelled_row(spark, judged):
+    docs, labels = judged
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" zzz"))))
+    a, b = quality.train(docs, labels), quality.train(twice, labels)
+    assert np.allclose(a.weights, b.weights) and a.threshold == b.threshold
+
+
 def test_held_out_labels_are_never_read(judged):
     docs, labels = judged
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
