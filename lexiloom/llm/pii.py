@@ -1,14 +1,18 @@
 """Personal data by weak supervision (operator 10).
 
-Candidate spans come from patterns. Three labelers vote on each: a regular-expression labeler on its shape and check
-digits, a gazetteer labeler on known names in it, a context labeler on the words before it. Expectation-maximisation
-over the counts of vote patterns estimates how reliable each labeler is for each kind, without labels; its posteriors
-train a logistic classifier on span features, which decides. Only counts by (kind, votes, features), a bounded table, reach the driver.
+Candidate spans come from patterns. Three labelers vote yes, no or nothing on each: a regular-expression labeler on its
+shape and check digits, a gazetteer labeler on tables of domains, issuers, calling codes, countries, networks and key
+prefixes (the files in gazetteers/), and a context labeler on words before it that announce its kind or another.
+Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each kind, without
+labels; its posteriors train a logistic classifier on span features, which decides. Only counts by (kind, votes,
+features), a bounded table, reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+from importlib.resources import files
+from ipaddress import ip_address, ip_network
 
 import numpy as np
 import pyarrow as pa
@@ -26,31 +30,33 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Further candidates.
-SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,200}(?![A-Za-z0-9_])")
+SECRET = re.compile(
+    r"(?<![A-Za-z0-9_])(?:eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|(?:sk|pk|rk|glpat|pypi|xox[abprs])-[A-Za-z0-9_-]{16,}"
+    r"|(?<![+/])(?=[A-Za-z0-9]{0,64}[+/])[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_]{20,})"
+)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Gazetteers: what a span of the kind often holds or begins with.
-GAZETTEER = {
-    "email": re.compile(r"(?i)@(?:[a-z0-9-]+\.)*(?:example|gmail|yahoo|hotmail|outlook|mail\w*)\.|\.(?:com|org|net|edu|gov|io|de|fr|es)$"),
-    "ip": re.compile(r"^(?:10|127|192|172|169)\."),
-    "card": re.compile(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"),
-    "phone": re.compile(r"^\+?(?:1|33|34|44|49)\b|555"),
-    "secret": re.compile(r"^(?:sk|pk|ghp|gho|AKIA|xox[abp]|eyJ)"),
-    "iban": re.compile(r"^(?:AT|BE|CH|DE|ES|FR|GB|IT|NL|PL|PT)"),
-    "ssn": re.compile(r"^(?!000|666|9)"),
-}
-#: Words that announce a kind in the 24 characters before a span.
-CONTEXT = {
-    "email": re.compile(r"(?i)mail|contact|write|from|to:"),
-    "ip": re.compile(r"(?i)\bip\b|addr|host|server|from"),
-    "card": re.compile(r"(?i)card|visa|credit|payment|cc\b"),
-    "phone": re.compile(r"(?i)phone|call|tel|mobile|fax|number"),
-    "secret": re.compile(r"""(?i)(?:token|secret|password|passwd|key|bearer|auth)\w*["']?\s*[:=]?\s*["']?$"""),
-    "iban": re.compile(r"(?i)iban|account|bank|konto|compte|cuenta"),
-    "ssn": re.compile(r"(?i)ssn|social|security"),
-}
+
+
+def _gazetteer(name: str) -> list[list[str]]:
+    """A file's lines as words, without its comments."""
+    lines = (files(__package__) / "gazetteers" / f"{name}.txt").read_text().splitlines()
+    return [line.split() for line in lines if line and not line.startswith("#")]
+
+
+NO, ABSTAINS, YES = 0, 1, 2
+DOMAINS = {w for line in _gazetteer("top_level_domains") for w in line}
+ISSUERS = [(a, b, {int(n) for n in lengths.split(",")}) for a, b, lengths in _gazetteer("card_issuers")]
+CODES, LONG_CODES = map(set, _gazetteer("calling_codes"))
+IBAN_LENGTHS = {c: int(n) for line in _gazetteer("iban_lengths") for c, n in zip(line[::2], line[1::2], strict=True)}
+NETWORKS = [(vote == "no", ip_network(net)) for vote, net in _gazetteer("networks")]
+PREFIXES = tuple(w for line in _gazetteer("secret_prefixes") for w in line)
+#: Kind and vote: a pattern over the words before a span.
+CONTEXT = {(kind, vote): re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})s?(?![^\W_])", re.IGNORECASE) for kind, vote, *words in _gazetteer("context_words")}
+#: Characters before a span that the context labeler reads.
+REACH = 32
 Span = tuple[str, int, int, bool]
 
 
@@ -112,23 +118,55 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
+def shape_vote(kind: str, value: str, base: bool) -> int:
+    """What the value's own form says: check digits, groups that aren't given out, how its letters and digits mix."""
+    if kind == "secret":
+        share = sum("0" <= c <= "9" for c in value) / len(value)
+        return YES if re.fullmatch(r"[0-9a-fA-F]{32,}", value) else ABSTAINS if 0.08 < share < 0.9 else NO
+    if kind == "iban":
+        plain = value.replace(" ", "")
+        return YES if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else NO
+    if kind == "ssn":
+        return NO if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else YES
+    return YES if base else ABSTAINS
+
+
+def gazetteer_vote(kind: str, value: str) -> int:
+    """What the tables say of the value."""
+    if kind == "email":
+        return YES if value.rpartition(".")[2].lower() in DOMAINS else NO
+    if kind == "ip":
+        address = ip_address(".".join(p.lstrip("0") or "0" for p in value.split(".")))
+        return next((NO if never else ABSTAINS for never, net in NETWORKS if address in net), YES)
+    if kind == "card":
+        d = _digits(value)
+        return YES if any(a <= d[: len(a)] <= b and len(d) in lengths for a, b, lengths in ISSUERS) else NO
+    if kind == "phone":
+        d = _digits(value)
+        if value[0] != "+":
+            return YES if d[0] in "23456789" and d[3] in "23456789" else NO
+        return YES if d[0] in CODES or d[:2] in CODES or d[:2] in LONG_CODES else NO
+    if kind == "iban":
+        plain = value.replace(" ", "")
+        return YES if IBAN_LENGTHS.get(plain[:2]) == len(plain) else NO
+    if kind == "secret":
+        return YES if value.startswith(PREFIXES) else NO if "_" in value and not any(c.isdigit() for c in value.replace("_", "")[:-4]) else ABSTAINS
+    return ABSTAINS
+
+
+def context_vote(kind: str, before: str, base: bool) -> int:
+    """What the words before say; the last one that says anything counts. Without any, a span that no base pattern gives counts as not announced."""
+    last = max(((m.end(), vote) for vote, said in ((YES, "yes"), (NO, "no")) for m in CONTEXT[kind, said].finditer(before)), default=None)
+    return last[1] if last else ABSTAINS if base else NO
+
+
 def describe(text: str, span: Span) -> tuple[int, int, int]:
     """The three votes as a number in base 3 (0 no, 1 abstains, 2 yes), and two features: log2 of the length, tenths of digits."""
     kind, start, end, base = span
-    value, before = text[start:end], text[max(0, start - 24) : start]
+    value, before = text[start:end], text[max(0, start - REACH) : start]
     digits = sum("0" <= c <= "9" for c in value)
-    if kind == "secret":
-        shape = 2 if re.fullmatch(r"[0-9a-fA-F]{32,}", value) else 1 if 0.15 < digits / len(value) < 0.9 else 0
-    elif kind == "iban":
-        plain = value.replace(" ", "")
-        shape = 2 if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else 0
-    elif kind == "ssn":
-        shape = 0 if value[:3] in ("000", "666") or value[0] == "9" else 2
-    else:
-        shape = 2 if base else 1
-    gazetteer = 2 if GAZETTEER[kind].search(value) else 1
-    context = 2 if CONTEXT[kind].search(before) else 1 if base else 0
-    return shape * 9 + gazetteer * 3 + context, min(10, (end - start).bit_length()), int(10 * digits / (end - start))
+    votes = shape_vote(kind, value, base) * 9 + gazetteer_vote(kind, value) * 3 + context_vote(kind, before, base)
+    return votes, min(10, (end - start).bit_length()), int(10 * digits / (end - start))
 
 
 class SpanModel:

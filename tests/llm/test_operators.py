@@ -607,6 +607,61 @@ def test_found_spans_keep_the_base_and_add_secrets(spark, texts):
     assert all(("secret", at, at + 40) in [(s.kind, s.start, s.end) for s in got[len(texts) + k].spans] for k in range(20))
 
 
+def test_labelers_can_say_no():
+    said = {
+        ("email", "a@b.com"): 2, ("email", "a@b.c"): 0, ("ip", "8.8.8.8"): 2, ("ip", "010.2.3.4"): 1, ("ip", "203.0.113.9"): 0, ("card", "4111 1111 1111 1111"): 2, ("card", "9111111111111111"): 0,
+        ("phone", "+1 555 123 4567"): 2, ("phone", "+999 1234567"): 2, ("phone", "+2111111111"): 2, ("phone", "+8311111111"): 0, ("phone", "555-123-4567"): 0, ("phone", "555-223-4567"): 2,
+        ("iban", "DE89370400440532013000"): 2, ("iban", "DE8937040044053201300"): 0, ("iban", "ZZ89370400440532013000"): 0, ("secret", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"): 2, ("secret", "some_long_snake_name_12"): 0,
+    }
+    assert {k: pii.gazetteer_vote(*k) for k in said} == said
+    assert [pii.context_vote("ip", w, True) for w in ("version ", "server at ", "version on host ", "chip ", "hosts: ")] == [0, 2, 2, 1, 2]
+    assert pii.context_vote("secret", "nothing ", False) == 0
+    assert pii.shape_vote("ssn", "123-00-4567", False) == 0 and pii.shape_vote("iban", "DE89 3704 0044 0532 0130 00", False) == 2
+
+
+def test_long_and_structured_secrets_are_candidates():
+    key, jwt = "a1" * 200, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    padded = "q83vEjRWeJCrze8SNFZ4kKvN7xI0VniQq83v+jRWeJCrze8SNFY="
+    for secret in (key, jwt, "sk-proj-0123456789abcdefghij", padded):
+        text = f'token: "{secret}", and on'
+        assert [text[a:b] for kind, a, b, _ in pii.candidates(text) if kind == "secret"] == [secret]
+
+
+def test_expectation_maximisation_equals_a_plain_one_over_single_items():
+    rng = np.random.default_rng(8)
+    votes = rng.choice(3, (400, 3), p=[0.3, 0.2, 0.5])
+    votes[:250] = np.where(rng.random((250, 3)) < 0.8, 2, votes[:250])
+    code = votes @ [9, 3, 1]
+    each, n = np.unique(code, return_counts=True)
+    post, told = pii.expectation_maximisation(np.zeros(len(each), int), each, n)
+    q = [min(0.95, max(0.05, sum(v) / 6)) for v in votes]
+    for _ in range(50):  # item by item, by the definition
+        share = (sum(q) + 1) / (len(q) + 2)
+        table = {}
+        for c, prior in ((1, (1.1, 1.3, 2.0)), (0, (2.0, 1.3, 1.1))):
+            weight = [x if c else 1 - x for x in q]
+            for j in range(3):
+                for v in range(3):
+                    table[c, j, v] = (prior[v] + sum(x for x, vs in zip(weight, votes, strict=True) if vs[j] == v)) / (sum(prior) + sum(weight))
+        new = []
+        for vs in votes:
+            yes, no = share, 1 - share
+            for j, v in enumerate(vs):
+                yes, no = yes * table[1, j, v], no * table[0, j, v]
+            new.append(yes / (yes + no))
+        q = new
+    assert np.allclose(q, post[np.searchsorted(each, code)], atol=1e-9)
+    assert np.allclose(told["email"], [table[1, j, 2] for j in range(3)], atol=1e-4)
+
+
+def test_the_span_classifier_follows_its_posteriors():
+    patterns = [("secret", v, 6, d, 40) for v in range(27) for d in (2, 5)]
+    model = pii.train(patterns)
+    post, _ = pii.expectation_maximisation(np.full(27, pii.KINDS.index("secret")), np.arange(27), np.full(27, 80))
+    p = model.probability([pii.KINDS.index("secret")] * 27, np.arange(27), [6] * 27, [2] * 27)
+    assert ((p >= 0.5) == (post >= 0.5)).all()
+
+
 def test_redaction_masks_and_keeps_the_rest(spark):
     rows = [(1, "write a@b.c now", "x", 1), (2, None, "y", None), (3, "none", None, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, found int")
