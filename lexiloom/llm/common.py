@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read back: it cuts the lineage and survives lost executors.
 
     The path is noted in `scratch`, for cleared(); else the files stay until the folder's owner removes them, since the
     returned plan reads them.
     """
     path = f"{shared_dir(df.sparkSession)}/lexiloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if scratch is not None:
         scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

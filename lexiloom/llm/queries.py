@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, exact_dedup, line_dedup, media, near_dedup, packing, pii, quality, substrings, token_counts
+from lexiloom.llm.common import stored
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 END_OF_TEXT = 2
@@ -24,7 +25,10 @@ def masking_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.edited_counts(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, masking_edits)
+    """Trees are built and kept once; the edits read them back."""
+    how = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    trees = stored(token_counts.token_trees(documents(spark, sf_dir), *how), "trees", compression="zstd")
+    return token_counts.edited_counts(trees, *how, masking_edits, leaves=True)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

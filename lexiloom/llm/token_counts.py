@@ -165,15 +165,18 @@ class TokenTree:
 
 
 def token_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The trees to keep: doc_id, n_tokens, leaf_chars, leaf_tokens (arrays over the pre-tokens). Null texts are empty."""
+    """The trees to keep, beside their texts: doc_id, text, n_tokens, leaf_chars, leaf_tokens (arrays over the pre-tokens).
+
+    A row comes out for each row that goes in. Null texts are empty. edited_counts() takes the table as it is.
+    """
 
     def make(batch: pa.RecordBatch) -> dict:
         counter = Counter.of(ranks_path, pattern)
         trees = [TokenTree(counter, t) for t in column(batch, "text").to_pylist()]
         leaves = [t.leaves() for t in trees]
-        return {"doc_id": column(batch, "doc_id"), "n_tokens": [t.n_tokens for t in trees], "leaf_chars": [x[0] for x in leaves], "leaf_tokens": [x[1] for x in leaves]}
+        return {"doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "n_tokens": [t.n_tokens for t in trees], "leaf_chars": [x[0] for x in leaves], "leaf_tokens": [x[1] for x in leaves]}
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), make, "doc_id long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), make, "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
 
 
 def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, edits: Callable[[str], list[tuple[int, int, str]]], id_col: str = "doc_id", text_col: str = "text", leaves: bool = False) -> DataFrame:

@@ -71,8 +71,7 @@ def test_only_edited_regions_are_encoded(plain_bpe):
 
 def test_kept_trees_are_restored(docs, texts, plain_bpe):
     trees = token_counts.token_trees(docs, RANKS, public_tokenizers.PATTERN)
-    both = docs.select("doc_id", "text").join(trees, "doc_id")
-    got = by_id(token_counts.edited_counts(both, RANKS, public_tokenizers.PATTERN, queries.masking_edits, leaves=True))
+    got = by_id(token_counts.edited_counts(trees, RANKS, public_tokenizers.PATTERN, queries.masking_edits, leaves=True))
     assert all(got[i].n_tokens_after == len(plain_bpe.encode_ordinary(re.sub("[0-9]+", "0", t or "") + "\n")) for i, t in enumerate(texts))
 
 
@@ -675,6 +674,7 @@ def test_redaction_masks_and_keeps_the_rest(spark):
 EVERY = {
     "edited_counts": lambda d: token_counts.edited_counts(d, RANKS, public_tokenizers.PATTERN, queries.masking_edits),
     "remove_repeats": substrings.remove_repeats,
+    "token_trees": lambda d: token_counts.token_trees(d, RANKS, public_tokenizers.PATTERN),
     "encode_decode": lambda d: bpe.encode_decode(d, RANKS, public_tokenizers.PATTERN),
     "dedup_lines": line_dedup.dedup_lines,
     "text_images": media.text_images,
