@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import cleared, column, mapped, stored, whole_text
@@ -246,8 +246,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A class is a component of the graph whose links join texts of a similarity of SIMILARITY or more, over shingles of
     five words; equal texts are always together. Texts of fewer words are one shingle; texts without words are only
-    like equal texts. Null texts count as empty, null ids never are a class's id unless all its ids are null. Repeated rows stay.
+    like equal texts. Null texts count as empty, null ids never are a class's id unless all its ids are null. Repeated
+    rows stay. Ties need no rule: links join both their texts, whichever is compared first.
     """
+    rows, of = _classes(docs, id_col, text_col)
+    return rows.select("doc_id", "node").join(of, "node").select("doc_id", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class of near_classes(), with all its columns: a row of the least id, of its texts that
+    of the least digest, and of rows that repeat both the first by its other columns."""
+    _, of = _classes(docs, id_col, text_col)
+    name = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+    stay = of.where("stays").select(F.col("node").alias("__node"), F.coalesce(F.col("class_id").cast("string"), F.lit("null")).alias("__id"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.unhex(F.md5(whole_text(text_col))).alias("__node"), name.alias("__id")).join(stay, ["__node", "__id"], "left_semi")
+    others = F.to_json(F.struct(F.lit(0).alias("__none"), *(F.col("__row")[c].alias(c) for c in docs.columns if c not in (id_col, text_col))))
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__node", "__id").orderBy(others, F.col("__row")[text_col])))
+    return first.where("__n = 1").select("__row.*")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs as doc_id, text, node (the text's digest); and node, class_id, class_size, stays (whether the class keeps a row of this text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("node", F.unhex(F.md5("text")))
 
     def sketch(batch: pa.RecordBatch) -> dict:
@@ -306,7 +325,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stored(hit.select(*piece, "block", "node", "label", "sig", "keys", "text").repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_joined, "a binary, b binary"), "links", scratch)
     labels = components(links.unionByName(found), scratch)
     label = nodes.select("node", "least", "copies").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
-    classes = label.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = stored(label.select("node", "label").join(classes, "label").select("node", "class_id", "class_size"), "classes")
+    least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    classes = label.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), least["node"].alias("first"))
+    of = stored(label.select("node", "label").join(classes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("first")).alias("stays")), "classes")
     cleared(docs.sparkSession, scratch)
-    return rows.select("doc_id", "node").join(of, "node").select("doc_id", "class_id", "class_size")
+    return rows, of

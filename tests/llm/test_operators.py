@@ -385,6 +385,16 @@ def family(pairs, seed=8):
     return texts
 
 
+def test_one_row_of_each_class_stays_though_rows_and_ids_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "b"), (1, long, "b"), (2, long + " more", "a"), (1, "other text of its own kind", "c"), (3, "other text of its own kind", "a"), (None, "third", None), (None, "third", None), (7, None, "x"), (8, "", "x"), (1, "", "y"), (1, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __node string")
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, long, "a"), (1, "other text of its own kind", "c"), (None, "third", None), (1, "", "y")], key=str)
+    assert near_dedup.keep_one(df.limit(0)).collect() == []
+
+
 def test_a_large_star_of_edited_copies_is_one_class(spark):
     texts = star(10_000)
     middle = near_dedup.shingles(texts[10_000 // 3])

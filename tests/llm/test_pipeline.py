@@ -1,13 +1,17 @@
 """The pipeline's stages in order, on a table that holds what each stage must act on."""
 
 import collections
+import hashlib
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexiloom.llm import line_dedup, near_dedup, pii, quality
-from tests.llm.test_operators import family, star
+from lexiloom.llm import line_dedup, near_dedup, pii, quality, queries
+from tests.llm.test_operators import family, plain_base, plain_classes, star
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +67,50 @@ def test_each_stage_acts_on_all_that_its_predecessor_kept(spark, folder):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_run_equals_a_plain_version(spark, folder, tmp_path):
+    """Each stage's decision made again in Python over the whole table, with repeated rows in it."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 1"))
+    path = str(tmp_path)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+    learnt = sorted({i: t for i, t, _ in rows if i in labels and zlib.crc32(str(i).encode()) % 4 != 2}.items())
+    x = np.array([quality.features(t) for _, t in learnt]).astype(np.float16).astype(np.float32)
+    model = quality.fit_pairs(x, np.array([labels[i] > 0 for i, _ in learnt]))
+    rows = [r for r in rows if model.scores(np.array([quality.features(r[1])]))[0] >= 0.7]
+
+    sites, first = collections.defaultdict(set), {}
+    for i, t, source in sorted(rows):
+        for at, line in enumerate(t.split("\n")):
+            sites[line].add(source)
+            first.setdefault(line, (i, at))
+    rows = [(i, "\n".join(line for at, line in enumerate(t.split("\n")) if len(sites[line]) < 10 or not line.strip() or first[line] == (i, at)), s) for i, t, s in rows]
+
+    best = {}
+    for (i, t, _), c in zip(rows, plain_classes([t for _, t, _ in rows]), strict=True):
+        best[c] = min(best.get(c, (i, t)), (i, t), key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest()))
+    texts = {i: pii.masked(t, [(k, a, b, True) for k, a, b in plain_base(t)]) for i, t in best.values()}
+    assert len(texts) == len(best) < len(rows)
+
+    slow, want = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)), {}
+    for i, t in texts.items():
+        ids = np.array([*slow.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        want |= {(i, k): (a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
+    out = corpus_pipeline.run(spark, path).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    held = collections.defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append((r.offset, r.length))
+    for spans in held.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip([(0, 0), *spans], spans, strict=False)) and sum(spans[-1]) <= 1024
+    assert len(held) <= 1.05 * sum(n for _, n, _ in want.values()) / 1024 + 8
+
+
 def test_run_equals_the_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
