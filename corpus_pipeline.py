@@ -2,7 +2,7 @@
 
 Between stages the documents are written as Parquet and read again. A stage returns the columns of documents; the last
 one returns the packed sequences. Stages drop no document without cause: the first drops what the classifier rejects,
-the third all but one of each group of near copies.
+the third all rows but one of each group of near copies.
 """
 
 from __future__ import annotations
@@ -26,10 +26,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays."""
-    classes = near_dedup.near_classes(docs)
-    stay = stored(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct(), "stay")
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    """Of each class of near copies one row stays, of the document with the least id; repeated rows are copies too."""
+    return near_dedup.keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +41,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [("quality classifier", good_quality), ("line dedup", without_boilerplate), ("near dedup", one_of_each), ("personal data", without_personal_data), ("packing", packed_sequences)]
-#: SQL can express neither the classifier nor the sketches, the spans or the packing; tests compare run() with a plain version.
+#: SQL can express neither the classifier nor the sketches, the spans or the packing; tests compare run() with a plain version in Python.
 ORACLE_SQL = None
 
 
