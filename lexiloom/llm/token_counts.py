@@ -22,6 +22,8 @@ LEAF = 32
 #: leaves to the next word and at what follows it, an apostrophe at two letters.
 BEHIND = 2
 REMEMBERED = 200_000
+#: Bytes of text whose trees a worker holds at once; their lists take some thirty times as much.
+SLICE = 1 << 20
 
 
 class Counter:
@@ -176,7 +178,7 @@ def token_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         leaves = [t.leaves() for t in trees]
         return {"doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "n_tokens": [t.n_tokens for t in trees], "leaf_chars": [x[0] for x in leaves], "leaf_tokens": [x[1] for x in leaves]}
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), make, "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), make, "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>", limit=SLICE)
 
 
 def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, edits: Callable[[str], list[tuple[int, int, str]]], id_col: str = "doc_id", text_col: str = "text", leaves: bool = False) -> DataFrame:
@@ -204,4 +206,4 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, edits: Callabl
         return out | {"doc_id": column(batch, "doc_id")}
 
     cols = [F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), *(["leaf_chars", "leaf_tokens"] if leaves else [])]
-    return mapped(docs.select(*cols), make, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return mapped(docs.select(*cols), make, "doc_id long, " + ", ".join(f"{n} long" for n in names), limit=SLICE)
