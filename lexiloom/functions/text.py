@@ -92,3 +92,14 @@ def with_overlap(pieces: Column, overlap: int) -> Column:
         return F.try_element_at(sentences(F.substring(piece, F.greatest(F.char_length(piece) - overlap + 1, F.lit(1)), F.lit(overlap))), F.lit(-1))
 
     return let(pieces, lambda every: F.transform(every, lambda p, i: F.when(i == 0, p).otherwise(F.concat_ws(" ", tail(F.try_element_at(every, i)), p))))
+
+
+#: All but the wide scripts: Hangul, kana, Han and full-width forms.
+NARROW = r"[^\u1100-\u115F\u2E80-\uA4CF\uAC00-\uD7A3\uF900-\uFAFF\uFE30-\uFE6F\uFF00-\uFF60\uFFE0-\uFFE6]"
+
+
+def padded(text: Column | str, width: int) -> Column:
+    """The text with blanks up to a width in terminal cells, where wide scripts take two a character."""
+    text = F.col(text) if isinstance(text, str) else text
+    cells = F.char_length(text) + F.char_length(F.regexp_replace(text, NARROW, ""))
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(width) - cells, F.lit(0))))

@@ -33,9 +33,9 @@ class SynonymGroup:
     terms: tuple[str, ...]
 
     def __post_init__(self) -> None:
-        terms = tuple(dict.fromkeys(t.strip() for t in self.terms if t.strip()))
-        if len(terms) < 2 or any(" " in t for t in terms):
-            raise InvalidConfig(f"a synonym group needs two different terms at least, without blanks: {self.terms!r}")
+        terms = tuple(t.strip() for t in self.terms)
+        if len(terms) < 2 or not all(terms) or any(" " in t for t in terms) or len({t.lower() for t in terms}) < len(terms):
+            raise InvalidConfig(f"a synonym group needs two terms at least, none empty, repeated or with blanks: {self.terms!r}")
         object.__setattr__(self, "terms", terms)
 
     @property

@@ -150,6 +150,10 @@ class Retriever:
     def degraded(self) -> bool:
         return self.mode != "bm25" and self.vectors is None
 
+    def size(self) -> int:
+        """How many documents or chunks are searched."""
+        return self.docs.count()
+
     def _places(self, scored: DataFrame) -> DataFrame:
         return fold_places(placed(scored), self.owners) if self.owners is not None else placed(scored)
 

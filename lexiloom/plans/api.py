@@ -6,21 +6,24 @@ import json
 import re
 import sys
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl
 
 from lexiloom.plans.service import TOOLS, RepairService, SessionNotFound, UnknownTool
 
 #: Method, path and what it calls; {id} is a session.
 ROUTES = [
-    ("GET", "/health", lambda s, b: s.health()), ("GET", "/tools", lambda s, b: s.tools()), ("GET", "/evalset", lambda s, b: s.evalset()), ("GET", "/evaluate", lambda s, b: s.evaluate()),
+    ("GET", "/health", lambda s, b: s.health()), ("GET", "/tools", lambda s, b: s.tools()), ("GET", "/evalset", lambda s, b: s.evalset()), ("GET", "/evaluate", lambda s, b: s.evaluate(b.get("session_id"))),
     ("POST", "/search", lambda s, b: s.search(b["query"], b.get("k", 10), b.get("session_id"))), ("POST", "/analyze", lambda s, b: s.analyze(b["text"], b.get("session_id"))),
-    ("POST", "/sessions", lambda s, b: {"session_id": s.open(b["target_query"])}), ("GET", "/sessions", lambda s, b: s.list_sessions()),
+    ("POST", "/sessions", lambda s, b: {"session_id": s.open(b.get("target_query"))}), ("GET", "/sessions", lambda s, b: s.list_sessions()),
     ("GET", "/sessions/{id}", lambda s, b, i: s.describe(i)), ("DELETE", "/sessions/{id}", lambda s, b, i: s.delete(i)), ("POST", "/sessions/{id}/target", lambda s, b, i: s.pin_target(i, b["target_query"])),
     ("POST", "/sessions/{id}/tools", lambda s, b, i: s.call(i, b["tool"], b.get("arguments", {}))), ("POST", "/sessions/{id}/prescriptions", lambda s, b, i: s.submit(i, b)), ("GET", "/sessions/{id}/elasticsearch", lambda s, b, i: s.export(i)),
 ]
 
 
 def answer(service: RepairService, method: str, path: str, body: dict) -> tuple[int, object]:
-    """Status and payload: 404 for absent sessions and tools, 400 for bad requests, 202 for a rejected patch."""
+    """Status and payload: 201 for a new session, 404 for absent sessions and tools, 400 for bad requests, 202 for a rejected patch. Words after ? join the body."""
+    path, _, asked = path.partition("?")
+    body = dict(parse_qsl(asked)) | body
     for m, pattern, call in ROUTES:
         hit = re.fullmatch(pattern.replace("{id}", "([^/]+)"), path)
         if m != method or not hit:
@@ -36,7 +39,7 @@ def answer(service: RepairService, method: str, path: str, body: dict) -> tuple[
         if isinstance(out, dict) and out.get("is_error"):
             return 400, {"error": out["content"]}
         rejected = path.endswith("/prescriptions") and not out["content"]["accepted"]
-        return 202 if rejected else 200, out
+        return 202 if rejected else 201 if (method, path) == ("POST", "/sessions") else 200, out
     return 404, {"error": "no such route"}
 
 
@@ -47,7 +50,7 @@ def serve(service: RepairService, host: str = "127.0.0.1", port: int = 8000) ->
         def _do(self) -> None:
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
-                status, out = answer(service, self.command, self.path.split("?")[0], body)
+                status, out = answer(service, self.command, self.path, body)
             except json.JSONDecodeError as e:
                 status, out = 400, {"error": str(e)}
             data = json.dumps(out, ensure_ascii=False, default=str).encode()

@@ -153,7 +153,7 @@ def patches(spark, sf_dir, anchors: DataFrame) -> tuple[Prescription, Prescripti
     first = anchors.where("item_id % 2 = 0").orderBy("item_id").first().term
     frequent = engine(spark, sf_dir).index.doc_freq().where(F.char_length("term") >= 5).orderBy(F.desc("df"), "term").first().term
     said = "a q before the term was typed by mistake"
-    return Prescription("q" + first, "spelling_variant", said, synonym_groups=(SynonymGroup((first, "q" + first)),)), Prescription("q" + first, "spelling_variant", said, synonym_groups=(SynonymGroup((first, "q" + first, frequent)),))
+    return Prescription("q" + first, "spelling_variant", said, synonym_groups=(SynonymGroup((first, "q" + first)),)), Prescription("q" + first, "spelling_variant", said, synonym_groups=(SynonymGroup(tuple(dict.fromkeys((first, "q" + first, frequent)))),))
 
 
 def measured(spark, sf_dir) -> DataFrame:

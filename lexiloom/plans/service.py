@@ -152,13 +152,14 @@ class RepairService:
         rows = means_by_health(evaluate(self._engine(session), self.queries, self.qrels), self.queries).collect()
         return {r.segment: {"mean_ndcg": r.mean_ndcg, "zero_result_rate": r.zero_result_rate, "queries": r.n_queries} for r in rows}
 
-    def open(self, target: str) -> str:
-        if self.queries.where(F.col("query") == target).isEmpty():
+    def open(self, target: str | None = None) -> str:
+        """A session's key; one without a target takes patches for any query until it is pinned."""
+        if target is not None and self.queries.where(F.col("query") == target).isEmpty():
             raise LookupError(f"not in the evaluation set: {target!r}")
         key = uuid.uuid4().hex
         self._keep(Session(key, Executor(self.engine, self.queries, self.qrels, target, self.vectors)))
         if self.store:
-            self.store.create_session(key, target)
+            self.store.create_session(key, target or "")  # null marks a deleted one
         return key
 
     def _keep(self, session: Session) -> Session:
@@ -177,7 +178,7 @@ class RepairService:
         config, patches = self.engine.analyzer.config, self.store.patches(key)
         for patch in patches:
             config = patch.apply_to(config)
-        return self._keep(Session(key, Executor(self.engine.with_config(config), self.queries, self.qrels, row.target_query, self.vectors), stored=len(patches)))
+        return self._keep(Session(key, Executor(self.engine.with_config(config), self.queries, self.qrels, row.target_query or None, self.vectors), stored=len(patches)))
 
     def pin_target(self, key: str, target: str) -> None:
         s = self._session(key)

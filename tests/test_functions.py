@@ -71,3 +71,8 @@ def test_scripts_and_targets(spark):
     assert one(spark, text.has_hangul(F.lit("a한"))) and not one(spark, text.has_hangul(F.lit("abc")))
     assert one(spark, text.target_query(F.lit('실패 질의: "후라이팬" 등'))) == "후라이팬"
     assert one(spark, text.target_query(F.lit("none"))) is None
+
+
+def test_padding_counts_terminal_cells(spark):
+    rows = spark.createDataFrame([("ab",), ("한글",), ("a漢",), ("longer than that",)], "t string").select(text.padded("t", 6)).collect()
+    assert [r[0] for r in rows] == ["ab    ", "한글  ", "a漢   ", "longer than that"]

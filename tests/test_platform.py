@@ -157,12 +157,14 @@ def test_routes(service):
     assert answer(service, "GET", "/health", {})[0] == 200
     status, opened = answer(service, "POST", "/sessions", {"target_query": "후라이팬"})
     key = opened["session_id"]
-    assert status == 200 and answer(service, "POST", f"/sessions/{key}/prescriptions", BROAD)[0] == 202
+    assert status == 201 and answer(service, "POST", f"/sessions/{key}/prescriptions", BROAD)[0] == 202
     assert answer(service, "POST", f"/sessions/{key}/prescriptions", GOOD)[0] == 200
     assert "후라이팬 => 프라이팬" in json.dumps(answer(service, "GET", f"/sessions/{key}/elasticsearch", {})[1], ensure_ascii=False)
     assert answer(service, "GET", "/sessions/nope", {})[0] == answer(service, "POST", f"/sessions/{key}/tools", {"tool": "nope"})[0] == answer(service, "GET", "/nope", {})[0] == 404
     assert answer(service, "POST", "/search", {})[0] == answer(service, "POST", f"/sessions/{key}/prescriptions", {})[0] == 400
     assert answer(service, "GET", "/evaluate", {})[1]["healthy"]["mean_ndcg"] == 1.0
+    assert answer(service, "GET", f"/evaluate?session_id={key}", {})[1]["all"]["mean_ndcg"] > answer(service, "GET", "/evaluate", {})[1]["all"]["mean_ndcg"]
+    assert answer(service, "POST", "/sessions", {})[0] == 201 and answer(service, "GET", "/evaluate?session_id=nope", {})[0] == 404
 
 
 def test_http(service):
