@@ -298,6 +298,15 @@ def test_sum_of_squares_is_near_the_bound():
     assert bins.opened <= 1.02 * -(-lengths.sum() // 1024)
 
 
+def test_long_runs_are_seen_wherever_they_lie():
+    rng = np.random.default_rng(1)
+    for n in (2046, 2047, 2048, 2049, 5000):
+        for run in ("x" * n, " " * n, "\n\t" * (n // 2) + " " * (n % 2)):
+            for at in rng.integers(0, 4000, 8):
+                text = ("ab " * 2000)[:at].rstrip() + (" " if run[0] == "x" else "y") + run + (" " if run[0] == "x" else "y") + "ab " * 700
+                assert packing._has_long_run(text) == (n >= 2048)
+
+
 def test_the_rule_takes_the_smallest_sum():
     bins = packing.SumOfSquares(10)
     for gap, n in ((5, 3), (6, 1), (8, 2)):
