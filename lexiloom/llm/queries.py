@@ -92,7 +92,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_byte_bpe, op4_line_dedup, op5_media_columns, op6_best_fit_packing, op7_near_dedup, op8_exact_dedup, op9_quality_classifier, op10_pii)}
+WORDS_SQL = "select r, unnest(ws) as w, generate_subscripts(ws, 1) as pos, len(ws) as n from t"
 ORACLES = {
+    "op2_substring_dedup": f"""
+        with t as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+        words as ({WORDS_SQL}),
+        starts as (select r, pos, n, w, string_agg(w, ' ') over (partition by r order by pos rows between current row and {substrings.WINDOW - 1} following) as seq from words),
+        judged as (select r, pos, w, pos <= n - {substrings.WINDOW - 1} and count(*) over (partition by seq, pos <= n - {substrings.WINDOW - 1}) > 1 as again from starts),
+        covered as (select r, pos, w, bool_or(again) over (partition by r order by pos rows between {substrings.WINDOW - 1} preceding and current row) as gone from judged),
+        kept as (select r, count(*) filter (gone) as n_removed, string_agg(w, ' ' order by pos) filter (not gone) as kept from covered group by r)
+        select doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join kept using (r)""",
     "op4_line_dedup": f"""
         with lines as (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
         inked as (select * from lines where not regexp_full_match(line, '[\\x20\\x09-\\x0D]*')),
@@ -102,6 +111,26 @@ ORACLES = {
         n as (select doc_id, count(*) as n_lines from inked group by doc_id), r as (select doc_id, count(*) as n_removed from gone group by doc_id)
         select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
         from documents d left join n using (doc_id) left join r using (doc_id) left join kept k using (doc_id)""",
+    "op7_near_dedup": f"""
+        with recursive t as materialized (select row_number() over () as r, text, least, copies, regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+') as ws
+            from (select coalesce(text, '') as text, min(doc_id) as least, count(*) as copies from documents group by all)),
+        words as ({WORDS_SQL}),
+        starts as (select r, pos, n, string_agg(w, ' ') over (partition by r order by pos rows between current row and {near_dedup.SHINGLE - 1} following) as s from words),
+        counted as materialized (select r, s, count(*) as c from starts where pos <= greatest(n - {near_dedup.SHINGLE - 1}, 1) group by r, s),
+        sizes as materialized (select r, count(*) as n, sum(c) as total, max(c) as most from counted group by r),
+        common as materialized (select a.r as x, b.r as y, count(*) as n, sum(least(a.c / p.total, b.c / q.total)) as shared from counted a join counted b on a.s = b.s and a.r < b.r join sizes p on p.r = a.r join sizes q on q.r = b.r group by a.r, b.r),
+        pairs as materialized (select x, y, c.n / (a.n + b.n - c.n) as plain, shared, greatest(a.most, b.most) as most from common c join sizes a on a.r = x join sizes b on b.r = y),
+        -- The probability Jaccard similarity is at most the shared probability, so few pairs need it.
+        unsure as (select x, y from pairs where plain < {near_dedup.SIMILARITY} and most > 1 and shared >= {near_dedup.SIMILARITY} - 1e-6),
+        both_ as (select u.x, u.y, a.s, a.c::double as cx, b.c::double as cy, p.total - sum(a.c) over (partition by u.x, u.y) as rest_x, q.total - sum(b.c) over (partition by u.x, u.y) as rest_y
+            from unsure u join counted a on a.r = u.x join counted b on b.r = u.y and b.s = a.s join sizes p on p.r = u.x join sizes q on q.r = u.y),
+        weighted as (select x, y, 1 / ((rest_x + sum(cx) over (partition by x, y order by cx / cy, s rows between current row and unbounded following)) / cx + (rest_y + coalesce(sum(cy) over (partition by x, y order by cx / cy, s rows between unbounded preceding and 1 preceding), 0)) / cy) as part from both_),
+        links as (select x, y from pairs where plain >= {near_dedup.SIMILARITY} union all select x, y from weighted group by x, y having sum(part) >= {near_dedup.SIMILARITY}),
+        edges as materialized (select x, y from links union all select y, x from links),
+        reach as (select r as a, r as b from t union select reach.a, edges.y from reach join edges on edges.x = reach.b),
+        heads as materialized (select a as r, min(b) as head from reach group by a),
+        classes as (select head, min(least) as class_id, sum(copies)::bigint as class_size from heads join t using (r) group by head)
+        select d.doc_id, c.class_id, c.class_size from documents d join t on t.text = coalesce(d.text, '') join heads using (r) join classes c using (head)""",
     "op8_exact_dedup": """
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents),
         g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
