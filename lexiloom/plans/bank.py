@@ -16,7 +16,7 @@ from lexiloom.operators import chunking, config, evaluation, mining, retrieval,
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup
 from lexiloom.operators.index import Engine
-from lexiloom.sources import lake, shared, synthetic
+from lexiloom.sources import lake, search_server, shared, synthetic
 from lexiloom.streaming.mining import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,57 @@ VERDICT_SQL = """, long as (select b.query, x.metric, x.was, x.now from m b join
         select case when target_after < target_before + 0.05 then 'target not improved' when n_regressions > 0 then 'regressions' when mean_after < mean_before - 0.02 then 'mean dropped' else '' end as reason, v.* from v"""
 
 
+#: Blanks as the splitting functions see them: of ASCII, and of Unicode.
+ASCII_BLANK, BLANK = "[\\x09-\\x0D\\x20]", "[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+def lines_sql(c: str) -> str:
+    """Without zero-width marks, blanks before line feeds and runs of empty lines."""
+    return strip_sql(f"regexp_replace(regexp_replace(regexp_replace({c}, '[\\x{{200B}}\\x{{FEFF}}]', '', 'g'), '[ \\t]+\\n', E'\\n', 'g'), '\\n{{3,}}', E'\\n\\n', 'g')")
+
+
+def pieces_sql(c: str, cut: str) -> str:
+    """The parts of c between strings `cut`, stripped, without empty ones."""
+    return f"list_filter(list_transform(string_split({c}, {cut}), lambda s: {strip_sql('s')}), lambda s: s <> '')"
+
+
+def sentences_sql(c: str) -> str:
+    return pieces_sql(f"regexp_replace(regexp_replace({c}, '([다요임함])\\.{ASCII_BLANK}', '\\1' || chr(1), 'g'), '([.!?]){ASCII_BLANK}', '\\1' || chr(1), 'g')", "chr(1)")
+
+
+def pack_sql(units: str, size: int, joiner: str) -> str:
+    put = f"case when length(a[-1]) + length({joiner}) + length(x[1]) <= {size} then list_concat(list_slice(a, 1, len(a) - 1), [a[-1] || {joiner} || x[1]]) else list_concat(a, x) end"
+    return f"list_reduce(list_transform({units}, lambda u: [u]), lambda a, x: {put}, []::varchar[])"
+
+
+def hard_split_sql(c: str, size: int) -> str:
+    return f"list_transform(range(1, length({c}) + 1, {size}), lambda i: substring({c}, i, {size}))"
+
+
+def split_text_sql(c: str, size: int, paragraph: str) -> str:
+    by_sentence = f"case when length(p) <= {size} then [p] else flatten(list_transform({pack_sql(sentences_sql('p'), size, repr(' '))}, lambda z: case when length(z) <= {size} then [z] else {hard_split_sql('z', size)} end)) end"
+    packed = pack_sql(pieces_sql(c, paragraph), size, "E'\\n\\n'")
+    return f"case when length({c}) <= {size} then list_filter([{c}], lambda p: p <> '') else flatten(list_transform({packed}, lambda p: {by_sentence})) end"
+
+
+def chunks_sql(paragraph: str, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> str:
+    """CTE chunks(doc_id, n, heading, text) of the documents."""
+    tail = f"{sentences_sql(f'substring(pieces[k - 1], greatest(length(pieces[k - 1]) - {overlap} + 1, 1), {overlap})')}[-1]"
+    return f"""plain as (select doc_id, {lines_sql("coalesce(text, '')")} as t from documents),
+        cut as (select doc_id, unnest(string_split(h, chr(1))) as part, unnest(range(len(string_split(h, chr(1))))) as sec from (select doc_id, regexp_replace(t, '(?m)^#{{1,6}}{ASCII_BLANK}+', chr(1), 'g') as h from plain)),
+        sections as (select doc_id, sec, case when sec = 0 then '' else {strip_sql("split_part(part, chr(10), 1)")} end as heading, case when sec = 0 then {strip_sql("part")} when contains(part, chr(10)) then {strip_sql("part[strpos(part, chr(10)) + 1:]")} else '' end as body from cut),
+        split as (select doc_id, sec, heading, {split_text_sql("body", size, paragraph)} as pieces from sections),
+        places as (select *, unnest(range(1, len(pieces) + 1)) as k from split),
+        lapped as (select doc_id, sec, k, heading, case when k = 1 then pieces[1] else concat_ws(' ', {tail}, pieces[k]) end as text from places),
+        found as (select * from lapped where text <> ''),
+        whole as (select doc_id, 0 as sec, '' as heading, unnest(pieces) as text, unnest(range(1, len(pieces) + 1)) as k from (select doc_id, {split_text_sql("t", size, paragraph)} as pieces from plain where doc_id not in (select doc_id from found))),
+        chunks as (select doc_id, heading, text, row_number() over (partition by doc_id order by sec, k) - 1 as n from (select doc_id, sec, k, heading, text from found union all select doc_id, sec, k, heading, text from whole))"""
+
+
 # ---- the evaluation set ----------------------------------------------------------------------------------------------
 
 
@@ -342,6 +393,21 @@ def base_diff(spark, sf_dir):
     return evaluation.compare(before.join(low, F.col("query") != F.col("low")).drop("low"), after.join(high, F.col("query") != F.col("high")).drop("high"))
 
 
+@query(f"{gate_sql(BROAD_TERM)} {VERDICT_SQL.rpartition('v as (')[0].rstrip().rstrip(',')} select l.query, metric, was as before, now as after from long l join evalq e using (query) where family is null and metric <> 'precision5' and now < was - 0.02")
+def harn_healthy_regressions(spark, sf_dir):
+    from lexiloom.plans.doctor import RepairRun, healthy_regressions
+
+    before, after, _ = before_after(spark, sf_dir, True)
+    return healthy_regressions(RepairRun([], engine(spark, sf_dir), before, after), evaluation_set(spark, sf_dir)[0])
+
+
+@query(f"{gate_sql(BROAD_TERM)} select query, m.ndcg as local_ndcg, am.ndcg as remote_ndcg, round(am.ndcg - m.ndcg, 4) as delta, abs(round(am.ndcg - m.ndcg, 4)) > 0.05 as diverged from m join am using (query)")
+def es_divergence(spark, sf_dir):
+    """The engine with a broad patch in place of another backend."""
+    before, after, _ = before_after(spark, sf_dir, True)
+    return search_server.divergence(before, after)
+
+
 @query()
 def harn_repair(spark, sf_dir):
     """The outcome of the rule doctor on each failing query."""
@@ -460,6 +526,15 @@ def doc_rule_variant(spark, sf_dir):
     return similar.rule_variant(rule_input(spark, sf_dir)).select("query", F.array_join("synonyms", " ").alias("synonyms"))
 
 
+@query(f"{RULES_SQL} select probe as query, probe as user_word, token || ' ' || probe as synonyms from (select *, row_number() over (partition by probe order by position) as rn from best where length(probe) % 2 = 0 and similarity >= 0.65 and abs(length(token) - length(probe)) <= 2) where rn = 1")
+def doc_rule_garbage(spark, sf_dir):
+    """Failing queries of an even length, as an analyzer would give them that knows none of their words: character by character."""
+    found = rule_input(spark, sf_dir)
+    letters = F.when(F.char_length("term") % 2 == 0, F.filter(F.split("term", ""), lambda c: c != "")).otherwise(F.array("term"))
+    queries = probes(spark, sf_dir).select(F.col("term").alias("query"), letters.alias("tokens"))
+    return similar.rule_garbage_split(found, queries).select("query", "user_word", F.array_join("synonyms", " ").alias("synonyms"))
+
+
 @query(f"with {index_sql()}, probes as (select distinct w as probe from (select unnest({WORDS.format('text')}) as w from benchmark where item_id % 50 = 0)), {SPELLED_SQL}, near as (select *, row_number() over (partition by probe order by similarity desc, token) as position from spelled) select query, word, parts from (select probe as query, token as word, case when suffix(token, probe) then token[:length(token) - length(probe)] || ' ' || probe else probe || ' ' || token[length(probe) + 1:] end as parts, row_number() over (partition by probe order by position) as rn from near where position <= 8 and length(probe) >= 2 and length(token) > length(probe) and (suffix(token, probe) or prefix(token, probe))) where rn = 1")
 def doc_rule_compound(spark, sf_dir):
     """Words of some passages as parts of compounds."""
@@ -577,11 +652,43 @@ def rag_fold(spark, sf_dir):
     return retrieval.ranked(folded).select("query", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query(f"with {chunks_sql('chr(10)')} select doc_id, doc_id || '#' || n as chunk_id, n, heading, text from chunks")
 def rag_chunks(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), paragraph="\n").select("doc_id", "chunk_id", F.col("n").cast("bigint").alias("n"), "heading", "text")
 
 
+@query(f"with {chunks_sql('chr(10) || chr(10)')} select c.doc_id, n, coalesce(nullif(heading, ''), source) as heading, md5(concat_ws(chr(10), coalesce(nullif(heading, ''), source), c.text)) as display from chunks c join documents d using (doc_id)")
+def rag_chunk_display(spark, sf_dir):
+    """Chunks as they are shown: a document's source stands in for a section without a heading."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
+    return chunking.chunk_knowledge(docs).select("doc_id", F.col("n").cast("bigint").alias("n"), "heading", F.md5("display").alias("display"))
+
+
+@query(f"select doc_id, n - 1 as n, s[n] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as n from (select doc_id, {sentences_sql('text')} as s from documents))")
+def str_sentences(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n").cast("bigint"))
+
+
+@query(f"with {index_sql()}, {BENCH_ASKED}, {hits_sql('', 'asked', 3)} select query, md5(string_agg('[' || rank || '] ' || coalesce(source, '') || chr(10) || text, chr(10) || chr(10) order by rank)) as context from hits join documents using (doc_id) group by query")
+def rag_context(spark, sf_dir):
+    """The three best documents of each passage, as a prompt gets them."""
+    e = engine(spark, sf_dir)
+    got = retrieval.Retriever(e.tokens, "bm25", index=e.index).retrieve(asked(spark, sf_dir)).select("query", "doc_id", "rank")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), "text")
+    return retrieval.render_context(got.join(docs, "doc_id")).select("query", F.md5("context").alias("context"))
+
+
+FAMILIES_SQL = f"held as (select distinct doc_id, w as family from (select doc_id, unnest({WORDS.format('text')}) as w from documents) where w in ({', '.join(map(repr, STOP_WORDS))})), told as (select doc_id from held group by doc_id having count(*) < (select count(distinct family) from held))"
+
+
+@query(f"with {FAMILIES_SQL} select family as query, doc_id from held join told using (doc_id)")
+def rag_relevant(spark, sf_dir):
+    """The documents that have a function word but not all of them, for each such word."""
+    asked = spark.createDataFrame([(w, w) for w in STOP_WORDS], "query string, family string")
+    families = F.array_intersect(Analyzer().tokens("text"), F.array(*map(F.lit, STOP_WORDS)))
+    return retrieval.relevant_docs(asked, documents(spark, sf_dir).where("text is not null").select("doc_id", families.alias("families")))
+
+
 @query("select doc_id, (i - 1) // 400 as n, text[i:i + 399] as piece from (select doc_id, text, unnest(range(1, length(text) + 1, 400)) as i from documents)")
 def rag_fixed_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(text.hard_split(F.col("text"), 400)).alias("n", "piece")).withColumn("n", F.col("n").cast("bigint"))
