@@ -31,6 +31,8 @@ BANDS, ROWS = 30, 5
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Equal registers from which on a pair is a candidate: over four standard errors below the threshold.
 LIKELY = 0.65
+#: Edges between contracted components that one task joins, some 50 MB.
+FEW = 200_000
 #: Nodes from which on a bucket of several components gets further centres, and rows that tell its modal registers.
 CROWD, MODAL = 64, 1024
 
@@ -210,17 +212,39 @@ def _nearness(batch: pa.RecordBatch) -> dict:
     return {"key": column(batch, "key"), "node": column(batch, "node"), "near": (sig == mode).sum(1).astype(np.int32)}
 
 
+def _united(batches):
+    """node, root (the least node of its component) for all nodes of edges a, b, which are FEW at most."""
+    root: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.binary()), pa.array([top(x) for x in root], pa.binary())], names=["node", "root"])
+
+
 def components(edges: DataFrame, scratch: list[str]) -> DataFrame:
-    """node, label (the least node of its component) for all nodes in edges(a, b): each node hooks to its least neighbour below, edges are contracted, until none is left."""
+    """node, label (the least node of its component) for all nodes in edges(a, b).
+
+    Each node hooks to its least neighbour below and edges are contracted, until FEW are left; those go through one task.
+    """
+    if edges.count() <= FEW:
+        return stored(edges.where("a != b").coalesce(1).mapInArrow(_united, "node binary, root binary").withColumnRenamed("root", "label"), "labels", scratch)
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", scratch)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label"))
-    while not edges.isEmpty():
+    while edges.count() > FEW:
         hook = stored(edges.groupBy("a").agg(F.min("b").alias("up")), "hooks", scratch)
         nodes = nodes.join(hook.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         moved = edges.join(hook, "a").select(F.col("up").alias("a"), "b")
         moved = moved.join(hook.select(F.col("a").alias("b"), F.col("up").alias("to")), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
         edges = stored(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", scratch)
-    return stored(nodes, "labels", scratch)
+    rest = edges.coalesce(1).mapInArrow(_united, "node binary, root binary").withColumnRenamed("node", "label")
+    return stored(nodes.join(rest, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels", scratch)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -724,7 +724,9 @@ def test_rank_files_are_base64(tmp_path):
     assert bpe_ranks(str(path))[b"\xff"] == 255
 
 
-def test_components_follow_chains(spark):
+@pytest.mark.parametrize("few", [0, 20, 200_000])
+def test_components_follow_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
     rng = np.random.default_rng(12)
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(100) if i % 9] + [("500", "501"), ("501", "502"), ("502", "500"), ("700", "700")]
     edges = [edges[i] for i in rng.permutation(len(edges))]
