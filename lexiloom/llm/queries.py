@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, exact_dedup, line_dedup, media, near_dedup, packing, pii, quality, substrings, token_counts
+from lexiloom.llm import bpe, conversation_trie, exact_dedup, language, line_dedup, media, near_dedup, packing, pii, quality, substrings, token_counts, vector_codes
 from lexiloom.llm.common import stored
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -91,8 +91,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_byte_bpe, op4_line_dedup, op5_media_columns, op6_best_fit_packing, op7_near_dedup, op8_exact_dedup, op9_quality_classifier, op10_pii)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.where(~quality.held_out()))
+    return language.predict(docs, model).select("doc_id", quality.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(coded.digest).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_byte_bpe, op4_line_dedup, op5_media_columns, op6_best_fit_packing, op7_near_dedup, op8_exact_dedup, op9_quality_classifier, op10_pii, op11_language_id, op12_conversation_trie, op13_vector_codes)}
 WORDS_SQL = "select r, unnest(ws) as w, generate_subscripts(ws, 1) as pos, len(ws) as n from t"
+#: crc32 of a decimal number, byte by byte over the table of remainders.
+CRC_SQL = "xor(4294967295, list_reduce(list_transform(string_split(c::varchar, ''), lambda ch: ascii(ch)::bigint), lambda crc, b: xor(crc >> 8, crc_table[(xor(crc, b) & 255) + 1]), 4294967295::bigint))"
+CRC_TABLE_SQL = "(select list_transform(range(256), lambda n: list_reduce(range(8), lambda crc, i: case when crc & 1 = 1 then xor(3988292384::bigint, crc >> 1) else crc >> 1 end, n::bigint)) as crc_table)"
+_SQUARE = "sum((v.x - b.x) * (v.x - b.x))"
+
+
+def _lloyd_sql() -> str:
+    """The rounds: books0, then near0 and books1 of it, and so on to the last assignment."""
+    out = []
+    for r in range(vector_codes.ROUNDS + 1):
+        out.append(f"far{r} as (select v.r, v.part, b.entry, {_SQUARE} as far from cut v join books{r} b on b.part = v.part and b.place = v.place group by v.r, v.part, b.entry), near{r} as materialized (select r, part, min((far, entry)) as best from far{r} group by r, part)")
+        if r < vector_codes.ROUNDS:
+            out.append(f"mean{r} as (select v.part, (n.best)[2] as entry, v.place, floor(sum(v.x)::double / count(*))::bigint as x from near{r} n join cut v on v.r = n.r and v.part = n.part group by all), books{r + 1} as materialized (select b.part, b.entry, b.place, coalesce(m.x, b.x) as x from books{r} b left join mean{r} m using (part, entry, place))")
+    return ", ".join(out)
+
+
 ORACLES = {
     "op2_substring_dedup": f"""
         with t as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
@@ -135,4 +166,22 @@ ORACLES = {
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents),
         g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
         select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256 from t join g on t.norm = g.norm""",
+    "op12_conversation_trie": f"""
+        with turns as (select conv_id as c, conv_id - conv_id % {conversation_trie.FAMILY} as base, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos from conversations where conv_id is not null),
+        convs as (select distinct c, base, {CRC_SQL} % {conversation_trie.HEADS} as h from (select distinct c, base from turns), {CRC_TABLE_SQL}),
+        whole as (select v.c, t.pos, t.role, t.text from convs v join turns t on t.c = v.base and t.pos <= v.h union all select v.c, (select count(*) from turns b where b.c = v.base and b.pos <= v.h) + t.pos - v.h, t.role, t.text from convs v join turns t on t.c = v.c and t.pos > v.h),
+        paths as materialized (select c, pos as depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words, string_agg(sha256(length(role) || ':' || role || text), '' order by pos) over (partition by c order by pos rows unbounded preceding) as path from whole union all select c, 0, 0, '' from convs),
+        lengths as (select c, max(depth) as len from paths group by c),
+        nodes as materialized (select path, any_value(depth) as depth, any_value(words) as words, count(*) as n_convs, min(c) as conv_id, string_agg(c::varchar, ',' order by c) filter (len = depth) as ends from paths join lengths using (c) group by path),
+        kids as (select left(path, length(path) - 64) as path, count(*) as n_children from nodes where depth > 0 group by 1),
+        full_ as materialized (select n.*, coalesce(k.n_children, 0) as n_children from nodes n left join kids k using (path)),
+        sums as (select a.path, sum((b.n_children = 0)::int)::bigint as n_leaves, sum((b.n_convs - 1) * b.words)::bigint as saved_tokens from full_ a join full_ b on starts_with(b.path, a.path) group by a.path)
+        select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(f.ends, '')) as ends_sha256
+        from full_ f join sums s using (path) left join nodes p on f.depth > 0 and p.path = left(f.path, length(f.path) - 64)""",
+    "op13_vector_codes": f"""
+        with kept as (select row_number() over (order by vec_id) as r, vec_id, label, embedding as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        cut as materialized (select r, (i - 1) // (len(v) // {vector_codes.PARTS}) as part, (i - 1) % (len(v) // {vector_codes.PARTS}) as place, floor({vector_codes.SCALE} * v[i]::double)::bigint as x from (select r, v, unnest(range(1, len(v) + 1)) as i from kept)),
+        books0 as (select part, r - 1 as entry, place, x from cut where r <= {vector_codes.ENTRIES}), {_lloyd_sql()},
+        coded as (select k.vec_id, k.label, string_agg(printf('%02x', (n.best)[2]), '' order by n.part) as code, sum((n.best)[1])::bigint as error from near{vector_codes.ROUNDS} n join kept k using (r) group by k.r, k.vec_id, k.label)
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(x::varchar, ',' order by part, entry, place)) from books{vector_codes.ROUNDS}) as codebooks_sha256 from coded""",
 }

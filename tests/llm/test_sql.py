@@ -13,7 +13,9 @@ DATA = "/root/testdata/sf0.001"
 def differences(spark, name, folder, out):
     """Rows only in the query's result, rows only in the SQL's, and rows of the result."""
     con = duckdb.connect()
-    con.execute(f"create view documents as from read_parquet('{folder}/documents.parquet{'/*.parquet' if os.path.isdir(f'{folder}/documents.parquet') else ''}')")
+    for table in ("documents", "conversations", "embeddings"):
+        if os.path.exists(path := f"{folder}/{table}.parquet"):
+            con.execute(f"create view {table} as from read_parquet('{path}{'/*.parquet' if os.path.isdir(path) else ''}')")
     df = queries.QUERIES[name](spark, folder)
     df.write.parquet(str(out))
     cols = ", ".join(sorted(df.columns))
