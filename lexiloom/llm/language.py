@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import column, mapped, slices, whole_text
+from lexiloom.llm.common import cleared, column, mapped, slices, stored, whole_text
 
 #: Bytes of the longest context; a text starts behind as many zero bytes.
 ORDER = 4
@@ -210,18 +210,24 @@ class Languages:
 def train(docs: DataFrame, limit: int = GRAMS, order: int = ORDER) -> Languages:
     """Counts the grams of all of docs(text, lang), whole texts; rows with a null text or lang are left out.
 
-    A language's tree keeps its `limit` most frequent grams, ties by the gram, so the model that reaches the driver and
-    the workers is bounded; the counts are of all texts.
+    A language's tree keeps about its `limit` most frequent grams, so the model that reaches the driver and the workers
+    is bounded; the counts are of all texts. Which count is the last one comes from the numbers of grams with each
+    count, so that no task ranks a language's grams; of the grams with that count a share by their hashes is kept.
     """
-    counted = gram_counts(docs, order)
-    best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= limit).drop("rank")
-    rows = best.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("g")).select("lang", F.transform("g", lambda s: s["gram"]).alias("gram"), F.transform("g", lambda s: s["n"]).alias("n"))
+    scratch: list[str] = []
+    counted = stored(gram_counts(docs, order), "grams", scratch)
+    by_count = counted.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("size"))  # a row for each count that occurs
+    above = F.sum("size").over(Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    room = by_count.withColumn("room", F.least("size", F.greatest(limit - F.coalesce(above, F.lit(0)), F.lit(0)))).where("room > 0")
+    fits = counted.join(room, ["lang", "n"]).where((F.col("room") == F.col("size")) | (F.pmod(F.xxhash64("gram"), "size") < F.col("room")))
+    found = fits.select("lang", "gram", "n").toArrow()
+    cleared(docs.sparkSession, scratch)
+    langs, keys, counts = np.array(found["lang"].to_pylist(), object), found["gram"].to_numpy(), found["n"].to_numpy()
     out = {}
-    for batch in rows.toArrow().to_batches():
-        for i, lang in enumerate(column(batch, "lang").to_pylist()):
-            keys, n = (column(batch, c)[i].values.to_numpy() for c in ("gram", "n"))
-            up = np.argsort(keys)
-            out[lang] = keys[up].astype(np.uint64), n[up]
+    for lang in sorted(set(langs)):
+        here = np.flatnonzero(langs == lang)
+        here = here[np.argsort(keys[here])]
+        out[lang] = keys[here].astype(np.uint64), counts[here]
     return Languages(out, order)
 
 

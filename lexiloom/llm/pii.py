@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Further candidates.
 SECRET = re.compile(
     r"(?<![A-Za-z0-9_])(?:eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|(?:sk|pk|rk|glpat|pypi|xox[abprs])-[A-Za-z0-9_-]{16,}"
-    r"|(?<![+/])(?=[A-Za-z0-9]{0,64}[+/])[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_]{20,})"
+    r"|(?<![+/])(?=[A-Za-z0-9]*+[+/])[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_]{20,})"
 )
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -170,7 +170,13 @@ def describe(text: str, span: Span) -> tuple[int, int, int]:
 
 
 class SpanModel:
-    """Weights over one-hot kind, votes and features; spans from 0.5 on are personal data."""
+    """Weights over one-hot kind, votes and features.
+
+    Spans from 0.5 on are personal data, by probabilities rounded to TIE decimals: a tie is kept, and the last bits of
+    a sum, which differ between processors, decide nothing.
+    """
+
+    TIE = 9
 
     def __init__(self, weights: np.ndarray, reliability: dict[str, list[float]]) -> None:
         self.weights, self.reliability = weights, reliability
@@ -182,7 +188,10 @@ class SpanModel:
 
     def probability(self, kind, votes, length, digits) -> np.ndarray:
         z = self.inputs(*(np.asarray(v, int) for v in (kind, votes, length, digits))) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).round(self.TIE)
+
+    def accepts(self, kind, votes, length, digits) -> np.ndarray:
+        return self.probability(kind, votes, length, digits) >= 0.5
 
 
 def expectation_maximisation(kind: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, dict]:
@@ -254,14 +263,14 @@ def _accepted(model: SpanModel, rows: list[list[dict]]) -> list[list[Span]]:
     """Each row's base spans and those others that the model accepts, by kind, then start."""
     order = {k: i for i, k in enumerate(KINDS)}
     flat = [s for r in rows for s in r if not s["base"]]
-    keep = iter(model.probability([order[s["kind"]] for s in flat], *([s[n] for s in flat] for n in ("votes", "length", "digits"))) >= 0.5 if flat else [])
+    keep = iter(model.accepts([order[s["kind"]] for s in flat], *([s[n] for s in flat] for n in ("votes", "length", "digits"))) if flat else [])
     return [sorted(((s["kind"], s["start"], s["end"], s["base"]) for s in r if s["base"] or next(keep)), key=lambda s: (order[s[0]], s[1])) for r in rows]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of kind, start, end, base; by kind in KINDS' order, then start; code points, end exclusive) for each row.
 
-    Base spans always stay; others stay if the trained classifier accepts them. Null texts are empty and have no
+    Base spans always stay; others stay if the trained classifier accepts them, ties included (SpanModel). Null texts are empty and have no
     spans; repeated rows give repeated results; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

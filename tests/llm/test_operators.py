@@ -676,8 +676,28 @@ def test_the_span_classifier_follows_its_posteriors():
     patterns = [("secret", v, 6, d, 40) for v in range(27) for d in (2, 5)]
     model = pii.train(patterns)
     post, _ = pii.expectation_maximisation(np.full(27, pii.KINDS.index("secret")), np.arange(27), np.full(27, 80))
-    p = model.probability([pii.KINDS.index("secret")] * 27, np.arange(27), [6] * 27, [2] * 27)
-    assert ((p >= 0.5) == (post >= 0.5)).all()
+    accepted = model.accepts([pii.KINDS.index("secret")] * 27, np.arange(27), [6] * 27, [2] * 27)
+    post = post.round(model.TIE)
+    assert (post == 0.5).any() and (accepted == (post >= 0.5)).all()  # ties are kept
+
+
+def test_ties_are_kept_whatever_the_last_bits():
+    for bit in (-1e-13, 0.0, 1e-13):
+        w = np.zeros(len(pii.KINDS) + 32)
+        w[-1] = bit
+        assert pii.SpanModel(w, {}).accepts([0], [0], [1], [1]).all()
+    w[-1] = -1e-6
+    assert not pii.SpanModel(w, {}).accepts([0], [0], [1], [1]).any()
+
+
+def test_random_keys_are_candidates_as_a_whole():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    for _ in range(2000):
+        key = "".join(rng.choice(letters, 120))
+        text = f"key = {key} and on"
+        base = [(a, b) for _, a, b, _ in pii.base_spans(text)]
+        assert base or (6, 126) in [(a, b) for kind, a, b, _ in pii.candidates(text) if kind == "secret"]
 
 
 def test_redaction_masks_and_keeps_the_rest(spark):

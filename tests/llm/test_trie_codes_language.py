@@ -82,9 +82,12 @@ def test_counts_of_grams_are_of_all_texts_whatever_the_partitions(spark, docs, t
 
 
 def test_a_tree_keeps_its_most_frequent_grams(spark):
-    model = language.train(spark.createDataFrame([("aaaaaaaab", "x")], "text string, lang string"), limit=2)
-    keys, n = model.grams["x"]
-    assert n.tolist() == [1, 4] and keys.tolist() == [ord("a"), int.from_bytes(b"aaaaa", "big")]
+    docs = spark.createDataFrame([("a" * 300 + "".join(f"{i:04d}" for i in range(500)), "x")], "text string, lang string")
+    whole = dict(zip(*map(np.ndarray.tolist, language.train(docs).grams["x"]), strict=True))
+    for limit in (1, 50, 300):
+        keys, n = language.train(docs, limit=limit).grams["x"]
+        assert n.tolist() == [whole[k] for k in keys.tolist()] and int.from_bytes(b"aaaaa", "big") in keys.tolist()
+        assert sorted(whole.values())[-len(n) :] == sorted(n) and 0.5 * limit < len(n) < 1.5 * limit + 1
 
 
 def test_languages_of_awkward_rows(spark, awkward, empty):
