@@ -30,8 +30,9 @@ def spread_lines(docs: DataFrame, site_col: str = "source", text_col: str = "tex
 
     Two 64-bit hashes name a line; x is a hash of the row's text. A null site counts as one site of its own.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("\x00")).alias("site"), F.col(text_col).alias("t"))
-    lines = rows.select("id", "site", F.xxhash64("t").alias("x"), F.posexplode(_lines(F.col("t"))).alias("at", "line")).where(~F.col("line").rlike(BLANK))
+    # The text's hash is taken below the explosion, which would else take it for each line.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("\x00")).alias("site"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("x"))
+    lines = rows.select("id", "site", "x", F.posexplode(_lines(F.col("t"))).alias("at", "line")).where(~F.col("line").rlike(BLANK))
     lines = lines.select("id", "site", "x", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2"))
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("about"), F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "x", "at")).alias("first"))
     margin = max(1.0, MARGIN * sites)
@@ -56,7 +57,10 @@ def dedup_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__key"), F.xxhash64(F.col(text_col)).alias("__hash"))
     rows = rows.join(gone, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__x")), "left")
     parts = _lines(F.col("__row")[text_col])
-    kept = F.when(F.col("__at").isNull(), F.col("__row")[text_col]).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__at", i)), "\n"))
+    # array_except hashes the places, so this is linear in the lines; the lines are bound to a name, to be split once.
+    staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__at")
+    joined = F.element_at(F.transform(F.array(parts), lambda lines: F.array_join(F.transform(staying, lambda i: F.get(lines, i)), "\n")), 1)
+    kept = F.when(F.col("__at").isNull(), F.col("__row")[text_col]).otherwise(joined)
     return rows.select(
         *((kept if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns),
         F.coalesce(F.size(F.filter(parts, lambda line: ~line.rlike(BLANK))), F.lit(0)).cast("long").alias("__lines"),
