@@ -21,6 +21,8 @@ LEAF = 32
 #: A pre-token's match can depend on this many characters behind its end: a run of blanks looks at the one that it
 #: leaves to the next word and at what follows it, an apostrophe at two letters.
 BEHIND = 2
+#: Characters behind an edit that are read at first.
+WINDOW = 32
 REMEMBERED = 200_000
 #: Bytes of text whose trees a worker holds at once; their lists take some thirty times as much.
 SLICE = 1 << 20
@@ -121,11 +123,30 @@ class TokenTree:
 
     def edit(self, start: int, end: int, put: str) -> None:
         """Replaces the characters from start to end (exclusive) by `put`. Bounds beyond the text are cut to it."""
-        size = len(self.text)
-        start = min(max(start, 0), size)
-        end = min(max(end, start), size)
+        self.edit_all([(start, end, put)])
+
+    def edit_all(self, edits: list[tuple[int, int, str]]) -> None:
+        """Applies edits by the characters of the present text, not overlapping, from the last to the first.
+
+        An edit reads its surroundings only; the text is put together once, in the end.
+        """
+        text, size = self.text, len(self.text)
+        done: list[tuple[int, int, str]] = []  # from the last in the text to the nearest
+        for start, end, put in sorted(edits, reverse=True):
+            start = min(max(start, 0), size)
+            end = min(max(end, start), size)
+            self._replace(start, end, put, lambda n, end=end: _behind(text, end, done, n))
+            done.append((start, end, put))
+        parts, at = [], 0
+        for start, end, put in reversed(done):
+            parts += [text[at:start], put]
+            at = end
+        self.text = "".join([*parts, text[at:]])
+
+    def _replace(self, start: int, end: int, put: str, behind: Callable[[int], str]) -> None:
+        """One edit on the tree; behind(n) are the next n characters of the text as it is now behind the edit."""
         shift = len(put) - (end - start)
-        new = self.text[:start] + put + self.text[end:]
+        size = self.chars[1] + shift
         # The first pre-token that can change: the one whose end lies BEHIND characters before the edit or later.
         leaf, k, at = self._at(max(0, start - BEHIND))
         first = (leaf, k)
@@ -134,8 +155,10 @@ class TokenTree:
         if old_at < end:
             old_at += self.leaf_chars[old_leaf][old_k]
             old_k += 1
+        ahead, before = WINDOW, self.text[at:start] + put
+        window = before + behind(ahead)
         pieces, here = [], at
-        while here < len(new):
+        while here < size:
             while old_at + shift < here:
                 while old_k >= len(self.leaf_chars[old_leaf]):
                     old_leaf, old_k = old_leaf + 1, 0
@@ -143,14 +166,17 @@ class TokenTree:
                 old_k += 1
             if here >= start + len(put) and old_at + shift == here:
                 break
-            m = self.counter.pattern.match(new, here)
+            m = self.counter.pattern.match(window, here - at) if here - at < len(window) else None
+            if at + len(window) < size and (m is None or m.end() + BEHIND >= len(window) or window[m.end() :].isspace()):
+                ahead *= 4  # what lies beyond the window could have a say
+                window = before + behind(ahead)
+                continue
             pieces.append(m[0])
-            here = m.end()
+            here = at + m.end()
         else:
             old_leaf, old_k = len(self.leaf_chars) - 1, len(self.leaf_chars[-1])
         counts = self.counter.counts(pieces)
         self.encoded += len(pieces)
-        self.text = new
         left, k = first
         head = (self.leaf_chars[left][:k] + list(map(len, pieces)), self.leaf_tokens[left][:k] + counts)
         tail = (self.leaf_chars[old_leaf][old_k:], self.leaf_tokens[old_leaf][old_k:])
@@ -166,6 +192,18 @@ class TokenTree:
             self._build(*self.leaves())
 
 
+def _behind(text: str, at: int, done: list[tuple[int, int, str]], n: int) -> str:
+    """n characters from `at` on, with the edits done behind it, the nearest of them last."""
+    out = []
+    for start, end, put in reversed(done):
+        out += [text[at : min(start, at + n)], put[: max(0, n - (start - at))]]
+        n -= start - at + len(put)
+        at = end
+        if n <= 0:
+            return "".join(out)
+    return "".join([*out, text[at : at + n]])
+
+
 def token_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The trees to keep, beside their texts: doc_id, text, n_tokens, leaf_chars, leaf_tokens (arrays over the pre-tokens).
 
@@ -198,9 +236,8 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, edits: Callabl
         for text, leaf in zip(texts, kept, strict=True):
             tree = TokenTree(counter, text) if leaf is None or leaf[0] is None else TokenTree.restored(counter, text, *leaf)
             before = (tree.n_pretokens, tree.n_tokens)
-            todo = sorted(edits(text), reverse=True)
-            for start, end, put in todo:
-                tree.edit(start, end, put)
+            todo = edits(text)
+            tree.edit_all(todo)
             for n, v in zip(names, (*before, len(todo), tree.encoded, tree.n_tokens), strict=True):
                 out[n].append(v)
         return out | {"doc_id": column(batch, "doc_id")}
