@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: A sentence ends behind a mark, or at a period behind one of four Korean endings, which goes with the blank.
 SENTENCE_END = r"(?<=[다요임함])\.\s|(?<=[.!?])\s"
-HEADING = r"(?m)^#{1,6}\s+"
 
 
 def strip(c: Column) -> Column:
@@ -60,40 +59,6 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def pack(units: Column, size: int, joiner: str) -> Column:
-    """Units joined greedily while a piece has at most `size` characters, the joiner counted."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
-
-    def put(state: Column, unit: Column) -> Column:
-        done, cur = state["done"], state["cur"]
-        fits = F.char_length(cur) + len(joiner) + F.char_length(unit) <= size
-        return F.struct(F.when(cur.isNull() | fits, done).otherwise(F.concat(done, F.array(cur))).alias("done"), F.when(cur.isNotNull() & fits, F.concat(cur, F.lit(joiner), unit)).otherwise(unit).alias("cur"))
-
-    return F.aggregate(units, empty, put, lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
-
-
-def split_text(c: Column, size: int, paragraph: str = "\n\n") -> Column:
-    """Pieces of at most `size` characters: the whole, else paragraphs, else sentences, else fixed cuts."""
-    paragraphs = F.filter(F.transform(F.split(c, paragraph), strip), lambda p: p != "")
-
-    def by_sentence(piece: Column) -> Column:
-        packed = pack(sentences(piece), size, " ")
-        return F.when(F.char_length(piece) <= size, F.array(piece)).otherwise(F.flatten(F.transform(packed, lambda s: F.when(F.char_length(s) <= size, F.array(s)).otherwise(hard_split(s, size)))))
-
-    return F.when(F.char_length(c) <= size, F.filter(F.array(c), lambda p: p != "")).otherwise(F.flatten(F.transform(pack(paragraphs, size, "\n\n"), by_sentence)))
-
-
-def with_overlap(pieces: Column, overlap: int) -> Column:
-    """Each piece but the first behind the last sentence of its predecessor's last `overlap` characters."""
-    if overlap <= 0:
-        return pieces
-
-    def tail(piece: Column) -> Column:
-        return F.try_element_at(sentences(F.substring(piece, F.greatest(F.char_length(piece) - overlap + 1, F.lit(1)), F.lit(overlap))), F.lit(-1))
-
-    return let(pieces, lambda every: F.transform(every, lambda p, i: F.when(i == 0, p).otherwise(F.concat_ws(" ", tail(F.try_element_at(every, i)), p))))
-
-
 #: All but the wide scripts: Hangul, kana, Han and full-width forms.
 NARROW = r"[^\u1100-\u115F\u2E80-\uA4CF\uAC00-\uD7A3\uF900-\uFAFF\uFE30-\uFE6F\uFF00-\uFF60\uFFE0-\uFFE6]"
 

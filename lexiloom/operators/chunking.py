@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from lexiloom.functions.text import HEADING, normalize, split_text, strip, with_overlap
+from lexiloom.functions import splitting
 
 SIZE, OVERLAP = 400, 80
-_SECTION = "struct<heading:string,body:string>"
-
-
-def _sections(text: Column) -> Column:
-    """(heading, body) of each heading's section; what stands before the first heading has an empty one."""
-    parts = F.split(text, HEADING)
-    first = F.element_at(parts, 1)
-    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    headed = F.transform(rest, lambda p: F.struct(strip(F.substring_index(p, "\n", 1)).alias("heading"), strip(F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise("")).alias("body")))
-    return F.concat(F.array(F.struct(F.lit("").alias("heading"), strip(first).alias("body"))), headed)
+#: Characters of chunks in a batch that a task passes on, about.
+BATCH = 4 << 20
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, paragraph: str = "\n\n", text_col: str = "text") -> DataFrame:
     """doc_id, chunk_id ({doc}#{n}), n (from 0 over the document), heading, text of each chunk; no shuffle.
 
-    A text that isn't empty gives a chunk at least. Pieces with overlap may be longer than `size`.
+    A text that isn't empty gives a chunk at least; null texts give none. Pieces with overlap may be longer than `size`.
     """
-    plain = normalize(F.coalesce(F.col(text_col), F.lit("")))
-    pieces = F.flatten(F.transform(_sections(F.col("__t")), lambda s: F.transform(with_overlap(split_text(s["body"], size, paragraph), overlap), lambda p: F.struct(s["heading"].alias("heading"), p.alias("text")))))
-    kept = F.filter(pieces, lambda p: p["text"] != "")
-    fallback = F.transform(split_text(F.col("__t"), size, paragraph), lambda p: F.struct(F.lit("").alias("heading"), p.alias("text")))
-    rows = docs.select("doc_id", plain.alias("__t")).select("doc_id", "__t", kept.alias("__p")).select("doc_id", F.when(F.size("__p") > 0, F.col("__p")).otherwise(fallback).alias("__p"))
-    out = rows.select("doc_id", F.posexplode("__p").alias("n", "p"))
-    return out.select("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"), "n", F.col("p.heading").alias("heading"), F.col("p.text").alias("text"))
+    schema = StructType([docs.schema["doc_id"], StructField("n", IntegerType()), StructField("heading", StringType()), StructField("text", StringType())])
+    wanted = to_arrow_schema(schema)
+
+    def run(batches):
+        at, ns, headings, texts, held = [], [], [], [], 0
+
+        def batch_of(ids: pa.Array) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(ns, pa.int32()), pa.array(headings, pa.string()), pa.array(texts, pa.string())], schema=wanted)
+            for column in (at, ns, headings, texts):
+                column.clear()
+            return out
+
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                for n, (heading, piece) in enumerate(splitting.chunks(text.as_py() or "", size, overlap, paragraph)):
+                    at.append(i)
+                    ns.append(n)
+                    headings.append(heading)
+                    texts.append(piece)
+                    held += len(piece)
+                    if held >= BATCH:
+                        yield batch_of(batch.column(0))
+                        held = 0
+            if at:
+                yield batch_of(batch.column(0))
+                held = 0
+
+    out = docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return out.select("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"), "n", "heading", "text")
 
 
 def chunk_knowledge(knowledge: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,7 @@ from lexiloom.functions.relevance import B, K1, QUANTUM, bm25_term, exact_sum, i
 from lexiloom.functions.text import compact
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig
+from lexiloom.sources.shared import written
 
 TOP_K = 10
 #: Tasks over which one term's stored postings are dealt.
@@ -34,6 +35,7 @@ class Index:
     b: float = B
     terms: DataFrame | None = None
     df: DataFrame | None = None
+    blocks: Blocks | None = None
 
     @classmethod
     def of_tokens(cls, docs: DataFrame, k1: float = K1, b: float = B) -> Index:
@@ -81,13 +83,26 @@ class Index:
         parts = weighted.select("term", "doc_id", part.alias("part")).join(asked, "term")
         return parts.groupBy(key, "doc_id").agg(exact_sum(F.col("part")).alias("score"))
 
+    def scores_of(self, wanted: DataFrame, queries: DataFrame, key: str = "query") -> DataFrame:
+        """key, doc_id, score of the wanted (key, doc_id) that share a term with their query."""
+        asked = queries.select(key, F.explode(F.array_distinct("tokens")).alias("term"))
+        pairs = wanted.select(key, "doc_id").distinct().join(asked, key)
+        found = self.postings.join(pairs, ["term", "doc_id"]).join(self.doc_freq_of(asked.select("term").distinct()), "term").crossJoin(F.broadcast(self.stats))  # one row of stats
+        part = bm25_term(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
+        return found.groupBy(key, "doc_id").agg(exact_sum(part).alias("score"))
+
+    def best(self, queries: DataFrame, k: int = TOP_K, key: str = "query") -> DataFrame:
+        """key, doc_id, score, rank: the k best, ranked by the score, then doc_id; by bounds where the postings are stored in blocks."""
+        if self.blocks is not None:
+            return self.blocks.best(queries, max(1, k), key)
+        return _first(self.scores(queries, key), max(1, k), key)
+
     def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", terms: bool = True) -> DataFrame:
         """key, doc_id, rank (from 1), score (4 decimals), and matched_terms if wanted; ranked by the unrounded score, then doc_id.
 
-        The cut comes first in each task, then over all; only the documents that stay are asked for their terms.
+        Only the documents that stay are asked for their terms.
         """
-        order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
-        best = self.scores(queries, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k))
+        best = self.best(queries, k, key)
         best = best.select(key, "doc_id", "rank", F.round("score", 4).alias("score"))
         if not terms:
             return best
@@ -96,6 +111,96 @@ class Index:
         return best.join(matched, [key, "doc_id"])
 
 
+def _first(scored: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best of each key; each task cuts its rows first."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+
+
+#: Documents of a bucket, about; the share of all bounds that the first, rare terms reach; how many times k leading documents are scored first.
+BUCKET, LEAD_SHARE, LEADERS = 64, 0.5, 4
+#: How much of the k-th score the terms that aren't searched may add up to, and the room for sums in another order.
+REST_SHARE, ROOM = 0.6, 1e-6
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Stored postings in blocks with their largest parts, for the k best without all scores.
+
+    blocks(term, bucket, top, entries): a term's postings in one bucket of documents, and the largest part that one of
+    them adds to a score, for an idf of 1. tops(term, df, top): the same over all buckets.
+    """
+
+    blocks: DataFrame
+    tops: DataFrame
+    stats: DataFrame
+    buckets: int
+    k1: float = K1
+    b: float = B
+
+    @classmethod
+    def of(cls, index: Index, n: int, keep: Callable[[str, Callable[[], DataFrame]], DataFrame]) -> Blocks:
+        """Over an index of n documents; keep(name, make) writes a table once and reads it back."""
+        buckets = max(1, n // BUCKET)
+
+        def made() -> DataFrame:
+            part = bm25_term(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
+            rows = index.postings.crossJoin(F.broadcast(index.stats)).select("term", _bucket(F.col("doc_id"), buckets).alias("bucket"), part.alias("part"), F.struct("doc_id", "tf", "dl").alias("entry"))  # one row of stats
+            blocks = rows.groupBy("term", "bucket").agg(F.max("part").alias("top"), F.collect_list("entry").alias("entries"))  # a bucket's documents at most
+            return blocks.repartition("term", F.pmod("bucket", F.lit(SPREAD))).sortWithinPartitions("term", "bucket")
+
+        blocks = keep("blocks", made)
+        tops = keep("tops", lambda: blocks.groupBy("term").agg(F.sum(F.size("entries")).alias("df"), F.max("top").alias("top")))
+        return cls(blocks, tops, index.stats, buckets, index.k1, index.b)
+
+    def _summed(self, rows: DataFrame, key: str) -> DataFrame:
+        """key, doc_id, units: the parts of rows(key, idf, entry, avgdl), added up as integers."""
+        part = bm25_term(F.col("idf"), F.col("entry.tf"), F.col("entry.dl"), F.col("avgdl"), self.k1, self.b)
+        return rows.groupBy(key, F.col("entry.doc_id").alias("doc_id")).agg(F.sum(F.round(part * QUANTUM).cast("long")).alias("units"))
+
+    def _over(self, asked: DataFrame, key: str) -> DataFrame:
+        """The parts of all documents that have the terms asked(key, term, idf, avgdl)."""
+        rows = self.blocks.select("term", "entries").join(asked, "term").select(key, "idf", "avgdl", F.explode("entries").alias("entry"))
+        return self._summed(rows, key)
+
+    def _of(self, wanted: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+        """The parts of the documents wanted(key, doc_id); only the blocks of their buckets are opened."""
+        pairs = wanted.select(key, "doc_id", _bucket(F.col("doc_id"), self.buckets).alias("bucket")).join(asked, key)
+        at = F.filter("entries", lambda e: e["doc_id"] == F.col("doc_id"))
+        rows = self.blocks.select("term", "bucket", "entries").join(pairs, ["term", "bucket"]).select(key, "idf", "avgdl", F.explode(at).alias("entry"))
+        return self._summed(rows, key)
+
+    def best(self, queries: DataFrame, k: int, key: str) -> DataFrame:
+        """key, doc_id, score, rank of the k best of queries(key, tokens).
+
+        Rare terms lead to documents whose k-th score is a bound. Frequent terms that can't add up to much of it aren't
+        searched: a document that reaches the bound has some of the others. Buckets whose blocks can't reach it
+        together are left closed, and only documents that may still reach it are asked for their frequent terms.
+        """
+        terms = queries.select(key, F.explode(F.array_distinct("tokens")).alias("term")).join(self.tops, "term").crossJoin(F.broadcast(self.stats))  # one row of stats
+        asked = terms.withColumn("idf", idf(F.col("n"), F.col("df"))).select(key, "term", "df", "idf", "avgdl", (F.col("idf") * F.col("top")).alias("most"))
+        rare, frequent = Window.partitionBy(key).orderBy("df", "term"), Window.partitionBy(key).orderBy(F.desc("df"), "term")
+        before = F.coalesce(F.sum("most").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        asked = written(asked.withColumn("before", before).withColumn("behind", F.sum("most").over(frequent.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("most").over(Window.partitionBy(key))), "asked")  # the queries' terms
+        leaders = self._over(asked.where(F.col("before") < LEAD_SHARE * F.col("all")), key).withColumnRenamed("units", "score")
+        scored = _first(self._of(_first(leaders, LEADERS * k, key), asked, key).withColumnRenamed("units", "score"), k, key)
+        bound = written(scored.where(F.col("rank") == k).select(key, (F.col("score") / QUANTUM).alias("bound")), "bounds")  # a row a query
+        asked = asked.join(bound, key, "left").withColumn("searched", F.coalesce(F.col("behind") > REST_SHARE * F.col("bound"), F.lit(True)))
+        rest = asked.groupBy(key).agg(F.coalesce(F.sum(F.when(~F.col("searched"), F.col("most"))), F.lit(0.0)).alias("rest"), F.coalesce(F.first("bound"), F.lit(0.0)).alias("bound"))
+        searched = asked.where("searched").select(key, "term", "idf", "avgdl").join(rest, key)
+        heads = self.blocks.select("term", "bucket", "top").join(searched, "term").groupBy(key, "bucket").agg(F.sum(F.col("idf") * F.col("top")).alias("most"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
+        open_ = heads.where(F.col("most") + F.col("rest") >= F.col("bound") - ROOM).select(key, "bucket")
+        rows = self.blocks.select("term", "bucket", "entries").join(searched, "term").join(open_, [key, "bucket"], "left_semi").select(key, "idf", "avgdl", F.explode("entries").alias("entry"))
+        near = self._summed(rows, key).join(rest, key).where(F.col("units") / QUANTUM + F.col("rest") >= F.col("bound") - ROOM).select(key, "doc_id", "units")
+        near = written(near, "candidates")
+        more = self._of(near, asked.where(~F.col("searched")).select(key, "term", "idf", "avgdl"), key)
+        whole = near.unionByName(more).groupBy(key, "doc_id").agg((F.sum("units") / QUANTUM).alias("score"))
+        return _first(whole, k, key)
+
+
+def _bucket(doc_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets))
+
+
 @dataclass(frozen=True)
 class Stored:
     """What was built once: each document's tokens and the index over them, under one analyzer."""
@@ -128,7 +233,9 @@ class Engine:
         postings = keep("postings", lambda: built.postings.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("term"))
         df = keep("df", lambda: postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         lengths = keep("lengths", lambda: built.doc_len)
-        return Engine(self.docs, self.analyzer, Stored(self.analyzer, tokens, Index(postings, lengths, keep("stats", lambda: Index.stats_of(lengths)), df=df)))
+        index = Index(postings, lengths, keep("stats", lambda: Index.stats_of(lengths)), df=df)
+        blocks = Blocks.of(index, index.stats.first().n, keep)
+        return Engine(self.docs, self.analyzer, Stored(self.analyzer, tokens, replace(index, blocks=blocks)))
 
     @cached_property
     def _touched(self) -> DataFrame | None:
@@ -240,4 +347,4 @@ def _holds(forms: set[str]) -> Column:
     return reduce(Column.__or__, (F.contains(compact("text"), F.lit(f.replace(" ", ""))) for f in sorted(forms)))
 
 
-__all__ = ["QUANTUM", "TOP_K", "Engine", "Index", "Stored", "reindexed"]
+__all__ = ["QUANTUM", "TOP_K", "Blocks", "Engine", "Index", "Stored", "reindexed"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -157,27 +159,75 @@ class Retriever:
     def _places(self, scored: DataFrame) -> DataFrame:
         return fold_places(placed(scored), self.owners) if self.owners is not None else placed(scored)
 
-    def retrieve(self, queries: DataFrame, k: int = 3) -> DataFrame:
-        """query, doc_id, rank, score, rank_bm25, rank_dense, degraded for queries(query, tokens); a query without dense hits takes the bm25 list.
+    @cached_property
+    def _index(self) -> Index:
+        return self.index or Index.of_tokens(self.docs)
+
+    def _bm25(self, queries: DataFrame, depth: int) -> DataFrame:
+        """query, doc_id, rank of the first places; documents themselves come by the index's bounds."""
+        if self.owners is None:
+            return self._index.best(queries, depth).select("query", "doc_id", "rank")
+        return ranked(self._places(self._index.scores(queries)), depth)
+
+    def _dense(self, queries: DataFrame, depth: int | None = None) -> DataFrame:
+        """Placed documents; with a depth a task may leave out what isn't among its first so many."""
+        return self._places(maxsim(queries, self.docs, self.vectors, keep=depth if self.owners is None else None))
 
-        Of the fused lists only the first RRF_K + 2 k places can matter: the k best of either list reach 1 / (RRF_K + k),
-        so what is to beat them reaches half of that in one list.
+    def _fused(self, queries: DataFrame, k: int) -> DataFrame:
+        """The fused scores of all documents that can be among the k best, without whole lists.
+
+        Of either list the first RRF_K + 2 k places can matter only: the k best of a list reach 1 / (RRF_K + k), and what
+        is to beat them reaches half of that in one list. A document among them that isn't in the other list's first
+        places has at most the next place there. If that could bring it among the k best, the better documents of the
+        other list are counted for it; nothing is ranked or stored for that.
         """
+        depth = RRF_K + 2 * k
+        near = written(fuse(self._bm25(queries, depth), ranked(self._dense(queries, depth), depth)), "fused")  # 2 depth rows a query at most
+        most = F.col("score") + F.when(F.col("rank_bm25").isNull() | F.col("rank_dense").isNull(), 1.0 / (RRF_K + depth + 1)).otherwise(0.0)
+        kth = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).where(F.col("place") == k).select("query", F.col("score").alias("kth"))
+        possible = near.join(kth, "query", "left").where(most >= F.coalesce("kth", F.lit(0.0)) - 1e-8)
+        open_bm25, open_dense = (written(possible.where(F.col(c).isNull()).select("query", "doc_id"), c) for c in ("rank_bm25", "rank_dense"))
+        counted = self._counted(open_bm25, self._open_bm25(queries, open_bm25), lambda asked: self._places(self._index.scores(asked)), queries, "more_bm25")
+        counted_dense = self._counted(open_dense, self._open_dense(queries, open_dense), self._dense, queries, "more_dense")
+        known = possible.join(counted, ["query", "doc_id"], "left").join(counted_dense, ["query", "doc_id"], "left")
+        bm25, dense = F.coalesce("rank_bm25", "more_bm25"), F.coalesce("rank_dense", "more_dense")
+        return known.select("query", "doc_id", F.round(rrf(bm25) + rrf(dense), 9).alias("score"), bm25.alias("rank_bm25"), dense.alias("rank_dense"))
+
+    def _chunks_of(self, wanted: DataFrame) -> DataFrame:
+        """The documents' chunks where there are chunks."""
+        if self.owners is None:
+            return wanted
+        return wanted.join(self.owners.select("chunk_id", "doc_id"), "doc_id").select("query", F.col("chunk_id").alias("doc_id"))
+
+    def _open_bm25(self, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+        return self._places(self._index.scores_of(self._chunks_of(wanted), queries)).join(wanted, ["query", "doc_id"], "left_semi")
+
+    def _open_dense(self, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+        docs = self.docs.join(self._chunks_of(wanted).select("doc_id").distinct(), "doc_id", "left_semi")
+        return self._places(maxsim(queries.join(wanted.select("query").distinct(), "query", "left_semi"), docs, self.vectors)).join(wanted, ["query", "doc_id"], "left_semi")
+
+    def _counted(self, wanted: DataFrame, places: DataFrame, every: Callable[[DataFrame], DataFrame], queries: DataFrame, name: str) -> DataFrame:
+        """query, doc_id, rank named so: one more than the documents of a list before the wanted one; those without a place aren't in the list."""
+        if wanted.isEmpty():
+            return wanted.withColumn(name, F.lit(None).cast("int"))
+        own = written(places.select("query", F.col("doc_id").alias("own"), F.col("place").alias("at")), name)
+        asked = queries.join(own.select("query").distinct(), "query", "left_semi")
+        better = every(asked).join(own, "query").groupBy("query", "own").agg(F.count(F.when(F.struct("place", "doc_id") < F.struct("at", "own"), 1)).alias("n"))
+        return better.select("query", F.col("own").alias("doc_id"), (F.col("n") + 1).cast("int").alias(name))
+
+    def retrieve(self, queries: DataFrame, k: int = 3) -> DataFrame:
+        """query, doc_id, rank, score, rank_bm25, rank_dense, degraded for queries(query, tokens); a query without dense hits takes the bm25 list."""
         k, none = max(1, k), F.lit(None).cast("int")
-        bm25 = self._places((self.index or Index.of_tokens(self.docs)).scores(queries))
         if self.mode == "bm25" or self.degraded:
-            fused = ranked(bm25, k).select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), none.alias("rank_dense"))
+            fused = self._bm25(queries, k).select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), none.alias("rank_dense"))
         elif self.mode == "dense":
             keep = k if self.owners is None else None  # a document's chunks take several places
             dense = ranked(self._places(maxsim(queries, self.docs, self.vectors, keep=keep)), k)
             only = dense.select("query", "doc_id", rrf(F.col("rank")).alias("score"), none.alias("rank_bm25"), F.col("rank").alias("rank_dense"))
-            rest = ranked(bm25.join(dense.select("query").distinct(), "query", "left_anti"), k)
+            rest = self._bm25(queries.join(dense.select("query").distinct(), "query", "left_anti"), k)
             fused = only.unionByName(rest.select("query", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("rank_bm25"), none.alias("rank_dense")))
         else:
-            depth = RRF_K + 2 * k
-            bm25, dense = written(bm25, "bm25"), written(self._places(maxsim(queries, self.docs, self.vectors)), "dense")
-            near = ranked(bm25, depth).select("query", "doc_id").unionByName(ranked(dense, depth).select("query", "doc_id")).distinct()
-            fused = fuse(ranks_of(bm25, near), ranks_of(dense, near))
+            fused = self._fused(queries, k)
         order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
         return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "doc_id", "rank", F.round("score", 6).alias("score"), "rank_bm25", "rank_dense", F.lit(self.degraded).alias("degraded"))
 

@@ -7,60 +7,41 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.jamo import similarity_of, to_jamo
 from lexiloom.functions.text import has_latin
-from lexiloom.functions.vectors import cosine
-from lexiloom.sources.shared import written
+from lexiloom.functions.vectors import cosine, unit
+from lexiloom.operators.spelling import SpellingIndex
+from lexiloom.operators.vector_index import VectorIndex
 
 # Thresholds of the rules.
 JAMO_LEAST, VECTOR_LEAST, LENGTH_DIFFERENCE = 0.65, 0.60, 2
-#: Spellings of less similarity are compared only for probes that have too few others.
-NEAR = 0.5
 
 
-def similar_tokens(probes: DataFrame, vocabulary: DataFrame, k: int = 8, vectors: DataFrame | None = None) -> DataFrame:
+def similar_tokens(probes: DataFrame, vocabulary: DataFrame | SpellingIndex, k: int = 8, vectors: DataFrame | None = None, index: VectorIndex | None = None) -> DataFrame:
     """probe, token, similarity (jamo, 3 decimals), vector_similarity (null if unknown), position (from 1).
 
     The k best by spelling and the k best by meaning, k to 2k rows a probe; ordered by the larger of both, then token.
-    The probes are a stated query set against the whole vocabulary, which holds each term once.
+    The probes are a stated query set; both kinds of neighbours come from indexes, which are built where only the
+    vocabulary(term) or the vectors(token, vec) are given. `index` must hold tokens of the vocabulary only.
     """
-    p = probes.select(F.col("term").alias("probe")).distinct().withColumn("__pj", to_jamo("probe"))
-    v = vocabulary.select(F.col("term").alias("token")).withColumn("__tj", to_jamo("token"))
-    best = _spelled(p, v, k)
+    p = probes.select(F.col("term").alias("probe")).where("probe is not null").distinct()
+    best = (vocabulary if isinstance(vocabulary, SpellingIndex) else SpellingIndex.of(vocabulary)).most_alike(p, k)
     if vectors is None:
         best = best.select("probe", "token", "similarity", F.lit(None).cast("double").alias("vector_similarity"))
     else:
+        if index is None:
+            tokens = vocabulary.tokens if isinstance(vocabulary, SpellingIndex) else vocabulary.select(F.col("term").alias("token"))
+            index = VectorIndex.of(vectors.join(tokens, "token", "left_semi"))
+        asked = p.join(vectors.select(F.col("token").alias("probe"), unit("vec").alias("u")), "probe").select(F.col("probe").alias("query"), "u")
         vec = vectors.select(F.col("token").alias("probe"), F.col("vec").alias("__pv")), vectors.select("token", F.col("vec").alias("__tv"))
         meaning = F.round(cosine("__pv", "__tv"), 3).alias("vector_similarity")
-        spelling = F.round(similarity_of(F.col("__pj"), F.col("__tj")), 3).alias("similarity")
-        known = v.join(vec[1], "token").join(p.join(vec[0], "probe"), F.col("token") != F.col("probe")).select("probe", "token", spelling, meaning).where("vector_similarity is not null")
-        meant = known.withColumn("__m", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("vector_similarity"), "token"))).where(F.col("__m") <= k).drop("__m")
-        spelled = best.join(vec[0], "probe", "left").join(vec[1], "token", "left").select("probe", "token", "similarity", meaning)
-        best = spelled.unionByName(meant).dropDuplicates(["probe", "token"])
+        meant = index.most_similar(asked, k, 3).select(F.col("query").alias("probe"), F.col("other").alias("token"))
+        both = best.select("probe", "token", "similarity").unionByName(meant.withColumn("similarity", F.lit(None).cast("double")))
+        pairs = both.groupBy("probe", "token").agg(F.max("similarity").alias("similarity"))
+        spelling = F.coalesce("similarity", F.round(similarity_of(to_jamo("probe"), to_jamo("token")), 3)).alias("similarity")
+        best = pairs.join(vec[0], "probe", "left").join(vec[1], "token", "left").select("probe", "token", spelling, meaning)
     order = Window.partitionBy("probe").orderBy(F.desc(F.greatest("similarity", F.coalesce("vector_similarity", F.lit(0.0)))), "token")
     return best.withColumn("position", F.row_number().over(order))
 
 
-def _spelled(p: DataFrame, v: DataFrame, k: int) -> DataFrame:
-    """probe, token, similarity: the k best of each probe by spelling, then token; p(probe, __pj), v(token, __tj).
-
-    Tokens of at least NEAR similarity differ in length and in edits by a bounded share, so most pairs end at their
-    lengths and the rest at the bound. Probes with fewer than k such tokens are compared with the whole vocabulary.
-    """
-    longer = F.greatest(F.char_length("__pj"), F.char_length("__tj"))
-    bound = F.floor(longer * (1 - NEAR) + 1e-6).cast("int")
-    band = (F.col("token") != F.col("probe")) & (F.abs(F.char_length("__pj") - F.char_length("__tj")) <= bound)
-    near = v.join(p, band).withColumn("__d", F.call_function("levenshtein", F.col("__pj"), F.col("__tj"), bound)).where("__d >= 0")
-    near = near.select("probe", "token", F.round(F.when(longer == 0, F.lit(1.0)).otherwise(1.0 - F.col("__d") / longer), 3).alias("similarity"))
-
-    def cut(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("__s", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "token"))).where(F.col("__s") <= k)
-
-    near = written(cut(near), "near")  # k rows a probe at most
-    full = near.where(F.col("__s") == k).select("probe")
-    rest = v.join(p.join(full, "probe", "left_anti"), F.col("token") != F.col("probe"))
-    rest = rest.select("probe", "token", F.round(similarity_of(F.col("__pj"), F.col("__tj")), 3).alias("similarity"))
-    return near.join(full, "probe", "left_semi").drop("__s").unionByName(cut(rest).drop("__s"))
-
-
 def _first(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy(*by))).where("__n = 1").drop("__n")
 

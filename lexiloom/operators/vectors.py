@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.vectors import cosine, dot, unit
+from lexiloom.operators.vector_index import VectorIndex
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -15,16 +16,15 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").withColumn("sim", cosine("__a", "__b")).drop("__a", "__b")
 
 
-def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
-    """query token, other, sim, rank of the k nearest others; tokens without a vector have none.
+def _indexed(vectors: DataFrame | VectorIndex) -> VectorIndex:
+    return vectors if isinstance(vectors, VectorIndex) else VectorIndex.of(vectors)
 
-    A stated set of queries meets all vectors: the vectors stay where they are, and Spark broadcasts the queries if
-    their measured size allows. A partition keeps only its own best k before anything is shuffled.
-    """
-    asked = queries.select("token").distinct().join(vectors, "token").select(F.col("token").alias("query"), unit("vec").alias("__q"))
-    sims = vectors.select(F.col("token").alias("other"), unit("vec").alias("__v")).join(asked, (F.col("other") != F.col("query")) & (F.size("__q") == F.size("__v")))
-    ranked = sims.select("query", "other", F.round(dot("__q", "__v"), 6).alias("sim")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "other")))
-    return ranked.where(F.col("rank") <= max(1, k))
+
+def most_similar(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = 8) -> DataFrame:
+    """query token, other, sim, rank of the k nearest others; tokens without a vector have none. A table of vectors is indexed first."""
+    index = _indexed(vectors)
+    asked = queries.select(F.col("token").cast("string").alias("token")).distinct().join(index.members, "token").select(F.col("token").alias("query"), "u")
+    return index.most_similar(asked, k).select("query", "other", "sim", "rank")
 
 
 def hub_scores(vectors: DataFrame) -> DataFrame:
@@ -59,16 +59,15 @@ def separability(scored: DataFrame) -> DataFrame:
     )
 
 
-def rank_of_answer(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+def rank_of_answer(questions: DataFrame, vectors: DataFrame | VectorIndex) -> DataFrame:
     """questions(token, answer) with rank (from 1) of the answer among all others by similarity, and sim; null if either is unknown.
 
     The rank is counted, not sorted: one more than the tokens that come before the answer.
     """
-    known = questions.join(vectors.select("token", unit("vec").alias("__q")), "token").join(vectors.select(F.col("token").alias("answer"), unit("vec").alias("__a")), "answer").withColumn("sim", F.round(dot("__q", "__a"), 6))
-    others = vectors.select(F.col("token").alias("other"), unit("vec").alias("__v")).join(known, (F.col("other") != F.col("token")) & (F.size("__v") == F.size("__q")))
-    here = F.round(dot("__q", "__v"), 6)
-    before = (here > F.col("sim")) | ((here == F.col("sim")) & (F.col("other") < F.col("answer")))
-    ranks = others.groupBy("token", "answer", "sim").agg((F.count(F.when(before, 1)) + 1).alias("rank"))
+    index = _indexed(vectors)
+    known = questions.distinct().join(index.members.select("token", F.col("u").alias("__q")), "token").join(index.members.select(F.col("token").alias("answer"), F.col("u").alias("__a")), "answer").where(F.size("__q") == F.size("__a"))
+    asked = known.select(F.col("token").alias("query"), F.col("__q").alias("u"), "answer", F.round(dot("__q", "__a"), 6).alias("sim"))
+    ranks = asked.join(index.before(asked), ["query", "answer"]).select(F.col("query").alias("token"), "answer", "sim", (F.col("before") + 1).alias("rank"))
     return questions.join(ranks, ["token", "answer"], "left").select("token", "answer", "sim", "rank")
 
 

@@ -16,6 +16,8 @@ from lexiloom.operators import chunking, config, evaluation, mining, retrieval,
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup
 from lexiloom.operators.index import Engine
+from lexiloom.operators.spelling import SpellingIndex
+from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources import lake, search_server, shared, synthetic
 from lexiloom.streaming.mining import windowed_counts
 
@@ -488,6 +490,16 @@ def token_vectors(spark, sf_dir) -> DataFrame:
     return keeper(spark, sf_dir)("vectors|" + shared.version(spark, f"{sf_dir}/embeddings.parquet"), made)
 
 
+def spelling(spark, sf_dir) -> SpellingIndex:
+    return SpellingIndex.of(engine(spark, sf_dir).index.vocabulary(), keeper(spark, sf_dir))
+
+
+def cells(spark, sf_dir, vectors: DataFrame, name: str) -> VectorIndex:
+    """The index over the vectors of that name."""
+    keep, of = keeper(spark, sf_dir), shared.version(spark, f"{sf_dir}/embeddings.parquet")
+    return VectorIndex.of(vectors, lambda table, make: keep(f"{name}|{table}|{of}", make))
+
+
 PROBES_SQL = "probes as (select query as probe from evalq where family is not null)"
 
 
@@ -500,7 +512,7 @@ SPELLED_SQL = f"spelled as (select p.probe, d.term as token, round(1.0 - levensh
 
 @query(f"with {index_sql()}, {EVAL_SQL}, {PROBES_SQL}, {SPELLED_SQL} select probe, token, similarity from (select *, row_number() over (partition by probe order by similarity desc, token) as rn from spelled) where rn <= 8")
 def tool_similar_spelling(spark, sf_dir):
-    return similar.similar_tokens(probes(spark, sf_dir), engine(spark, sf_dir).index.vocabulary()).select("probe", "token", "similarity")
+    return similar.similar_tokens(probes(spark, sf_dir), spelling(spark, sf_dir)).select("probe", "token", "similarity")
 
 
 FREQUENT_SQL = f"probes as (select token as probe from vec where i % 50 = 0), {SPELLED_SQL}, both_ as (select s.*, round(list_cosine_similarity(a.v, b.v), 3) as vector_similarity from spelled s left join vec a on a.token = s.probe left join vec b on b.token = s.token), cut as (select *, row_number() over (partition by probe order by similarity desc, token) as rs, row_number() over (partition by probe order by vector_similarity desc nulls last, token) as rv from both_)"
@@ -510,11 +522,11 @@ FREQUENT_SQL = f"probes as (select token as probe from vec where i % 50 = 0), {S
 def tool_similar_union(spark, sf_dir):
     v = token_vectors(spark, sf_dir)
     asked = v.where("vec_id % 50 = 0").select(F.col("token").alias("term"))
-    return similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary(), vectors=v).withColumn("position", F.col("position").cast("bigint"))
+    return similar.similar_tokens(asked, spelling(spark, sf_dir), vectors=v, index=cells(spark, sf_dir, v, "terms")).withColumn("position", F.col("position").cast("bigint"))
 
 
 def rule_input(spark, sf_dir) -> DataFrame:
-    found = similar.similar_tokens(probes(spark, sf_dir), engine(spark, sf_dir).index.vocabulary())
+    found = similar.similar_tokens(probes(spark, sf_dir), spelling(spark, sf_dir))
     return found.withColumn("query", F.col("probe"))
 
 
@@ -540,7 +552,7 @@ def doc_rule_compound(spark, sf_dir):
     """Words of some passages as parts of compounds."""
     items = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0")
     asked = items.select(F.explode(Analyzer().tokens("text")).alias("term")).distinct()
-    found = similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary()).withColumn("query", F.col("probe"))
+    found = similar.similar_tokens(asked, spelling(spark, sf_dir)).withColumn("query", F.col("probe"))
     return similar.rule_compound(found).select("query", "word", F.array_join("parts", " ").alias("parts"))
 
 
@@ -548,7 +560,7 @@ def doc_rule_compound(spark, sf_dir):
 def doc_rule_semantic(spark, sf_dir):
     v = token_vectors(spark, sf_dir)
     asked = v.where("vec_id % 50 = 0").select(F.col("token").alias("term"))
-    found = similar.similar_tokens(asked, engine(spark, sf_dir).index.vocabulary(), vectors=v).withColumn("query", F.col("probe"))
+    found = similar.similar_tokens(asked, spelling(spark, sf_dir), vectors=v, index=cells(spark, sf_dir, v, "terms")).withColumn("query", F.col("probe"))
     return similar.rule_semantic(found).select("query", "family", F.array_join("synonyms", " ").alias("synonyms"))
 
 
@@ -562,7 +574,7 @@ def cache(spark, sf_dir) -> DataFrame:
 @query(f"{CACHE_SQL} select query, other, sim, rank from (select a.token as query, b.token as other, round(list_cosine_similarity(a.v, b.v), 6) as sim, row_number() over (partition by a.token order by round(list_cosine_similarity(a.v, b.v), 6) desc, b.token) as rank from vec a join vec b on a.token <> b.token where a.vec_id % 50 = 0) where rank <= 8")
 def vec_most_similar(spark, sf_dir):
     v = cache(spark, sf_dir)
-    return vectors.most_similar(v.where("vec_id % 50 = 0"), v.select("token", "vec")).withColumn("rank", F.col("rank").cast("bigint"))
+    return vectors.most_similar(v.where("vec_id % 50 = 0"), cells(spark, sf_dir, v, "cache")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"{CACHE_SQL} select a.token, round(avg(list_cosine_similarity(a.v, b.v)), 4) as hub from vec a join vec b on a.token <> b.token group by a.token")
@@ -595,7 +607,7 @@ def vec_separability(spark, sf_dir):
 def vec_answer_rank(spark, sf_dir):
     v = cache(spark, sf_dir)
     asked = v.where("vec_id % 50 = 0").select("token", F.concat(F.lit("v"), (F.col("vec_id") + 1).cast("string")).alias("answer"))
-    return vectors.rank_of_answer(asked, v.select("token", "vec")).withColumn("sim", F.round("sim", 4))
+    return vectors.rank_of_answer(asked, cells(spark, sf_dir, v, "cache")).withColumn("sim", F.round("sim", 4))
 
 
 @query(f"with {index_sql()}, {VECTORS_SQL} select (select count(*) from vec) as known, count(*) as distinct_tokens, round((select count(*) from vec) / count(*), 4) as coverage from df")
@@ -649,7 +661,8 @@ def rag_fold(spark, sf_dir):
     """Documents folded to their sources, as chunks are to their documents."""
     owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"))
     folded = retrieval.fold_places(retrieval.placed(engine(spark, sf_dir).index.scores(asked(spark, sf_dir))), owners)
-    return retrieval.ranked(folded).select("query", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+    folded = shared.written(folded, "folded")
+    return retrieval.ranks_of(folded, folded).select("query", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"with {chunks_sql('chr(10)')} select doc_id, doc_id || '#' || n as chunk_id, n, heading, text from chunks")

@@ -1,7 +1,10 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions import jamo, relevance, text, vectors
+from lexiloom.functions import jamo, relevance, splitting, text, vectors
 
 
 def one(spark, column):
@@ -47,23 +50,23 @@ def test_normalize(spark):
     assert one(spark, text.dedent(F.lit("  a\n\n\n\n    b \n c"))) == "a\n\nb\nc"
 
 
-def test_packing_counts_the_joiner(spark):
-    pieces = one(spark, text.pack(F.lit(["aa", "bb", "cc", "ddddd"]), 5, " "))
+def test_packing_counts_the_joiner():
+    pieces = splitting.packed(["aa", "bb", "cc", "ddddd"], 5, " ")
     assert pieces == ["aa bb", "cc", "ddddd"]
-    assert one(spark, text.pack(F.array().cast("array<string>"), 5, " ")) == []
+    assert splitting.packed([], 5, " ") == []
 
 
-def test_split_falls_back_step_by_step(spark):
-    assert one(spark, text.split_text(F.lit("short"), 10)) == ["short"]
-    assert one(spark, text.split_text(F.lit("para one\n\npara two"), 10)) == ["para one", "para two"]
-    assert one(spark, text.split_text(F.lit("One two. Three four. Five."), 12)) == ["One two.", "Three four.", "Five."]
-    assert one(spark, text.split_text(F.lit("x" * 25), 10)) == ["x" * 10, "x" * 10, "x" * 5]
-    assert one(spark, text.split_text(F.lit(""), 10)) == []
+def test_split_falls_back_step_by_step():
+    assert splitting.pieces("short", 10) == ["short"]
+    assert splitting.pieces("para one\n\npara two", 10) == ["para one", "para two"]
+    assert splitting.pieces("One two. Three four. Five.", 12) == ["One two.", "Three four.", "Five."]
+    assert splitting.pieces("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    assert splitting.pieces("", 10) == []
 
 
-def test_overlap_repeats_the_last_sentence(spark):
-    assert one(spark, text.with_overlap(F.lit(["One. Two.", "Three."]), 6)) == ["One. Two.", "Two. Three."]
-    assert one(spark, text.with_overlap(F.lit(["a", "b"]), 0)) == ["a", "b"]
+def test_overlap_repeats_the_last_sentence():
+    assert splitting.overlapped(["One. Two.", "Three."], 6) == ["One. Two.", "Two. Three."]
+    assert splitting.overlapped(["a", "b"], 0) == ["a", "b"]
 
 
 def test_scripts_and_targets(spark):
@@ -76,3 +79,18 @@ def test_scripts_and_targets(spark):
 def test_padding_counts_terminal_cells(spark):
     rows = spark.createDataFrame([("ab",), ("한글",), ("a漢",), ("longer than that",)], "t string").select(text.padded("t", 6)).collect()
     assert [r[0] for r in rows] == ["ab    ", "한글  ", "a漢   ", "longer than that"]
+
+
+def test_splitting_agrees_with_the_columns(spark):
+    """Sentences, normalised texts and blanks at ends are the same in a task's rows as in column functions."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab다. .!?\n\t #\u00a0\u200b\u2003\x85") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.sentences(F.col("t")).alias("s"), text.normalize("t").alias("n")).collect()
+    assert all(splitting.sentences(r.t) == r.s and splitting.normalized(r.t) == r.n for r in rows)
+
+
+@pytest.mark.parametrize("long", ["One two. " * 1_100_000, "word " * 2_000_000, "x" * 10_000_000, " " * 10_000_000 + "x", "a\n\n" * 3_000_000, "# h\nbody\n" * 1_000_000])
+def test_chunks_of_a_long_text_take_linear_time(long):
+    began = time.time()
+    assert splitting.chunks(long, 400, 80)
+    assert time.time() - began < 40
