@@ -117,9 +117,9 @@ def _first(scored: DataFrame, k: int, key: str) -> DataFrame:
 
 
 #: Documents of a bucket, about; the share of all bounds that the first, rare terms reach; how many times k leading documents are scored first.
-BUCKET, LEAD_SHARE, LEADERS = 64, 0.5, 4
+BUCKET, LEAD_SHARE, LEADERS = 64, 0.5, 2
 #: How much of the k-th score the terms that aren't searched may add up to, and the room for sums in another order.
-REST_SHARE, ROOM = 0.6, 1e-6
+REST_SHARE, ROOM = 0.3, 1e-6
 
 
 @dataclass(frozen=True)
@@ -165,8 +165,8 @@ class Blocks:
     def _of(self, wanted: DataFrame, asked: DataFrame, key: str) -> DataFrame:
         """The parts of the documents wanted(key, doc_id); only the blocks of their buckets are opened."""
         pairs = wanted.select(key, "doc_id", _bucket(F.col("doc_id"), self.buckets).alias("bucket")).join(asked, key)
-        at = F.filter("entries", lambda e: e["doc_id"] == F.col("doc_id"))
-        rows = self.blocks.select("term", "bucket", "entries").join(pairs, ["term", "bucket"]).select(key, "idf", "avgdl", F.explode(at).alias("entry"))
+        opened = self.blocks.join(pairs.select("term", "bucket").distinct(), ["term", "bucket"], "left_semi").select("term", F.explode("entries").alias("entry"))
+        rows = opened.join(pairs.withColumnRenamed("term", "__term"), (F.col("term") == F.col("__term")) & (F.col("entry.doc_id") == F.col("doc_id"))).select(key, "idf", "avgdl", "entry")
         return self._summed(rows, key)
 
     def best(self, queries: DataFrame, k: int, key: str) -> DataFrame:
