@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.vectors import cosine, dot, unit
 from lexiloom.operators.vector_index import VectorIndex
+from lexiloom.sources.shared import written
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -49,8 +50,11 @@ def separability(scored: DataFrame) -> DataFrame:
         F.min(F.when(F.col("link"), F.col("sim"))).alias("link_min"), F.max(F.when(F.col("link"), F.col("sim"))).alias("link_max"), F.min(F.when(~F.col("link"), F.col("sim"))).alias("other_min"), F.max(F.when(~F.col("link"), F.col("sim"))).alias("other_max"),
         F.count(F.when(F.col("link"), 1)).alias("n_links"), F.count(F.lit(1)).alias("n"),
     )
-    upward = Window.orderBy("sim").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("links_below", F.coalesce(F.sum("links").over(upward), F.lit(0))).withColumn("others_below", F.coalesce(F.sum("others").over(upward), F.lit(0)))
+    # Ranges of values in order, summed each; a range starts from the sums of those before it.
+    ranges = written(counts.repartitionByRange("sim").withColumn("range", F.spark_partition_id()), "ranges")
+    upward, within = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range").orderBy("sim").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.groupBy("range").agg(F.sum("links").alias("l"), F.sum("others").alias("o")).select("range", *(F.coalesce(F.sum(c).over(upward), F.lit(0)).alias(f"carried_{c}") for c in "lo"))  # a row a range
+    below = ranges.join(F.broadcast(carried), "range").select("sim", (F.coalesce(F.sum("links").over(within), F.lit(0)) + F.col("carried_l")).alias("links_below"), (F.coalesce(F.sum("others").over(within), F.lit(0)) + F.col("carried_o")).alias("others_below"))
     right = below.crossJoin(F.broadcast(sums)).withColumn("right", F.col("n_links") - F.col("links_below") + F.col("others_below"))
     best = right.agg(F.max(F.struct("right", "sim")).alias("best"))
     return sums.crossJoin(F.broadcast(best)).select(

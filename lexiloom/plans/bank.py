@@ -410,6 +410,46 @@ def es_divergence(spark, sf_dir):
     return search_server.divergence(before, after)
 
 
+def many_sql() -> str:
+    """All first candidates of the failing queries, each in a sandbox of its own."""
+    first = "patches as (select probe as pid, token as canon from (select *, row_number() over (partition by probe order by position) as rn from best where similarity >= 0.65 and abs(length(token) - length(probe)) <= 2) where rn = 1)"
+    term = "case when t.term = p.pid then p.canon else t.term end"
+    return f"""{BASE_EVAL}, {PROBES_SQL}, {SPELLED_SQL}, near as (select *, row_number() over (partition by probe order by similarity desc, token) as position from spelled), best as (select * from near where position <= 8), {first},
+        xpost as materialized (select p.pid, t.doc_id, {term} as term, sum(t.tf) as tf from post t cross join patches p group by all),
+        xdf as (select pid, term, count(*) as df from xpost group by all), xasked as (select distinct p.pid, t.query, {term} as term from asked t cross join patches p),
+        xscore as (select a.pid, a.query, x.doc_id, sum(cast(round(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1.0 - 0.75 + 0.75 * dl / avgdl)) * 1e9) as bigint)) / 1e9 as score from xasked a join xpost x using (pid, term) join xdf using (pid, term) join dl l on l.doc_id = x.doc_id cross join stats group by all),
+        xhits as (select * from (select *, row_number() over (partition by pid, query order by score desc, doc_id) as rank from xscore) where rank <= 10),
+        xg as (select h.pid, h.query, h.rank, coalesce(r.grade, 0) as grade from xhits h left join rels r on r.query = h.query and r.doc_id = h.doc_id),
+        xf as (select pid, query, sum((2.0 ** grade - 1) / log2(rank + 1)) as dcg, sum((grade > 0)::int) as found, sum(case when rank <= 5 then (grade > 0)::int end) as found5, sum((rank <= 5)::int) as top5, count(*) as n_results from xg group by pid, query),
+        xm as (select p.pid, q.query, round(coalesce(dcg / nullif(ideal, 0), 0), 4) as ndcg, round(coalesce(found / nullif(wanted, 0), 0), 4) as recall, round(coalesce(found5 / nullif(top5, 0), 0), 4) as precision5, coalesce(n_results, 0) as n_results
+            from (select distinct query from evalq) q cross join patches p left join xf f on f.pid = p.pid and f.query = q.query left join i on i.query = q.query),
+        both_ as (select a.pid, a.query, a.query = a.pid as hit, b.ndcg as was, a.ndcg as now, b.n_results as results_was, a.n_results as results_now, (a.query <> a.pid)::int * ((a.ndcg < b.ndcg - 0.02)::int + (a.recall < b.recall - 0.02)::int + (a.precision5 < b.precision5 - 0.02)::int) as drops from xm a join m b using (query)),
+        v as (select pid as patch_id, max(was) filter (hit) as target_before, max(now) filter (hit) as target_after, max(results_was) filter (hit) as results_before, max(results_now) filter (hit) as results_after, round(avg(was), 4) as mean_before, round(avg(now), 4) as mean_after, sum(drops)::bigint as n_regressions, count(*) filter (drops > 0) as regressed_queries from both_ group by pid)
+        select *, reason = '' as accepted from (select case when target_after < target_before + 0.05 then 'target not improved' when n_regressions > 0 then 'regressions' when mean_after < mean_before - 0.02 then 'mean dropped' else '' end as reason, v.* from v)"""
+
+
+def first_patches(spark, sf_dir) -> DataFrame:
+    """patch_id, target, synonyms: what the rule for spelling variants proposes for each failing query."""
+    return similar.rule_variant(rule_input(spark, sf_dir)).select(F.col("query").alias("patch_id"), F.col("query").alias("target"), "synonyms")
+
+
+@query()
+def gate_many(spark, sf_dir):
+    """A verdict on each failing query's first candidate, all in one job."""
+    queries, qrels, _ = evaluation_set(spark, sf_dir)
+    return evaluation.gate_many(engine(spark, sf_dir), queries, qrels, first_patches(spark, sf_dir), shared.written(measured(spark, sf_dir), "measured"))
+
+
+@query()
+def harn_rates(spark, sf_dir):
+    """How many failing queries a first candidate heals, over all failing queries."""
+    from lexiloom.plans.doctor import repair_rates
+
+    queries, _, _ = evaluation_set(spark, sf_dir)
+    verdicts = gate_many(spark, sf_dir).where("accepted").select(F.col("patch_id").alias("query"), F.lit(True).alias("healed"), F.lit("spelling_variant").alias("diagnosed"), F.array(F.lit("synonym_group")).alias("kinds"))
+    return repair_rates(queries.where("family is not null").select("query", "family", F.col("expected_patch_kinds").alias("expected_kinds")).join(verdicts, "query", "left"))
+
+
 @query()
 def harn_repair(spark, sf_dir):
     """The outcome of the rule doctor on each failing query."""
@@ -533,6 +573,10 @@ def rule_input(spark, sf_dir) -> DataFrame:
 RULES_SQL = f"with {index_sql()}, {EVAL_SQL}, {PROBES_SQL}, {SPELLED_SQL}, near as (select *, row_number() over (partition by probe order by similarity desc, token) as position from spelled), best as (select * from near where position <= 8)"
 
 
+ORACLES["gate_many"] = many_sql()
+ORACLES["harn_rates"] = f"with verdicts as ({ORACLES['gate_many']}) select round(avg(h), 4) as heal_rate, round(avg(h), 4) as diagnosis_accuracy, round(avg(h), 4) as patch_match_rate from (select (q.query in (select patch_id from verdicts where accepted))::int as h from (select unnest(string_split(string_agg(pid, ' '), ' ')) as query from (select query as pid from ({BASE_EVAL} select query from evalq where family is not null))) q)"
+
+
 @query(f"{RULES_SQL} select probe as query, token || ' ' || probe as synonyms from (select *, row_number() over (partition by probe order by position) as rn from best where similarity >= 0.65 and abs(length(token) - length(probe)) <= 2) where rn = 1")
 def doc_rule_variant(spark, sf_dir):
     return similar.rule_variant(rule_input(spark, sf_dir)).select("query", F.array_join("synonyms", " ").alias("synonyms"))

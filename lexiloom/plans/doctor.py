@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators import similar
 from lexiloom.operators.config import CompoundExpansion, InvalidConfig, Prescription, SynonymGroup, UserWord
 from lexiloom.operators.evaluation import Verdict, evaluate, means, run_gate
 from lexiloom.operators.index import Engine
+from lexiloom.sources.shared import written
 
 SCRIPTED = ("variant", "compound", "semantic")
 LADDER = ("variant", "garbage_split", "compound", "semantic")
@@ -78,13 +79,26 @@ class RepairRun:
     def accepted(self) -> list[dict]:
         return [{"patch": c.patch, "verdict": c.verdict, "attempts": c.attempts} for c in self.cases if c.healed]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The cases as rows, as repair_rates() takes them."""
+        rows = [(c.query, c.family, c.diagnosed, c.healed, list(c.expected_kinds), list(c.kinds)) for c in self.cases]
+        return spark.createDataFrame(rows, "query string, family string, diagnosed string, healed boolean, expected_kinds array<string>, kinds array<string>")
+
     def rates(self) -> dict[str, float]:
-        n = max(1, len(self.cases))
-        return {
-            "heal_rate": round(sum(c.healed for c in self.cases) / n, 4),
-            "diagnosis_accuracy": round(sum(c.diagnosed == c.family for c in self.cases) / n, 4),
-            "patch_match_rate": round(sum(bool(c.expected_kinds) and set(c.expected_kinds) <= set(c.kinds) for c in self.cases) / n, 4),
-        }
+        return repair_rates(self.table(self.before.sparkSession)).first().asDict()
+
+
+def repair_rates(cases: DataFrame) -> DataFrame:
+    """heal_rate, diagnosis_accuracy, patch_match_rate of cases(family, diagnosed, healed, expected_kinds, kinds) in one row; 0 without cases.
+
+    A patch matches if it has all expected kinds, of which there is one at least.
+    """
+    matched = (F.size("expected_kinds") > 0) & (F.size(F.array_except("expected_kinds", F.coalesce("kinds", F.array().cast("array<string>")))) == 0)
+
+    def share(holds, name: str):
+        return F.round(F.coalesce(F.avg(F.coalesce(holds, F.lit(False)).cast("int")), F.lit(0.0)), 4).alias(name)
+
+    return cases.agg(share(F.col("healed"), "heal_rate"), share(F.col("diagnosed").eqNullSafe(F.col("family")), "diagnosis_accuracy"), share(matched, "patch_match_rate"))
 
 
 def run_repair(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: DataFrame | None = None, rules: tuple[str, ...] = SCRIPTED, submits: int | None = None) -> RepairRun:
@@ -96,7 +110,7 @@ def run_repair(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: Da
     submits = submits or (1 if rules == SCRIPTED else MAX_SUBMITS)
     failing = queries.where("family is not null").orderBy("query").collect()
     chosen = candidate_patches(engine, queries.where("family is not null"), vectors, rules).orderBy("query", "priority").collect()
-    before = evaluate(engine, queries, qrels).cache()
+    before = written(evaluate(engine, queries, qrels), "measured")
     now, cases = before, []
     for row in failing:
         case = Case(row.query, row.family, tuple(row.expected_patch_kinds or ()))
@@ -112,7 +126,7 @@ def run_repair(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: Da
             case.notes.append(verdict.feedback())
             if verdict.accepted:
                 case.healed, engine = True, sandbox
-                now = evaluate(engine, queries, qrels).cache()
+                now = written(evaluate(engine, queries, qrels), "measured")
                 break
         cases.append(case)
     return RepairRun(cases, engine, before, now)

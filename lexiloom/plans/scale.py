@@ -39,7 +39,7 @@ def measure(engine: Engine, queries: DataFrame, qrels: DataFrame, good: Prescrip
     accepted, _ = run_gate(engine, queries, qrels, good)
     gated = time.perf_counter()
     rejected, _ = run_gate(engine, queries, qrels, broad)
-    return ScalePoint(n, round(indexed - t, 3), round(gated - indexed, 3), accepted.accepted, rejected.accepted, len(rejected.regressions), token_df(engine, probe))
+    return ScalePoint(n, round(indexed - t, 3), round(gated - indexed, 3), accepted.accepted, rejected.accepted, rejected.n_regressions, token_df(engine, probe))
 
 
 def run_scale(spark: SparkSession, original: DataFrame, sizes: list[int], queries: DataFrame, qrels: DataFrame, good: Prescription, broad: Prescription, probe: str, analyzer: Analyzer | None = None) -> list[ScalePoint]:
