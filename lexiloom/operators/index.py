@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.relevance import B, K1, QUANTUM, bm25_term, exact_sum, idf
 from lexiloom.functions.text import compact
+from lexiloom.operators import patterns
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig
 from lexiloom.sources.shared import written
@@ -288,13 +289,13 @@ class Engine:
         """key, doc_id of the documents whose text contains a passage, for passages(key, text).
 
         A passage's tokens but the first and the last are tokens of any text that contains it. Its rarest one finds
-        the candidates, whose texts are then compared. Passages of two tokens or fewer are looked for in all texts, and
-        so are all if words are kept whole, since the words around them decide then.
+        the candidates, whose texts are then compared. Passages of two tokens or fewer pass through all texts by an
+        automaton, and so do all if words are kept whole, since the words around them decide then.
         """
         asked = passages.select(F.col(key).alias("__key"), F.col(text).alias("__passage")).where("__passage is not null")
         texts = self.docs.select("doc_id", F.col("text").alias("__text"))
         if self.analyzer.config.whole_words or not isinstance(self.analyzer.tokenizer, RegexTokenizer) or self.analyzer.tokenizer.longest:
-            return asked.join(texts, F.contains("__text", F.col("__passage"))).select(F.col("__key").alias(key), "doc_id")
+            return self._scanned(asked, key)
         inner = asked.withColumn("__inner", self.analyzer.tokens(F.regexp_replace("__passage", r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", "")))
         index = self.index
         terms = inner.select("__key", F.explode(F.array_distinct("__inner")).alias("term"))
@@ -302,8 +303,36 @@ class Engine:
         rarest = terms.join(df, "term", "left").groupBy("__key").agg(F.min(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "term"))["term"].alias("term"))
         near = index.postings.select("term", "doc_id").join(rarest, "term").select("__key", "doc_id")
         found = near.join(asked, "__key").join(texts, "doc_id").where(F.contains("__text", F.col("__passage")))
-        short = inner.where(F.size("__inner") == 0).join(texts, F.contains("__text", F.col("__passage")))
-        return found.select(F.col("__key").alias(key), "doc_id").unionByName(short.select(F.col("__key").alias(key), "doc_id"))
+        short = self._scanned(inner.where(F.size("__inner") == 0), key)
+        return found.select(F.col("__key").alias(key), "doc_id").unionByName(short)
+
+    def _scanned(self, asked: DataFrame, key: str) -> DataFrame:
+        """Passages looked for in all texts at once."""
+        return patterns.holding(self.docs, asked.select(F.col("__key").alias("key"), F.col("__passage").alias("pattern"))).withColumnRenamed("key", key)
+
+    def with_documents(self, changed: DataFrame, deleted: DataFrame | None = None) -> Engine:
+        """This engine after documents changed(doc_id, text) were added or replaced and deleted(doc_id) were taken out.
+
+        A stored index stays as it is: the ids of both are tombstones on its postings, lengths and tokens, beside which
+        the changed documents' own are put. Document frequencies lose what the tombstones held and gain what the
+        changed documents hold, so only postings of changed documents are counted. stored() makes one index of all.
+        """
+        gone = changed.select("doc_id") if deleted is None else changed.select("doc_id").unionByName(deleted.select("doc_id"))
+        gone = written(gone.distinct(), "tombstones")
+        docs = self.docs.join(gone, "doc_id", "left_anti").unionByName(changed.select(*self.docs.columns))
+        if self._fresh:
+            return Engine(docs, self.analyzer)
+        base, tokens = self.index, written(changed.select("doc_id", self.analyzer.tokens("text").alias("tokens")), "delta")
+        new = Index.of_tokens(tokens, base.k1, base.b)
+
+        def merged(old: DataFrame, more: DataFrame) -> DataFrame:
+            return old.join(gone, "doc_id", "left_anti").unionByName(more)
+
+        lost = base.postings.join(gone, "doc_id", "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        df = base.doc_freq().unionByName(lost).unionByName(new.doc_freq()).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        lengths = merged(base.doc_len, new.doc_len)
+        index = Index(merged(base.postings, new.postings), lengths, Index.stats_of(lengths), base.k1, base.b, df=df)
+        return Engine(docs, self.analyzer, Stored(self.analyzer, merged(self.tokens, tokens), index))
 
     def tokenized(self, queries: DataFrame, key: str = "query", text: str | Column | None = None) -> DataFrame:
         return queries.select(key, self.analyzer.tokens(text if text is not None else key).alias("tokens"))

@@ -15,7 +15,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.functions.relevance import RRF_K, rrf
 from lexiloom.functions.vectors import dot, unit
-from lexiloom.operators.index import Index
+from lexiloom.operators.index import Engine, Index
+from lexiloom.operators.patterns import SubstringIndex
 from lexiloom.sources.shared import written
 
 MODES = ("bm25", "dense", "hybrid")
@@ -264,7 +265,31 @@ def symptom_query(target: str, tokens: list[str], n_results: int, family: str |
     return " ".join(said)
 
 
-def render_context(rows: DataFrame) -> DataFrame:
-    """query, context: retrieved(query, rank, title, text) as numbered paragraphs, in order; a query has k rows at most."""
-    part = F.format_string("[%d] %s\n%s", F.col("rank"), F.col("title"), F.col("text"))
-    return rows.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", part.alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
+def symptoms(engine: Engine, queries: DataFrame, raw: SubstringIndex, k: int = 10) -> DataFrame:
+    """What is to be seen of each search of queries(query), in one plan: query, tokens, dropped (forms that analysis leaves out), n_results, n_raw (texts that hold the query as typed), symptoms.
+
+    `symptoms` is the text to retrieve knowledge by. It tells what happened and never what would mend it: the query,
+    its tokens and dropped forms, that nothing was found though texts hold the query, that it fell apart into letters.
+    """
+    asked = queries.select("query").distinct()
+    seen = asked.select("query", engine.analyzer.tokens("query").alias("tokens"), F.transform(engine.analyzer.dropped("query"), lambda t: t["form"]).alias("dropped"))
+    hits = engine.search(asked, k, terms=False).groupBy("query").agg(F.count(F.lit(1)).alias("n_results"))
+    found = raw.grep(asked.select(F.col("query").alias("key"), F.col("query").alias("needle"))).groupBy(F.col("key").alias("query")).agg(F.count(F.lit(1)).alias("n_raw"))
+    rows = seen.join(hits, "query", "left").join(found, "query", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_results", "n_raw")})
+    apart = (F.size("tokens") >= 2) & F.forall("tokens", lambda t: F.char_length(t) == 1)
+    said = F.concat_ws(
+        " ", "query", F.array_join("tokens", " "), F.when(F.size("dropped") > 0, F.concat(F.lit("dropped "), F.array_join("dropped", " "))), F.when(F.col("n_results") == 0, F.lit("no results")),
+        F.when((F.col("n_results") == 0) & (F.col("n_raw") > 0), F.lit("though texts hold it")), F.when(apart, F.lit("split into single characters")),
+    )
+    return rows.select("query", "tokens", "dropped", "n_results", "n_raw", said.alias("symptoms"))
+
+
+def render_context(rows: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """query, context: retrieved(query, rank, title, text, and source if there is one) as numbered paragraphs, in order; a query has k rows at most.
+
+    With queries(query), those without a hit have an empty context instead of no row. A null source isn't shown.
+    """
+    title = F.concat(F.col("title"), F.coalesce(F.concat(F.lit(" ("), F.col("source").cast("string"), F.lit(")")), F.lit(""))) if "source" in rows.columns else F.col("title")
+    part = F.format_string("[%d] %s\n%s", F.col("rank"), title, F.col("text"))
+    out = rows.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", part.alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
+    return out if queries is None else queries.select("query").distinct().join(out, "query", "left").withColumn("context", F.coalesce("context", F.lit("")))

@@ -16,6 +16,7 @@ from lexiloom.operators import chunking, config, evaluation, mining, retrieval,
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup
 from lexiloom.operators.index import Engine
+from lexiloom.operators.patterns import SubstringIndex, holding
 from lexiloom.operators.spelling import SpellingIndex
 from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources import lake, search_server, shared, synthetic
@@ -334,6 +335,55 @@ def fil_grep_raw(spark, sf_dir):
     return engine(spark, sf_dir).grep(NEEDLE).select("doc_id")
 
 
+def substrings(spark, sf_dir) -> SubstringIndex:
+    return SubstringIndex.of(documents(spark, sf_dir), keeper(spark, sf_dir))
+
+
+NEEDLES_SQL = "substring(replace(lower(b.text), ' ', ''), 1, 1 + b.item_id % 24)"
+
+
+@query(f"select b.item_id, d.doc_id from benchmark b join documents d on contains(replace(lower(d.text), ' ', ''), {NEEDLES_SQL})")
+def fil_grep_many(spark, sf_dir):
+    """The first letters of each passage, one to 24 of them, looked for in all documents at once."""
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.substring(F.replace(F.lower("text"), F.lit(" "), F.lit("")), F.lit(1), (1 + F.col("item_id") % 24).cast("int")).alias("needle"))
+    return substrings(spark, sf_dir).grep(needles).select(F.col("key").alias("item_id"), "doc_id")
+
+
+@query("select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
+def fil_passages(spark, sf_dir):
+    """Whole passages by an automaton over all texts."""
+    return holding(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("pattern"))).select(F.col("key").alias("item_id"), "doc_id")
+
+
+#: Changes of documents: some get another text, some go, some come again under a new id.
+DELTA_SQL = "newdocs as (select doc_id, case when doc_id % 50 = 0 then text || ' zebra erat' else text end as text from documents where doc_id % 50 <> 1 union all select doc_id + 10000000, text from documents where doc_id % 50 = 2)"
+
+
+def delta_index_sql() -> str:
+    return f"{DELTA_SQL}, {index_sql().replace('from documents', 'from newdocs')}"
+
+
+def changed_engine(spark, sf_dir) -> Engine:
+    docs = documents(spark, sf_dir)
+    other = docs.where("doc_id % 50 = 0").withColumn("text", F.concat("text", F.lit(" zebra erat")))
+    again = docs.where("doc_id % 50 = 2").withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    return engine(spark, sf_dir).with_documents(other.unionByName(again), docs.where("doc_id % 50 = 1"))
+
+
+@query(f"with {delta_index_sql()} select term, df, round(ln(1.0 + (n - df + 0.5) / (df + 0.5)), 6) as idf from df cross join stats")
+def idx_delta(spark, sf_dir):
+    """Document frequencies after documents changed, came and went, from the stored index and a delta."""
+    index = changed_engine(spark, sf_dir).index
+    return index.doc_freq().join(index.idf().select("term", F.round("idf", 6).alias("idf")), "term")
+
+
+@query(f"with {delta_index_sql()}, {BENCH_ASKED}, {hits_sql('', 'asked')} select query as item_id, doc_id, rank, round(score, 4) as score from hits")
+def bm25_delta(spark, sf_dir):
+    """The ten best of the changed documents."""
+    hits = changed_engine(spark, sf_dir).search(table(spark, sf_dir, "benchmark"), key="item_id", text="text", terms=False)
+    return hits.select("item_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 @query(f"with {index_sql()} select doc_id, dl as n_tokens from dl where doc_id = 7")
 def fil_lookup(spark, sf_dir):
     return engine(spark, sf_dir).doc_tokens(7).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
@@ -735,6 +785,13 @@ def rag_context(spark, sf_dir):
     return retrieval.render_context(got.join(docs, "doc_id")).select("query", F.md5("context").alias("context"))
 
 
+@query(f"{BASE_EVAL}, raw as (select q.query, count(*) as n_raw from evalq q join documents d on contains(replace(lower(d.text), ' ', ''), replace(lower(q.query), ' ', '')) group by q.query), seen as (select q.query, coalesce(n_results, 0) as n_results, coalesce(n_raw, 0) as n_raw from evalq q left join m using (query) left join raw using (query)) select query, query as tokens, n_results, n_raw, query || ' ' || query || case when n_results = 0 then ' no results' else '' end || case when n_results = 0 and n_raw > 0 then ' though texts hold it' else '' end as symptoms from seen")
+def rag_symptoms(spark, sf_dir):
+    """What is to be seen of each evaluation query's search."""
+    seen = retrieval.symptoms(engine(spark, sf_dir), evaluation_set(spark, sf_dir)[0], substrings(spark, sf_dir))
+    return seen.select("query", F.array_join("tokens", " ").alias("tokens"), "n_results", "n_raw", "symptoms")
+
+
 FAMILIES_SQL = f"held as (select distinct doc_id, w as family from (select doc_id, unnest({WORDS.format('text')}) as w from documents) where w in ({', '.join(map(repr, STOP_WORDS))})), told as (select doc_id from held group by doc_id having count(*) < (select count(distinct family) from held))"
 
 

@@ -35,10 +35,10 @@ def render_settings(config: AnalyzerConfig, decompound_mode: str = "mixed") -> d
                 rules.append(term)
                 known.add(term)
     synonyms = [f"{', '.join(t for t in g.terms if t != g.canonical)} => {g.canonical}" for g in config.synonym_groups]
-    filters = ["own_pos", "lowercase", *(["own_synonyms"] if synonyms else [])]
+    filters = ["lowercase", "own_pos", *(["own_synonyms"] if synonyms else [])]
     analysis = {
         "tokenizer": {"own_tokenizer": {"type": "nori_tokenizer", "decompound_mode": decompound_mode, "user_dictionary_rules": rules}},
-        "filter": {"own_pos": {"type": "nori_part_of_speech", "stoptags": list(STOP_TAGS)}} | ({"own_synonyms": {"type": "synonym", "synonyms": synonyms, "lenient": False}} if synonyms else {}),
+        "filter": {"own_pos": {"type": "nori_part_of_speech", "stoptags": list(STOP_TAGS)}} | ({"own_synonyms": {"type": "synonym_graph", "synonyms": synonyms, "lenient": False}} if synonyms else {}),
         "analyzer": {"lexiloom": {"type": "custom", "tokenizer": "own_tokenizer", "filter": filters}},
     }
     return {"settings": {"analysis": analysis}, "mappings": {"properties": {"doc_id": {"type": "keyword"}, "text": {"type": "text", "analyzer": "lexiloom"}}}}
