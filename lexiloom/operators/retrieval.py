@@ -14,9 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.functions.relevance import RRF_K, rrf
-from lexiloom.functions.vectors import dot, unit
+from lexiloom.functions.vectors import unit
 from lexiloom.operators.index import Engine, Index
 from lexiloom.operators.patterns import SubstringIndex
+from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources.shared import written
 
 MODES = ("bm25", "dense", "hybrid")
@@ -78,8 +79,8 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
         return _maxsim_by_table(queries, docs, known.collect(), q.collect(), keep)
     asked = q.select("token").distinct().join(known, "token").select(F.col("token").alias("q"), F.col("u").alias("uq"))
     d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    present = known.join(d.select("token").distinct(), "token", "left_semi")
-    sims = present.join(asked, F.size("u") == F.size("uq")).select("token", "q", dot("u", "uq").alias("sim"))
+    present = VectorIndex.of(vectors.join(d.select("token").distinct(), "token", "left_semi"))
+    sims = present.all_pairs(asked.select(F.col("q").alias("query"), F.col("uq").alias("u"))).select(F.col("other").alias("token"), F.col("query").alias("q"), "sim")
     best = d.join(sims, "token").groupBy("doc_id", "q").agg(F.max("sim").alias("sim"))
     total = q.groupBy("query").agg(F.sum("times").alias("n"))
     joined = best.join(q.withColumnRenamed("token", "q"), "q").groupBy("query", "doc_id").agg(F.sum(F.round(F.col("sim") * F.col("times") * 1e9).cast("long")).alias("s"))

@@ -28,7 +28,7 @@ def similar_tokens(probes: DataFrame, vocabulary: DataFrame | SpellingIndex, k:
         best = best.select("probe", "token", "similarity", F.lit(None).cast("double").alias("vector_similarity"))
     else:
         if index is None:
-            tokens = vocabulary.tokens if isinstance(vocabulary, SpellingIndex) else vocabulary.select(F.col("term").alias("token"))
+            tokens = vocabulary.tokens.select("token") if isinstance(vocabulary, SpellingIndex) else vocabulary.select(F.col("term").alias("token"))
             index = VectorIndex.of(vectors.join(tokens, "token", "left_semi"))
         asked = p.join(vectors.select(F.col("token").alias("probe"), unit("vec").alias("u")), "probe").select(F.col("probe").alias("query"), "u")
         vec = vectors.select(F.col("token").alias("probe"), F.col("vec").alias("__pv")), vectors.select("token", F.col("vec").alias("__tv"))

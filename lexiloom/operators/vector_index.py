@@ -187,6 +187,18 @@ class VectorIndex:
         best = first.unionByName(second).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "other")))
         return best.where(F.col("rank") <= k)
 
+    def all_pairs(self, queries: DataFrame) -> DataFrame:
+        """query, other, sim of every member with each of queries(query, u), a stated set; cell by cell, in blocks, itself included."""
+
+        def score(members: pa.Table, visits: pa.Table) -> pa.Table:
+            n, q = len(members), len(visits)
+            sims = _matrix(visits["u"].combine_chunks()) @ _matrix(members["u"].combine_chunks()).T if n and q else np.zeros((0, 0))
+            at = np.indices((q, n)).reshape(2, -1) if n and q else np.zeros((2, 0), int)
+            return pa.table({"query": visits["query"].take(pa.array(at[0])), "other": members["token"].take(pa.array(at[1])), "sim": pa.array(sims.ravel())})
+
+        cells, asked = self.cells, queries.select(F.col("query").cast("string").alias("query"), "u")
+        return self.meet(self._visits(asked, lambda row, u: cells.bounds(u)[0]), score, "query string, other string, sim double")
+
     def before(self, questions: DataFrame) -> DataFrame:
         """query, answer, before: how many others of questions(query, u, answer, sim) come before the answer, by falling similarity, then token.
 

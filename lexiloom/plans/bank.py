@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import jamo, text
-from lexiloom.operators import chunking, config, evaluation, mining, retrieval, similar, vectors
+from lexiloom.operators import chunking, config, evaluation, lattice, mining, retrieval, similar, vectors
 from lexiloom.operators.analysis import Analyzer, RegexTokenizer
 from lexiloom.operators.config import AnalyzerConfig, CompoundExpansion, Prescription, SynonymGroup
 from lexiloom.operators.index import Engine
@@ -283,6 +283,25 @@ def ana_content_filter(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", tokens.alias("t")).where(F.size("t") > 0).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
 
+#: Words of a segmentation dictionary: all that occur so often.
+DICTIONARY = 4096
+
+
+def dictionary(spark, sf_dir) -> list:
+    """The most frequent words as a dictionary with costs."""
+    index = engine(spark, sf_dir).index
+    words = index.doc_freq().orderBy(F.desc("df"), "term").limit(DICTIONARY).select(F.col("term").alias("form"), F.lit("NNG").alias("tag"), F.col("df").alias("n"))
+    return lattice.learnt(words)
+
+
+@query()
+def ana_lattice(spark, sf_dir):
+    """All texts without their blanks, cut into the dictionary's words again by the cheapest path: forms, tags and their numbers."""
+    tokenizer = lattice.LatticeTokenizer(tuple(dictionary(spark, sf_dir)))
+    plain = building(spark, sf_dir).docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("")).alias("text"))
+    return plain.select("doc_id", F.explode(tokenizer.morphemes(F.col("text"), {})).alias("m")).groupBy("doc_id", F.col("m.form").alias("form"), F.col("m.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(r"select page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[\x{200B}\x{FEFF}]', '', 'g'), '[ \t]+\n', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')) as digest from pages")
 def str_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.normalize("html")).alias("digest"))
@@ -605,6 +624,21 @@ def tool_similar_spelling(spark, sf_dir):
     return similar.similar_tokens(probes(spark, sf_dir), spelling(spark, sf_dir)).select("probe", "token", "similarity")
 
 
+#: A syllable for each Latin letter, by a rule, so that neighbours share jamo: the vocabulary as Hangul.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+HANGUL = "".join(chr(0xAC00 + 588 * (i % 9) + 28 * (i % 5) + i % 4) for i in range(len(LATIN)))
+_JAMO_SPELLED = f"spelled as (select probe, token, round(1.0 - levenshtein(x, y) / greatest(length(x), length(y)), 3) as similarity from (select p.term as probe, v.term as token, p.x, v.x as y from asked p join hangul v on v.term <> p.term))"
+
+
+@query(f"with {index_sql()}, {EVAL_SQL}, hangul as (select term, {_SPELL.format('term')} as x from (select translate(term, '{LATIN}', '{HANGUL}') as term from df where regexp_full_match(term, '[a-z]+'))), asked as (select term, {_SPELL.format('term')} as x from (select translate(query, '{LATIN}', '{HANGUL}') as term from evalq where family is not null and regexp_full_match(query, '[a-z]+'))), {_JAMO_SPELLED} select probe, token, similarity from (select *, row_number() over (partition by probe order by similarity desc, token) as rn from spelled) where rn <= 8")
+def tool_similar_jamo(spark, sf_dir):
+    """Similar spellings among Hangul terms: the vocabulary's Latin words letter by letter as syllables."""
+    keep = keeper(spark, sf_dir)
+    words = engine(spark, sf_dir).index.vocabulary().where(F.col("term").rlike("^[a-z]+$")).select(F.translate("term", LATIN, HANGUL).alias("term"))
+    asked = probes(spark, sf_dir).where(F.col("term").rlike("^[a-z]+$")).select(F.translate("term", LATIN, HANGUL).alias("term"))
+    return similar.similar_tokens(asked, SpellingIndex.of(words, lambda name, make: keep(f"hangul-{name}", make))).select("probe", "token", "similarity")
+
+
 FREQUENT_SQL = f"probes as (select token as probe from vec where i % 50 = 0), {SPELLED_SQL}, both_ as (select s.*, round(list_cosine_similarity(a.v, b.v), 3) as vector_similarity from spelled s left join vec a on a.token = s.probe left join vec b on b.token = s.token), cut as (select *, row_number() over (partition by probe order by similarity desc, token) as rs, row_number() over (partition by probe order by vector_similarity desc nulls last, token) as rv from both_)"
 
 

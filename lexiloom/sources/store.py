@@ -65,7 +65,16 @@ class PatchStore:
         return [Prescription.from_json(r[0]) for r in rows]
 
     def save_baseline(self, name: str, measured: DataFrame) -> None:
-        measured.select("query", "ndcg", "recall", "precision5", "n_results").write.mode("overwrite").parquet(f"{self.root}/baseline/{name}")
+        """Replaces the baseline of that name; in a database its rows are appended as a new version, the last of which counts."""
+        rows = measured.select("query", "ndcg", "recall", "precision5", "n_results")
+        if self.jdbc:
+            rows.select(F.lit(name).alias("name"), F.lit(datetime.now(timezone.utc)).alias("saved_at"), "*").write.jdbc(self.jdbc, "lexiloom_baseline", mode="append")
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.root}/baseline/{name}")
 
     def load_baseline(self, name: str) -> DataFrame:
+        if self.jdbc:
+            every = self.spark.read.jdbc(self.jdbc, "lexiloom_baseline").where(F.col("name") == name)
+            last = every.agg(F.max("saved_at").alias("saved_at"))
+            return every.join(F.broadcast(last), "saved_at").select("query", "ndcg", "recall", "precision5", "n_results")  # one row
         return self.spark.read.schema(schemas.METRICS).parquet(f"{self.root}/baseline/{name}")

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import jamo
-from lexiloom.operators import evaluation, index as index_module, patterns, retrieval, vector_index
-from lexiloom.operators.config import Prescription, SynonymGroup
+from lexiloom.operators import evaluation, lattice, patterns, retrieval, vector_index
+from lexiloom.operators import index as index_module
+from lexiloom.operators.analysis import Analyzer
+from lexiloom.operators.config import AnalyzerConfig, Prescription, SynonymGroup, UserWord
 from lexiloom.operators.index import Engine
 from lexiloom.operators.patterns import SubstringIndex
 from lexiloom.operators.spelling import SpellingIndex
@@ -220,3 +222,49 @@ def test_symptoms_and_contexts(spark):
     rows = spark.createDataFrame([("q", 1, "T", "body", "file.md"), ("q", 2, "U", "more", None)], "query string, rank int, title string, text string, source string")
     context = {r.query: r.context for r in retrieval.render_context(rows, spark.createDataFrame([("q",), ("none",)], "query string")).collect()}
     assert context == {"q": "[1] T (file.md)\nbody\n\n[2] U\nmore", "none": ""}
+
+
+def plain_path(text, words, whole):
+    """The least cost over all ways to cut a text, by trying them all with memory; a run of unknown characters is one step."""
+    costs = {}
+    for form, _, cost in words:
+        costs[form] = min(cost, costs.get(form, 1e9))
+    costs |= dict.fromkeys(whole, lattice.WHOLE)
+    least = [(0.0,)] + [None] * len(text)
+    for j in range(1, len(text) + 1):
+        ways = []
+        for i in range(j):
+            if text[i:j] in costs:
+                ways.append((least[i][0] + costs[text[i:j]],))
+            ways.append((least[i][0] + lattice.UNKNOWN + (j - i - 1) * lattice.UNKNOWN_NEXT,))
+        least[j] = min(ways)
+    return least[-1][0]
+
+
+def path_cost(cut, words, whole):
+    costs = {}
+    for form, _, cost in words:
+        costs[form] = min(cost, costs.get(form, 1e9))
+    costs |= dict.fromkeys(whole, lattice.WHOLE)
+    return sum(lattice.UNKNOWN + (len(form) - 1) * lattice.UNKNOWN_NEXT if tag == "UNK" else costs[form] for form, tag in cut)
+
+
+def test_the_lattice_finds_the_cheapest_path():
+    rng = random.Random(11)
+    for _ in range(300):
+        words = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))), rng.choice(["NNG", "VV"]), rng.choice([1.0, 2.5, 7.0])) for _ in range(6)]
+        whole = {"abca": "NNP"} if rng.random() < 0.3 else {}
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 14)))
+        cut = lattice.lattice(words, whole)(text)
+        assert "".join(f for f, _ in cut) == text
+        assert path_cost(cut, words, whole) == pytest.approx(plain_path(text, words, whole))
+
+
+def test_lattice_as_a_tokenizer(spark):
+    words = (("프라이", "NNG", 3.0), ("팬", "NNG", 3.0), ("프라이팬", "NNG", 9.0), ("을", "JKO", 1.0))
+    a = Analyzer(tokenizer=lattice.LatticeTokenizer(words))
+    df = spark.createDataFrame([("프라이팬을 Zz",), (None,), ("",)], "text string")
+    assert [r.t for r in df.select(a.tokens("text").alias("t")).collect()] == [["프라이", "팬"], [], []]
+    kept = a.with_config(AnalyzerConfig(user_words=(UserWord("프라이팬"),)))
+    assert df.select(kept.tokens("text").alias("t")).first().t == ["프라이팬"]
+    assert lattice.learnt(spark.createDataFrame([("a", "NNG", 3), ("b", "VV", 1)], "form string, tag string, n int")) == [("a", "NNG", 0.287682), ("b", "VV", 1.386294)]
