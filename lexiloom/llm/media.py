@@ -43,6 +43,8 @@ def _netpbm(blob: bytes) -> np.ndarray:
         fields.append(int(m[1]))
         at = m.end()
     width, height, most = (*fields, 1)[:3]
+    if not 0 < most < 1 << 16:
+        raise ValueError("no such greatest sample")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     n = int(np.prod(shape))
     if kind == 4:

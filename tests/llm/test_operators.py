@@ -240,6 +240,11 @@ def test_formats_round_trip():
         assert (media.decode(media.encode_bmp(a)) == a).all()
 
 
+@pytest.mark.parametrize("most", [b"0", b"65536"])
+def test_an_image_without_a_greatest_sample_is_damaged(most):
+    assert media.decode(b"P5\n2 1\n" + most + b"\n\x00\x01") is None and media.decode(b"P2\n1 1\n" + most + b"\n0\n") is None
+
+
 def test_other_netpbm_kinds():
     assert media.decode(b"P2\n# grey\n3 1\n15\n0 7 15\n").tolist() == [[0, 119, 255]]
     assert media.decode(b"P3 1 2 255 1 2 3 4 5 6").tolist() == [[[1, 2, 3]], [[4, 5, 6]]]
