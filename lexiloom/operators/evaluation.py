@@ -41,7 +41,7 @@ def metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = TOP_
 
 
 def evaluate(engine: Engine, queries: DataFrame, qrels: DataFrame, k: int = TOP_K) -> DataFrame:
-    return metrics(queries, engine.search(queries.select("query").distinct(), k, terms=False), qrels, k)
+    return metrics(queries, engine.search(queries.select("query").distinct(), k, terms=False, bounds=False), qrels, k)  # queries of a few words
 
 
 def means(measured: DataFrame) -> DataFrame:

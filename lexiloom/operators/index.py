@@ -92,18 +92,22 @@ class Index:
         part = bm25_term(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
         return found.groupBy(key, "doc_id").agg(exact_sum(part).alias("score"))
 
-    def best(self, queries: DataFrame, k: int = TOP_K, key: str = "query") -> DataFrame:
-        """key, doc_id, score, rank: the k best, ranked by the score, then doc_id; by bounds where the postings are stored in blocks."""
-        if self.blocks is not None:
+    def best(self, queries: DataFrame, k: int = TOP_K, key: str = "query", bounds: bool = True) -> DataFrame:
+        """key, doc_id, score, rank: the k best, ranked by the score, then doc_id.
+
+        By bounds where the postings are stored in blocks: that is for queries of many words and few places. Without
+        `bounds` all documents that share a term are scored, which is one job and no more work for queries of a word.
+        """
+        if bounds and self.blocks is not None:
             return self.blocks.best(queries, max(1, k), key)
         return _first(self.scores(queries, key), max(1, k), key)
 
-    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", terms: bool = True) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", terms: bool = True, bounds: bool = True) -> DataFrame:
         """key, doc_id, rank (from 1), score (4 decimals), and matched_terms if wanted; ranked by the unrounded score, then doc_id.
 
         Only the documents that stay are asked for their terms.
         """
-        best = self.best(queries, k, key)
+        best = self.best(queries, k, key, bounds)
         best = best.select(key, "doc_id", "rank", F.round("score", 4).alias("score"))
         if not terms:
             return best
@@ -337,8 +341,8 @@ class Engine:
     def tokenized(self, queries: DataFrame, key: str = "query", text: str | Column | None = None) -> DataFrame:
         return queries.select(key, self.analyzer.tokens(text if text is not None else key).alias("tokens"))
 
-    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", text: str | Column | None = None, terms: bool = True) -> DataFrame:
-        return self.index.search(self.tokenized(queries, key, text), k, key, terms)
+    def search(self, queries: DataFrame, k: int = TOP_K, key: str = "query", text: str | Column | None = None, terms: bool = True, bounds: bool = True) -> DataFrame:
+        return self.index.search(self.tokenized(queries, key, text), k, key, terms, bounds)
 
     def doc_tokens(self, doc_id) -> DataFrame:
         """doc_id, tokens of one document; LookupError if it doesn't exist."""

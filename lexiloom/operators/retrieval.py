@@ -184,7 +184,7 @@ class Retriever:
         other list are counted for it; nothing is ranked or stored for that.
         """
         depth = RRF_K + 2 * k
-        near = written(fuse(self._bm25(queries, depth), ranked(self._dense(queries, depth), depth)), "fused")  # 2 depth rows a query at most
+        near = written(fuse(ranked(self._places(self._index.scores(queries)), depth), ranked(self._dense(queries, depth), depth)), "fused")  # 2 depth rows a query at most
         most = F.col("score") + F.when(F.col("rank_bm25").isNull() | F.col("rank_dense").isNull(), 1.0 / (RRF_K + depth + 1)).otherwise(0.0)
         kth = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).where(F.col("place") == k).select("query", F.col("score").alias("kth"))
         possible = near.join(kth, "query", "left").where(most >= F.coalesce("kth", F.lit(0.0)) - 1e-8)
