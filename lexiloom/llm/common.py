@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 4 << 20
 #: Bytes of a word from which on it is encoded in parts, and of such a part.
 PART = 256
+#: Files for each core of the cluster that a table of keys and ids is written as, at most.
+FILES = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,15 @@ def stored(df: DataFrame, name: str, scratch: list[str] | None = None, compressi
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_ids(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """stored() for narrow rows that are cheap to make: a task writes what several partitions give, one after the other.
+
+    Each file costs its task and, in some stores, a child process to set its permissions; rows of a few bytes
+    dealt by a key over many partitions would be mostly files.
+    """
+    return stored(df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism), name, scratch)
+
+
 def cleared(spark: SparkSession, scratch: list[str]) -> None:
     """Removes stored tables that no plan reads any more: what was made of them must be stored itself."""
     for path in scratch:

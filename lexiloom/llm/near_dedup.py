@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import cleared, column, mapped, stored, whole_text
+from lexiloom.llm.common import cleared, column, mapped, stored, stored_ids, whole_text
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 1 - (1 - 0.8 ** 5) ** 30: of pairs at the threshold about 7 in a million share no bucket.
@@ -238,7 +238,7 @@ def components(edges: DataFrame, scratch: list[str]) -> DataFrame:
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", scratch)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label"))
     while edges.count() > FEW:
-        hook = stored(edges.groupBy("a").agg(F.min("b").alias("up")), "hooks", scratch)
+        hook = stored_ids(edges.groupBy("a").agg(F.min("b").alias("up")), "hooks", scratch)
         nodes = nodes.join(hook.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         moved = edges.join(hook, "a").select(F.col("up").alias("a"), "b")
         moved = moved.join(hook.select(F.col("a").alias("b"), F.col("up").alias("to")), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
@@ -308,9 +308,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     nodes = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("buckets", "keys", "sig", "bytes"))), "nodes", scratch)
     members = nodes.select("node", F.explode("buckets").alias("key"))
     # Stored sides of joins leave Spark free to split a large bucket's rows over tasks.
-    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("key", "centre"), "shared", scratch)
-    members = stored(members.join(shared, "key"), "members", scratch)  # of buckets of two nodes or more
-    tested = stored(members.where("node != centre").select("centre", "node").distinct(), "tested", scratch)
+    shared = stored_ids(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("key", "centre"), "shared", scratch)
+    members = stored_ids(members.join(shared, "key"), "members", scratch)  # of buckets of two nodes or more
+    tested = stored_ids(members.where("node != centre").select("centre", "node").distinct(), "tested", scratch)
     texts = rows.groupBy("node").agg(F.any_value("text").alias("text"))
     texts = stored(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts", scratch)
     links = stored(_verified(tested, texts), "links", scratch)
@@ -321,24 +321,24 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         """The members of buckets of several components and at least so many nodes, with labels, registers, and the bucket's nodes and bytes."""
         named = of.join(labels, "node", "left").join(nodes.select("node", "sig", "keys", "bytes"), "node").select("key", "node", F.coalesce("label", "node").alias("label"), "sig", "keys", "bytes")
         held = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).where((F.col("low") != F.col("high")) & (F.col("n") >= least))
-        held = stored(held.select("key", "n", "size"), "several", scratch)
-        return stored(named.join(held, "key"), name, scratch)
+        held = stored_ids(held.select("key", "n", "size"), "several", scratch)
+        return stored_ids(named.join(held, "key"), name, scratch)
 
     rest = members
     while not (crowd := several(rest, CROWD, "crowd")).isEmpty():
         sample = crowd.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MODAL)) == 0).select("key", F.substring("sig", 1, BANDS * ROWS).alias("sig"))
-        modes = stored(sample.repartition("key").sortWithinPartitions("key").mapInArrow(_modes, "key long, mode binary"), "modes", scratch)
+        modes = stored_ids(sample.repartition("key").sortWithinPartitions("key").mapInArrow(_modes, "key long, mode binary"), "modes", scratch)
         near = mapped(crowd.select("key", "node", F.substring("sig", 1, BANDS * ROWS).alias("sig")).join(modes, "key"), _nearness, "key long, node binary, near int", None)
-        centres = stored(near.groupBy("key").agg(F.max(F.struct("near", "node"))["node"].alias("centre")), "centres", scratch)
+        centres = stored_ids(near.groupBy("key").agg(F.max(F.struct("near", "node"))["node"].alias("centre")), "centres", scratch)
         met = crowd.join(centres, "key").where("node != centre").select("key", "centre", "node")
-        pairs = stored(met.select("centre", "node").distinct().join(tested, ["centre", "node"], "left_anti"), "tested", scratch)
+        pairs = stored_ids(met.select("centre", "node").distinct().join(tested, ["centre", "node"], "left_anti"), "tested", scratch)
         found = stored(_verified(pairs, texts), "links", scratch)
         tested, links, n = tested.unionByName(pairs), links.unionByName(found), found.count()
         labels = components(links, scratch)
         if n < 0.1 * pairs.count():
             break
         named = met.join(labels, "node", "left").join(labels.select(F.col("node").alias("centre"), F.col("label").alias("its")), "centre", "left")
-        rest = stored(named.where("label is null or its is null or label != its").select("key", "node"), "members", scratch)
+        rest = stored_ids(named.where("label is null or its is null or label != its").select("key", "node"), "members", scratch)
     left = several(members, 2, "left")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES))
     dealt = left.select("key", "node", "label", "sig", "keys", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
@@ -351,6 +351,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     label = nodes.select("node", "least", "copies").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
     least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
     classes = label.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), least["node"].alias("first"))
-    of = stored(label.select("node", "label").join(classes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("first")).alias("stays")), "classes")
+    of = stored_ids(label.select("node", "label").join(classes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("first")).alias("stays")), "classes")
     cleared(docs.sparkSession, scratch)
     return rows, of
