@@ -1,4 +1,4 @@
-"""Command line: python -m lexiloom.cli COMMAND. Documents are Parquet with doc_id and text, or a lake's catalog."""
+"""Command line: python -m lexiloom.cli COMMAND. Documents are Parquet with doc_id and text, or a lake's catalog; "sample" stands for the sets that come with the library."""
 
 from __future__ import annotations
 
@@ -16,22 +16,25 @@ from lexiloom.operators import chunking, evaluation, index, mining, retrieval, v
 from lexiloom.operators.analysis import Analyzer, catalog_text
 from lexiloom.operators.config import AnalyzerConfig, Prescription
 from lexiloom.operators.index import Engine
-from lexiloom.plans import api, doctor, reports, scale
-from lexiloom.plans.service import RepairService
-from lexiloom.sources import files, lake, search_server, synthetic
+from lexiloom.plans import api, doctor, reports, scale, treatment
+from lexiloom.plans.service import Executor, RepairService
+from lexiloom.sources import files, lake, samples, search_server, synthetic
+from lexiloom.sources.shared import written
 from lexiloom.sources.store import PatchStore
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.parquet(path)
+    docs = samples.load_catalog(spark) if path == "sample" else spark.read.parquet(path)
     return catalog_text(docs) if "text" not in docs.columns else docs
 
 
+def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
+    return samples.load_knowledge(spark) if path == "sample" else spark.read.parquet(path)
+
+
 def read_evalset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A JSON list of {query, family, expected_patch_kinds, qrels: {doc_id: grade}}."""
-    rows = json.loads(Path(path).read_text())
-    queries = spark.createDataFrame([(r["query"], r.get("family"), r.get("expected_patch_kinds") or []) for r in rows], "query string, family string, expected_patch_kinds array<string>")
-    return queries, spark.createDataFrame([(r["query"], str(d), int(g)) for r in rows for d, g in r["qrels"].items()], "query string, doc_id string, grade int")
+    """A JSON list of {query, family, expected_patch_kinds, qrels: {doc_id: grade}}, or the one that comes with the library: sample."""
+    return samples.load_evalset(spark, samples.SAMPLES / "evalset.json" if path == "sample" else path)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -53,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     command("evaluate", "docs", "evalset")
     command("diagnose", "docs", "evalset", vectors=None)
     command("heal", "docs", "evalset", vectors=None, rules="scripted", ledger=None)
+    command("treat", "docs", "evalset", "query", vectors=None, rules="scripted", knowledge=None)
     command("demo-trap", "docs", "evalset", "good", "broad")
     command("export-es", url=None, index="lexiloom", docs=None)
     command("build-vectors", "docs", "model")
@@ -94,6 +98,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
         if args.ledger:
             Path(args.ledger).write_text(files.ledger_json(files.ledger(spark, done.accepted)))
         return reports.repair_report(done), doctor.healthy_regressions(done, queries).isEmpty()
+    if c == "treat":
+        row, mine = None, queries.where(F.col("query") == args.query)
+        if args.knowledge:
+            row = treatment.contexts(engine, mine.select("query"), read_knowledge(spark, args.knowledge), cache).first()
+        rules = doctor.LADDER if args.rules == "ladder" else doctor.SCRIPTED
+        ask = treatment.RuleDoctor(args.query, treatment.candidates(engine, mine, cache, rules).get(args.query, []), args.rules == "ladder")
+        done = treatment.treat(Executor(engine, queries, qrels, vectors=cache), ask, args.query, row.context if row else "", tuple(row.doc_ids) if row else ())
+        return reports.treatment_report(done), done.healed
     if c == "demo-trap":
         verdicts = [evaluation.run_gate(engine, queries, qrels, Prescription.from_json(Path(p).read_text()))[0] for p in (args.good, args.broad)]
         return "\n\n".join(v.feedback() for v in verdicts), [v.accepted for v in verdicts] == [True, False]
@@ -127,7 +139,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
         points = scale.run_scale(spark, spark.read.parquet(args.docs), [int(n) for n in args.sizes.split(",")], queries, qrels, good, broad, args.probe, analyzer)
         return reports.scale_report(points), scale.verdict_holds(points)
     if c == "rag-eval":
-        kb = spark.read.parquet(args.knowledge)
+        kb = read_knowledge(spark, args.knowledge)
         relevant, out = retrieval.relevant_docs(queries.where("family is not null"), kb), {}
         asked = queries.where("family is not null").select("query", analyzer.tokens("query").alias("tokens"))
         for size in [None if s == "none" else int(s) for s in args.chunking.split(",")]:
@@ -157,8 +169,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
         return reports.probe_report(vectors.separability(scored).first(), scored, vectors.hub_scores(cache), answers), True
     if c == "es-verify":
         server = search_server.SearchServer.from_environment(args.url)
-        hits = [(q.query, d, i) for q in queries.select("query").collect() for i, (d, _) in enumerate(server.search(args.index, q.query, index.TOP_K), 1)]
-        remote = evaluation.metrics(queries, spark.createDataFrame(hits, "query string, doc_id string, rank int"), qrels)
+        hits = search_server.search_all(queries, server, args.index, index.TOP_K)
+        remote = written(evaluation.metrics(queries, hits.select("query", "doc_id", "rank"), qrels), "remote")  # asked once
         diff = search_server.divergence(evaluation.evaluate(engine, queries, qrels), remote)
         return reports.divergence_report(diff, search_server.token_difference(queries, analyzer, analyzer)), diff.where("diverged").isEmpty()
     service = RepairService(engine, queries, qrels, store=PatchStore(spark, args.store) if args.store else None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from lexiloom.plans.doctor import RepairRun, summary
@@ -57,3 +59,17 @@ def probe_report(separable, pairs: DataFrame, hubs: DataFrame, answers: DataFram
 def divergence_report(diverged: DataFrame, tokens: DataFrame) -> str:
     rows = diverged.where("diverged").limit(50).collect()
     return "\n".join(["# Two backends", "", table(["query", "local", "remote", "delta"], [(r.query, r.local_ndcg, r.remote_ndcg, r.delta) for r in rows]), "", table(["query", "only local", "only remote"], [(r.query, " ".join(r.only_a), " ".join(r.only_b)) for r in tokens.limit(50).collect()])])
+
+
+def treatment_report(done) -> str:
+    """A session step by step: what was looked at, what was submitted and what the gate said."""
+    lines = [f"query: {done.query}", *([f"notes: {', '.join(done.retrieved)}"] if done.retrieved else [])]
+    for step in done.transcript[1:]:
+        said = step["content"]
+        if step["role"] == "tool":
+            lines += [f"  error: {said['content']}"] if said["is_error"] else [f"  gate: {said['content']['feedback']}"] if "feedback" in said["content"] else []
+        elif said.get("tool"):
+            lines.append(f"{said['tool']} {json.dumps(said['arguments'], ensure_ascii=False)}")
+        else:
+            lines.append(said.get("text", ""))
+    return "\n".join([*lines, f"outcome: {done.outcome}, {done.attempts} submitted, {done.n_turns} turns"])

@@ -10,6 +10,7 @@ import urllib.error
 import urllib.request
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +142,17 @@ def write_documents(docs: DataFrame, server: SearchServer, index: str, batch: in
     docs.select("doc_id", "text").foreachPartition(send)
 
 
+def search_all(queries: DataFrame, server: SearchServer, index: str, k: int = 10, connections: int = 8) -> DataFrame:
+    """query, doc_id, rank, score of the k best documents of each distinct query(query), asked from tasks over `connections` connections at a time at most."""
+
+    def ask(batches):
+        for batch in batches:
+            hits = [(q, d, i, float(s)) for q in batch["query"] for i, (d, s) in enumerate(server.search(index, q, k), 1)]
+            yield pd.DataFrame(hits, columns=["query", "doc_id", "rank", "score"])
+
+    return queries.select("query").where("query is not null").distinct().repartition(connections).mapInPandas(ask, "query string, doc_id string, rank int, score double")
+
+
 def divergence(local: DataFrame, remote: DataFrame, least: float = 0.05) -> DataFrame:
     """query, local_ndcg, remote_ndcg, delta of both backends' metrics, diverged where they differ by more than `least`; largest first."""
     both = local.select("query", F.col("ndcg").alias("local_ndcg")).join(remote.select("query", F.col("ndcg").alias("remote_ndcg")), "query").withColumn("delta", F.round(F.col("remote_ndcg") - F.col("local_ndcg"), 4))

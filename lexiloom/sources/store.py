@@ -6,21 +6,70 @@ import json
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom import schemas
 from lexiloom.operators.config import Prescription
 
+#: The tables of a database, in types that all databases have.
+TABLES = {
+    "lexiloom_session": "session_id VARCHAR(64) NOT NULL, target_query VARCHAR(2000), created_at TIMESTAMP NOT NULL",
+    "lexiloom_patch": "session_id VARCHAR(64) NOT NULL, seq INTEGER NOT NULL, prescription VARCHAR(30000) NOT NULL, evidence VARCHAR(30000) NOT NULL, attempts INTEGER NOT NULL, created_at TIMESTAMP NOT NULL, PRIMARY KEY (session_id, seq)",
+    "lexiloom_baseline": "name VARCHAR(200) NOT NULL, saved_at TIMESTAMP NOT NULL, query VARCHAR(2000) NOT NULL, ndcg DOUBLE PRECISION, recall DOUBLE PRECISION, precision5 DOUBLE PRECISION, n_results BIGINT",
+}
+
 
 @dataclass(frozen=True)
 class PatchStore:
-    """One writer per session: sequence numbers are the greatest so far plus one. With `jdbc`, tables live in that database."""
+    """Sequence numbers are the greatest so far plus one: in files for one writer a session. With `jdbc`, tables live in
+    that database, migrate() makes them, and its keys keep two writers from giving one number twice."""
 
     spark: SparkSession
     root: str
     jdbc: str | None = None
 
+    def migrate(self) -> list[str]:
+        """Makes the tables that the database lacks, with their keys, and names them; tables that are there stay as they are."""
+        connection = self.spark._jvm.java.sql.DriverManager.getConnection(self.jdbc)
+        try:
+            there, names = connection.getMetaData().getTables(None, None, "%", None), set()
+            while there.next():
+                names.add(there.getString("TABLE_NAME").lower())
+            made = [t for t in TABLES if t not in names]
+            for t in made:
+                connection.createStatement().execute(f"CREATE TABLE {t} ({TABLES[t]})")
+            return made
+        finally:
+            connection.close()
+
+    def _insert_patch(self, session_id: str, values: tuple, tries: int = 5) -> int:
+        """One row with the session's next number; where another writer took that number, the next one."""
+        connection = self.spark._jvm.java.sql.DriverManager.getConnection(self.jdbc)
+        try:
+            for left in range(tries, 0, -1):
+                ask = connection.prepareStatement("SELECT COALESCE(MAX(seq), 0) + 1 FROM lexiloom_patch WHERE session_id = ?")
+                ask.setString(1, session_id)
+                rows = ask.executeQuery()
+                rows.next()
+                seq = rows.getInt(1)
+                put = connection.prepareStatement("INSERT INTO lexiloom_patch (session_id, seq, prescription, evidence, attempts, created_at) VALUES (?, ?, ?, ?, ?, CURRENT_TIMESTAMP)")
+                put.setString(1, session_id)
+                put.setInt(2, seq)
+                put.setString(3, values[0])
+                put.setString(4, values[1])
+                put.setInt(5, values[2])
+                try:
+                    put.executeUpdate()
+                    return seq
+                except Py4JJavaError as e:
+                    # Class 23: a constraint, here the key.
+                    if left == 1 or not str(e.java_exception.getSQLState()).startswith("23"):
+                        raise
+        finally:
+            connection.close()
+
     def _table(self, name: str, schema: str) -> DataFrame:
         if self.jdbc:
             return self.spark.read.jdbc(self.jdbc, f"lexiloom_{name}")
@@ -55,6 +104,8 @@ class PatchStore:
         """Stores an accepted patch; rejected ones are never stored."""
         if not verdict.accepted:
             raise ValueError("a rejected patch isn't stored")
+        if self.jdbc:
+            return self._insert_patch(session_id, (patch.to_json(), json.dumps(asdict(verdict), ensure_ascii=False), attempts))
         seq = self._table("patch", schemas.STORED_PATCH).where(F.col("session_id") == session_id).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
         self._append("patch", (session_id, seq, patch.to_json(), json.dumps(asdict(verdict), ensure_ascii=False), attempts, datetime.now(timezone.utc)), schemas.STORED_PATCH)
         return seq

@@ -30,9 +30,15 @@ def paths(catalog, spark, tmp_path_factory):
         ("heal --docs {d}/docs --evalset {d}/eval.json --ledger {d}/ledger.json", "heal rate: 1.0"), ("demo-trap --docs {d}/docs --evalset {d}/eval.json --good {d}/good.json --broad {d}/broad.json", "rejected"),
         ("export-es", "nori_tokenizer"), ("build-lake --root {d}/lake --docs 100 --rows 1000", "logs"), ("mine-logs --root {d}/lake", "후라이팬"), ("vector-probe --vectors {d}/vectors.json --pairs {d}/pairs.json", "100%"),
         ("baseline --docs {d}/docs --evalset {d}/eval.json --file {d}/base.json --action write", "baseline"), ("baseline --docs {d}/docs --evalset {d}/eval.json --file {d}/base.json", "ok"),
+        ("treat --docs sample --evalset sample --query 쥬스 --knowledge sample", "outcome: accepted, 1 submitted, 5 turns"),
         ("scale-bench --docs {d}/docs --evalset {d}/eval.json --good {d}/good.json --broad {d}/broad.json --sizes 0,50", "True"), ("rag-eval --docs {d}/docs --evalset {d}/eval.json --knowledge {d}/kb --chunking none,200", "bm25, chunks 200"),
     ],
 )
 def test_command(command, said, paths, capsys, spark):
     assert cli.main(command.format(d=paths).split()) == 0
     assert said in capsys.readouterr().out
+
+
+def test_a_query_that_isnt_healed_fails_the_command(capsys, spark):
+    assert cli.main("treat --docs sample --evalset sample --query 랩탑".split()) == 1
+    assert "No rule applies" in capsys.readouterr().out
