@@ -52,6 +52,17 @@ def test_no_spelling_is_compared_with_all(spark):
     assert "Cross" not in plan and all("=" in line for line in plan.splitlines() if "Join Inner" in line)
 
 
+def test_spellings_of_few_letters_meet_no_postings(spark):
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("가나") for _ in range(rng.randint(3, 12))) for _ in range(400)})
+    spelled = {r.t: r.j for r in spark.createDataFrame([(t,) for t in terms], "t string").select("t", jamo.to_jamo("t").alias("j")).collect()}
+    found = SpellingIndex.of(spark.createDataFrame([(t,) for t in terms], "term string")).most_alike(spark.createDataFrame([(t,) for t in terms[:4]], "probe string"), 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # all share all pairs of letters: a join by pairs multiplied the vocabulary
+    for p in terms[:4]:
+        want = sorted((-int((1 - edits(spelled[p], spelled[t]) / max(len(spelled[p]), len(spelled[t]))) * 1000 + 0.5 + 1e-9), t) for t in terms if t != p)[:3]
+        assert sorted((-round(r.similarity * 1000), r.token) for r in found.collect() if r.probe == p) == want
+
+
 def test_an_index_of_few_or_no_terms(spark):
     probes = spark.createDataFrame([("ab",), ("",)], "probe string")
     assert SpellingIndex.of(spark.createDataFrame([], "term string")).most_alike(probes, 3).count() == 0
