@@ -4,14 +4,16 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import jamo
 from lexiloom.operators import evaluation, lattice, patterns, retrieval, vector_index
 from lexiloom.operators import index as index_module
-from lexiloom.operators.analysis import Analyzer
+from lexiloom.operators import analysis as analysis_module
+from lexiloom.operators.analysis import Analyzer, ModelTokenizer
 from lexiloom.operators.config import AnalyzerConfig, Prescription, SynonymGroup, UserWord
-from lexiloom.operators.index import Engine
+from lexiloom.operators.index import Engine, Index
 from lexiloom.operators.patterns import SubstringIndex
 from lexiloom.operators.spelling import SpellingIndex
 from lexiloom.operators.vector_index import VectorIndex
@@ -137,6 +139,27 @@ def corpus(spark):
     return docs, queries
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_are_counted_and_asked_without_a_shuffle(spark, corpus):
+    docs, queries = corpus
+    assert exchanges(Index.of_tokens(docs.select("doc_id", F.split("text", " ").alias("tokens"))).postings) == 0
+    e = Engine(docs).stored(keep)
+    assert exchanges(e.index.scores(e.tokenized(queries))) == 1  # sums by query and document
+
+
+def test_many_touched_documents_are_counted_again(spark, corpus, monkeypatch):
+    docs, _ = corpus
+    config = AnalyzerConfig(synonym_groups=(SynonymGroup(("a", "b", "c")),))
+    stored, want = Engine(docs).stored(keep).with_config(config), Engine(docs).with_config(config).index
+    monkeypatch.setattr(index_module, "SHIPPED", 0)
+    got = stored.index
+    assert sorted(map(tuple, got.postings.select("term", "doc_id", "tf", "dl").collect())) == sorted(map(tuple, want.postings.select("term", "doc_id", "tf", "dl").collect()))
+    assert sorted(map(tuple, got.doc_freq().collect())) == sorted(map(tuple, want.doc_freq().collect()))
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_the_best_by_bounds_are_the_best_of_all_scores(spark, corpus, monkeypatch, bucket):
     monkeypatch.setattr(index_module, "BUCKET", bucket)
@@ -163,6 +186,26 @@ def test_fusion_by_counting_equals_whole_lists(spark, corpus):
             assert [(round(-s, 6), d, b, v) for s, d, b, v in want] == [(r.score, r.doc_id, r.rank_bm25, r.rank_dense) for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)]
 
 
+@pytest.mark.parametrize("keep_best", [None, 3])
+def test_late_interaction_by_vectors_equals_the_table(spark, corpus, monkeypatch, keep_best):
+    monkeypatch.setattr(retrieval, "ASKED", 7)
+    monkeypatch.setattr(retrieval, "DOCS", 50)
+    docs, queries = corpus
+    rng = np.random.default_rng(5)
+    e = Engine(docs)
+    terms = [r.term for r in e.index.vocabulary().orderBy("term").collect()]
+    table = spark.createDataFrame([(t, rng.normal(0, 1, 6).tolist()) for t in terms[::2]], "token string, vec array<double>")
+    tokens = e.tokens.unionByName(spark.createDataFrame([(-1, None), (-2, [])], "doc_id long, tokens array<string>"))
+
+    def best(df):
+        ranks = df.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")))
+        return sorted(map(tuple, ranks.where(f"place <= {keep_best or 10**9}").collect()))
+
+    got = retrieval.maxsim(e.tokenized(queries), tokens, table, limit=0, keep=keep_best)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # documents' tokens met every asked token in a join
+    assert best(got) == best(retrieval.maxsim(e.tokenized(queries), tokens, table, keep=keep_best))
+
+
 def test_changed_documents_equal_a_full_rebuild(spark, corpus):
     docs, queries = corpus
     changed = spark.createDataFrame([(0, "a b a new"), (5, ""), (7, None), (900, "entirely new words a")], "doc_id long, text string")
@@ -271,6 +314,14 @@ def test_the_lattice_finds_the_cheapest_path():
         assert path_cost(cut, words, whole) == pytest.approx(plain_path(text, words, whole))
 
 
+def test_morphemes_leave_python_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(analysis_module, "MORPHEMES", 3)  # not a batch's morphemes at once as Python objects
+    load = lambda whole: lambda text: [(c, "NNG") for c in text]
+    rows = spark.createDataFrame([(0, "abcdefgh"), (1, ""), (2, None), (3, "xy")], "doc_id int, text string").repartition(1)
+    got = {r.doc_id: [tuple(m) for m in r.m] for r in rows.select("doc_id", ModelTokenizer(load).morphemes(F.col("text"), {}).alias("m")).collect()}
+    assert got == {0: [(c, "NNG") for c in "abcdefgh"], 1: [], 2: [], 3: [("x", "NNG"), ("y", "NNG")]}
+
+
 def test_lattice_as_a_tokenizer(spark):
     words = (("프라이", "NNG", 3.0), ("팬", "NNG", 3.0), ("프라이팬", "NNG", 9.0), ("을", "JKO", 1.0))
     a = Analyzer(tokenizer=lattice.LatticeTokenizer(words))
