@@ -8,6 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,6 +62,8 @@ def ranks_of(places: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Bytes of the table of similarities, known tokens by asked tokens, and of the vectors it is made of; both are broadcast.
 TABLE_BYTES = 64 << 20
+#: Bytes of the vectors where only these are broadcast; documents and asked tokens whose similarities a task holds at once.
+VECTOR_BYTES, DOCS, ASKED = 384 << 20, 1000, 256
 
 
 def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = TABLE_BYTES, keep: int | None = None) -> DataFrame:
@@ -68,15 +71,18 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
 
     queries(query, tokens), docs(doc_id, tokens). Similarities are made between distinct tokens once. If their table
     and the vectors take at most `limit` bytes, each task looks documents up in it, in Arrow batches and without a
-    shuffle; larger ones meet the documents' distinct tokens by an equality join. With `keep` a task may leave out
+    shuffle. Where only the vectors take at most VECTOR_BYTES, these are broadcast, and a task makes the similarities of
+    its documents' tokens, some documents at a time. More vectors meet the documents' tokens by an equality join. With `keep` a task may leave out
     documents that aren't among its `keep` best of a query, by falling score, then doc_id; the best of all stay whole.
     """
     known = vectors.select("token", unit("vec").alias("u")).where("u is not null")
     q = queries.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token", "left_semi")
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("u")), F.lit(0)).alias("dims")).first()
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("u")), F.lit(0)).alias("dims"), F.coalesce(F.min(F.size("u")), F.lit(0)).alias("least")).first()
     n_asked, n_pairs = q.agg(F.count_distinct("token"), F.count(F.lit(1))).first()
     if size.n * (size.dims + n_asked) * 8 + n_pairs * 100 <= limit:
         return _maxsim_by_table(queries, docs, known.collect(), q.collect(), keep)
+    if size.n * size.dims * 8 <= VECTOR_BYTES and size.dims == size.least:
+        return _maxsim_by_vectors(queries, docs, known, q.collect(), keep)
     asked = q.select("token").distinct().join(known, "token").select(F.col("token").alias("q"), F.col("u").alias("uq"))
     d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
     present = VectorIndex.of(vectors.join(d.select("token").distinct(), "token", "left_semi"))
@@ -87,6 +93,56 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
     return joined.join(total, "query").select("query", "doc_id", F.round(F.col("s") / 1e9 / F.col("n"), 6).alias("score"))
 
 
+def _maxsim_by_vectors(queries: DataFrame, docs: DataFrame, known: DataFrame, asked: list, keep: int | None) -> DataFrame:
+    """maxsim() with the vectors at hand, all of one length, and the queries' tokens: nothing is shuffled, and with `keep` a task's rows are few."""
+    vectors = known.select("token", "u").toArrow()
+    tokens = vectors["token"].combine_chunks()
+    units = vectors["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), -1)
+    terms, keys = sorted({r.token for r in asked}), sorted({r["query"] for r in asked}, key=str)
+    column, row = {t: i for i, t in enumerate(terms)}, {k: i for i, k in enumerate(keys)}
+    rows = sorted((row[r["query"]], column[r.token], r.times) for r in asked)
+    of, cols, times = (np.array([a[i] for a in rows], np.int64) for i in range(3))
+    starts = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
+    total = np.add.reduceat(times, starts) if len(of) else np.ones(0)
+    shipped = docs.sparkSession.sparkContext.broadcast((tokens, units, terms, keys, cols, times, starts, total))
+    schema = StructType([queries.schema["query"], docs.schema["doc_id"], StructField("score", DoubleType())])
+    wanted = to_arrow_schema(schema)
+
+    def run(batches):
+        tokens, units, terms, keys, cols, times, starts, total = shipped.value
+        if not keys:
+            return
+        asked = units[pc.index_in(pa.array(terms, tokens.type), tokens).to_numpy()]
+        floor = np.full((0, len(keys)), -np.inf)  # the best scores of each query so far
+        for batch in batches:
+            for a in range(0, len(batch), DOCS):
+                part = batch.slice(a, DOCS)
+                lists = part.column(1)
+                owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()) if not lists.null_count else [len(x) if x is not None else 0 for x in lists.to_pylist()])
+                at = pc.index_in(lists.flatten(), tokens).fill_null(-1).to_numpy()
+                pairs = np.unique(owner[at >= 0] * np.int64(len(tokens)) + at[at >= 0])  # a document's distinct tokens
+                owner, at = pairs // len(tokens), pairs % len(tokens)
+                found, first = np.unique(owner, return_index=True)
+                if not len(found):
+                    continue
+                distinct, place = np.unique(at, return_inverse=True)
+                best = np.empty((len(found), len(terms)))
+                for c in range(0, len(terms), ASKED):
+                    sims = units[distinct] @ asked[c : c + ASKED].T
+                    for i, (low, high) in enumerate(zip(first, [*first[1:], len(at)], strict=True)):
+                        sims[place[low:high]].max(0, out=best[i, c : c + ASKED])
+                table = np.concatenate([np.round(np.add.reduceat(np.rint(best[i : i + 64, cols] * times * 1e9), starts, 1) / 1e9 / total, 6) for i in range(0, len(found), 64)])  # documents by queries
+                if keep is None:
+                    doc, query = (x.ravel() for x in np.indices(table.shape))
+                else:  # what reaches the query's keep-th best score so far, equal ones too
+                    floor = np.concatenate([floor, table])
+                    floor = -np.partition(-floor, keep - 1, 0)[:keep] if len(floor) > keep else floor
+                    doc, query = np.nonzero(table >= (floor.min(0) if len(floor) == keep else -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, wanted.field(0).type).take(pa.array(query)), part.column(0).take(pa.array(found[doc])), pa.array(table[doc, query])], schema=wanted)
+
+    return docs.select("doc_id", "tokens").mapInArrow(run, schema)
+
+
 def _maxsim_by_table(queries: DataFrame, docs: DataFrame, known: list, asked: list, keep: int | None) -> DataFrame:
     """maxsim() with the vectors and the queries' tokens at hand."""
     at = {r.token: i for i, r in enumerate(known)}
@@ -212,9 +268,10 @@ class Retriever:
         """query, doc_id, rank named so: one more than the documents of a list before the wanted one; those without a place aren't in the list."""
         if wanted.isEmpty():
             return wanted.withColumn(name, F.lit(None).cast("int"))
+        # At most two lists' first places a query: they go to the whole lists, whose rows are counted where they are.
         own = written(places.select("query", F.col("doc_id").alias("own"), F.col("place").alias("at")), name)
         asked = queries.join(own.select("query").distinct(), "query", "left_semi")
-        better = every(asked).join(own, "query").groupBy("query", "own").agg(F.count(F.when(F.struct("place", "doc_id") < F.struct("at", "own"), 1)).alias("n"))
+        better = every(asked).join(F.broadcast(own), "query").groupBy("query", "own").agg(F.count(F.when(F.struct("place", "doc_id") < F.struct("at", "own"), 1)).alias("n"))
         return better.select("query", F.col("own").alias("doc_id"), (F.col("n") + 1).cast("int").alias(name))
 
     def retrieve(self, queries: DataFrame, k: int = 3) -> DataFrame:
