@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.relevance import bm25_term, exact_sum, gain, idf
 from lexiloom.operators.config import Prescription
-from lexiloom.operators.index import TOP_K, Engine
+from lexiloom.operators.index import TOP_K, Engine, shipped
 from lexiloom.sources.shared import written
 
 METRICS = ("ndcg", "recall", "precision5")
@@ -133,23 +133,8 @@ def gate_many(engine: Engine, queries: DataFrame, qrels: DataFrame, patches: Dat
     again, each under its patch, and all others keep their measurement. patch_id, accepted, reason and the columns of
     gate_table() come out, a row for each patch whose target is in the evaluation set.
     """
-    index, per = engine.index, 10_000  # measurements have four decimals: as integers their sums are exact
-    groups = written(patches.select("patch_id", "target", F.lower(F.get("synonyms", F.lit(0))).alias("to"), F.explode(F.transform("synonyms", F.lower)).alias("term")).distinct(), "groups")  # the stated patches
-    forms = groups.select("patch_id", "term", "to")
-    tokens = engine.tokenized(queries.select("query").distinct()).select("query", F.explode("tokens").alias("term")).distinct()
-    changed = tokens.join(forms, "term").select("patch_id", "query").distinct()
-    asked = written(changed.join(tokens, "query").join(forms, ["patch_id", "term"], "left").select("patch_id", "query", F.coalesce("to", "term").alias("term"), F.col("to").isNotNull().alias("merged")).distinct(), "asked")
-    merged = index.postings.join(forms, "term").groupBy("patch_id", F.col("to").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    merged = written(merged, "merged")
-    delta = merged.join(merged.groupBy("patch_id", "term").agg(F.count(F.lit(1)).alias("df")), ["patch_id", "term"]).join(asked.where("merged"), ["patch_id", "term"])
-    plain = asked.where("not merged")
-    base = index.postings.join(index.doc_freq_of(plain.select("term").distinct()), "term").join(plain, "term")
-    names = ("patch_id", "query", "doc_id", "tf", "dl", "df")
-    parts = base.select(*names).unionByName(delta.select(*names)).crossJoin(F.broadcast(index.stats))  # one row of stats
-    part = bm25_term(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
-    scored = parts.groupBy("patch_id", "query", "doc_id").agg(exact_sum(part).alias("score"))
-    hits = scored.withColumn("rank", F.row_number().over(Window.partitionBy("patch_id", "query").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= TOP_K)
-    after = metrics(changed, hits, qrels, by=("patch_id",))
+    per = 10_000  # measurements have four decimals: as integers their sums are exact
+    groups, after = measured_many(engine, queries, qrels, patches)
     both = written(after.join(before.select("query", *(F.col(m).alias(f"was_{m}") for m in (*METRICS, "n_results"))), "query"), "both")
     targets = groups.select("patch_id", "target").distinct()
     hit = F.col("query") == F.col("target")
@@ -169,6 +154,28 @@ def gate_many(engine: Engine, queries: DataFrame, qrels: DataFrame, patches: Dat
     return table.select("patch_id", (reason == "").alias("accepted"), reason.alias("reason"), *table.columns[1:])
 
 
+def measured_many(engine: Engine, queries: DataFrame, qrels: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups(patch_id, target, to, term) of the patches' forms, and patch_id with metrics() of the queries that each patch can change, under it."""
+    index = engine.index
+    groups = written(patches.select("patch_id", "target", F.lower(F.get("synonyms", F.lit(0))).alias("to"), F.explode(F.transform("synonyms", F.lower)).alias("term")).distinct(), "groups")  # the stated patches
+    forms = groups.select("patch_id", "term", "to")
+    tokens = engine.tokenized(queries.select("query").distinct()).select("query", F.explode("tokens").alias("term")).distinct()
+    changed = tokens.join(forms, "term").select("patch_id", "query").distinct()
+    asked = written(changed.join(tokens, "query").join(forms, ["patch_id", "term"], "left").select("patch_id", "query", F.coalesce("to", "term").alias("term"), F.col("to").isNotNull().alias("merged")).distinct(), "asked")
+    merged = index.postings.join(shipped(forms), "term").groupBy("patch_id", F.col("to").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    merged = written(merged, "merged")
+    delta = merged.join(merged.groupBy("patch_id", "term").agg(F.count(F.lit(1)).alias("df")), ["patch_id", "term"]).join(asked.where("merged"), ["patch_id", "term"])
+    plain = asked.where("not merged")
+    base = index.postings.join(shipped(written(plain.join(index.doc_freq_of(plain.select("term").distinct()), "term"), "plain")), "term")
+    names = ("patch_id", "query", "doc_id", "tf", "dl", "df")
+    parts = base.select(*names).unionByName(delta.select(*names)).crossJoin(F.broadcast(index.stats))  # one row of stats
+    part = bm25_term(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
+    scored = parts.groupBy("patch_id", "query", "doc_id").agg(exact_sum(part).alias("score"))
+    hits = scored.withColumn("rank", F.row_number().over(Window.partitionBy("patch_id", "query").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= TOP_K)
+    after = metrics(changed, hits, qrels, by=("patch_id",))
+    return groups, after
+
+
 def regressions(before: DataFrame, after: DataFrame, target: str, epsilon: float = EPSILON) -> DataFrame:
     """query, metric, before, after of each drop by more than epsilon, the target aside."""
     return compare(before, after, epsilon).where((F.col("status") == "regression") & (F.col("query") != target)).drop("status")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import similar
 from lexiloom.operators.config import CompoundExpansion, InvalidConfig, Prescription, SynonymGroup, UserWord
-from lexiloom.operators.evaluation import Verdict, evaluate, means, run_gate
+from lexiloom.operators.evaluation import EPSILON, METRICS, MIN_GAIN, SHOWN, Verdict, evaluate, means, measured_many, run_gate
 from lexiloom.operators.index import Engine
 from lexiloom.sources.shared import written
 
@@ -110,15 +110,28 @@ def run_repair(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: Da
     submits = submits or (1 if rules == SCRIPTED else MAX_SUBMITS)
     failing = queries.where("family is not null").orderBy("query").collect()
     chosen = candidate_patches(engine, queries.where("family is not null"), vectors, rules).orderBy("query", "priority").collect()
+    tried = {row.query: [c for c in chosen if c.query == row.query][:submits] for row in failing}
     before = written(evaluate(engine, queries, qrels), "measured")
     now, cases = before, []
+    batch = _Batch(engine, queries, qrels, now, [c for row in failing for c in tried[row.query]])
     for row in failing:
         case = Case(row.query, row.family, tuple(row.expected_patch_kinds or ()))
-        for candidate in [c for c in chosen if c.query == row.query][:submits]:
+        for i, candidate in enumerate(tried[row.query]):
             case.attempts += 1
             try:
                 patch = prescription(candidate)
-                verdict, sandbox = run_gate(engine, queries, qrels, patch, before=now)
+                sandbox = engine.with_config(patch.apply_to(engine.analyzer.config))
+                verdict = batch.verdict(candidate)
+                if verdict is None and batch.taken:  # what was accepted meanwhile bears on this patch: all that are left are measured again
+                    now = written(evaluate(engine, queries, qrels), "measured")
+                    left = [c for other in failing[failing.index(row) + 1 :] for c in tried[other.query]]
+                    batch = _Batch(engine, queries, qrels, now, [*tried[row.query][i:], *left])
+                    verdict = batch.verdict(candidate)
+                if verdict is None:  # more than synonyms, or forms that the configuration has already
+                    verdict, sandbox = run_gate(engine, queries, qrels, patch, before=now)
+                    batched = False
+                else:
+                    batched = True
             except InvalidConfig as e:
                 case.notes.append(str(e))
                 continue
@@ -126,10 +139,71 @@ def run_repair(engine: Engine, queries: DataFrame, qrels: DataFrame, vectors: Da
             case.notes.append(verdict.feedback())
             if verdict.accepted:
                 case.healed, engine = True, sandbox
-                now = written(evaluate(engine, queries, qrels), "measured")
+                if batched:
+                    batch.take(candidate)
+                else:
+                    now = written(evaluate(engine, queries, qrels), "measured")
+                    left = [c for other in failing[failing.index(row) + 1 :] for c in tried[other.query]]
+                    batch = _Batch(engine, queries, qrels, now, left)
                 break
         cases.append(case)
-    return RepairRun(cases, engine, before, now)
+    return RepairRun(cases, engine, before, written(evaluate(engine, queries, qrels), "measured") if batch.taken else now)
+
+
+class _Batch:
+    """Candidates that only add a synonym group, measured in one job, and verdicts on them one after the other.
+
+    A patch changes only queries that hold one of its forms. So its measurement stays right after others were accepted
+    that share neither a form nor a changed query with it; verdict() is None where they do, and for other candidates.
+    """
+
+    def __init__(self, engine: Engine, queries: DataFrame, qrels: DataFrame, now: DataFrame, candidates: list):
+        config = engine.analyzer.config
+        used = {*config.synonym_map, *config.synonym_map.values(), *config.expansion_map, *(p for ps in config.expansion_map.values() for p in ps)}
+        self.forms: dict[tuple, set[str]] = {}
+        for c in candidates:
+            if c.synonyms and not c.user_word and not c.word and not {s.lower() for s in c.synonyms} & used:
+                self.forms[_name(c)] = {s.lower() for s in c.synonyms}
+        self.taken, self.changed, self.state = [], {}, {}
+        if self.forms:
+            spark, names = now.sparkSession, {repr(n): n for n in self.forms}
+            rows = [(repr(_name(c)), c.query, list(c.synonyms)) for c in candidates if _name(c) in self.forms]
+            _, after = measured_many(engine, queries, qrels, spark.createDataFrame(rows, "patch_id string, target string, synonyms array<string>"))
+            columns = ("query", *METRICS, "n_results")
+            self.state = {r.query: r for r in now.select(*columns).collect()}  # an evaluation set is small
+            for r in after.select("patch_id", *columns).collect():
+                self.changed.setdefault(names[r.patch_id], {})[r["query"]] = r
+
+    def verdict(self, candidate, min_gain: float = MIN_GAIN, epsilon: float = EPSILON) -> Verdict | None:
+        name, target = _name(candidate), candidate.query
+        changed = self.changed.get(name, {})
+        if name not in self.forms or target not in self.state or any(self.forms[t] & self.forms[name] or self.changed.get(t, {}).keys() & changed.keys() for t in self.taken):
+            return None
+        was, now = self.state[target], changed.get(target, self.state[target])
+        lost = sorted((q, m, self.state[q][m], r[m]) for q, r in changed.items() if q != target for m in METRICS if r[m] < self.state[q][m] - epsilon)
+        mean, after = (_mean(r.ndcg for r in rows.values()) for rows in (self.state, self.state | changed))
+        queries = len({x[0] for x in lost})
+        if now.ndcg < was.ndcg + min_gain:
+            reason = f"target nDCG {was.ndcg} to {now.ndcg}, {min_gain} more needed"
+        elif lost:
+            reason = f"{queries} other queries get worse"
+        else:
+            reason = "the mean drops" if after < mean - epsilon else ""
+        return Verdict(not reason, reason, was.ndcg, now.ndcg, was.n_results, now.n_results, mean, after, tuple(lost[:SHOWN]) if reason else (), len(lost))
+
+    def take(self, candidate) -> None:
+        self.taken.append(_name(candidate))
+        self.state |= self.changed.get(_name(candidate), {})
+
+
+def _name(candidate) -> tuple:
+    return candidate.query, candidate.priority
+
+
+def _mean(values) -> float:
+    """Of measurements, which have four decimals: rounded to four, half-up, from their exact sum."""
+    units = [round(v * 10_000) for v in values]
+    return (2 * sum(units) + len(units)) // (2 * len(units)) / 10_000 if units else 0.0
 
 
 def healthy_regressions(run: RepairRun, queries: DataFrame, epsilon: float = 0.02) -> DataFrame:

@@ -17,6 +17,7 @@ from lexiloom.operators.index import Engine, Index
 from lexiloom.operators.patterns import SubstringIndex
 from lexiloom.operators.spelling import SpellingIndex
 from lexiloom.operators.vector_index import VectorIndex
+from lexiloom.plans import doctor
 from lexiloom.plans.doctor import repair_rates
 from lexiloom.sources.shared import written
 
@@ -260,6 +261,22 @@ def test_many_patches_are_judged_as_each_by_itself(spark, corpus):
         assert {c: got[name][c] for c in want.asDict()} == want.asDict()
 
 
+def test_a_repair_measures_independent_patches_in_one_job(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alphaword{c} common") for i, c in enumerate("ab")], "doc_id long, text string")
+    healthy = [(f"alphaword{c}", None, []) for c in "ab"]
+    failing = [(f"qalphaword{c}", "spelling_variant", ["synonym_group"]) for c in "ab"] + [("zalphaworda", "spelling_variant", ["synonym_group"])]
+    queries = spark.createDataFrame(healthy + failing, "query string, family string, expected_patch_kinds array<string>")
+    qrels = spark.createDataFrame([(q, i, 2) for i, c in enumerate("ab") for q, _, _ in healthy + failing if q.endswith(f"alphaword{c}")], "query string, doc_id long, grade int")
+    calls = []
+    monkeypatch.setattr(doctor, "run_gate", lambda *a, f=doctor.run_gate, **b: calls.append(a[3].target_query) or f(*a, **b))
+    run = doctor.run_repair(Engine(docs).stored(keep), queries, qrels)
+    assert [c.healed for c in run.cases[:2]] == [True] * 2 and not {q for q, _, _ in failing[:2]} & set(calls)  # one by one before; the last shares a form with the first
+    monkeypatch.setattr(doctor._Batch, "verdict", lambda *a: None)  # each by itself
+    plain = doctor.run_repair(Engine(docs).stored(keep), queries, qrels)
+    assert [(c.query, c.verdict, c.attempts, c.notes) for c in run.cases] == [(c.query, c.verdict, c.attempts, c.notes) for c in plain.cases]
+    assert sorted(map(tuple, run.after.drop("hits_top").collect())) == sorted(map(tuple, plain.after.drop("hits_top").collect()))
+
+
 def test_repair_rates(spark):
     schema = "family string, diagnosed string, healed boolean, expected_kinds array<string>, kinds array<string>"
     rows = [("a", "a", True, ["x"], ["x", "y"]), ("a", "b", False, ["x", "z"], ["x"]), ("b", None, None, [], ["x"]), ("c", "c", True, ["x"], None)]
