@@ -16,8 +16,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.functions.relevance import RRF_K, rrf
 from lexiloom.functions.vectors import unit
-from lexiloom.operators.index import Engine, Index
-from lexiloom.operators.patterns import SubstringIndex
+from lexiloom.operators.index import Engine, Index, shipped
+from lexiloom.operators.patterns import Scan, SubstringIndex
 from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources.shared import written
 
@@ -323,7 +323,7 @@ def symptom_query(target: str, tokens: list[str], n_results: int, family: str |
     return " ".join(said)
 
 
-def symptoms(engine: Engine, queries: DataFrame, raw: SubstringIndex, k: int = 10) -> DataFrame:
+def symptoms(engine: Engine, queries: DataFrame, raw: Scan | SubstringIndex, k: int = 10) -> DataFrame:
     """What is to be seen of each search of queries(query), in one plan: query, tokens, dropped (forms that analysis leaves out), n_results, n_raw (texts that hold the query as typed), symptoms.
 
     `symptoms` is the text to retrieve knowledge by. It tells what happened and never what would mend it: the query,
@@ -331,7 +331,7 @@ def symptoms(engine: Engine, queries: DataFrame, raw: SubstringIndex, k: int = 1
     """
     asked = queries.select("query").distinct()
     seen = asked.select("query", engine.analyzer.tokens("query").alias("tokens"), F.transform(engine.analyzer.dropped("query"), lambda t: t["form"]).alias("dropped"))
-    hits = engine.search(asked, k, terms=False).groupBy("query").agg(F.count(F.lit(1)).alias("n_results"))
+    hits = engine.search(asked, k, terms=False, bounds=False).groupBy("query").agg(F.count(F.lit(1)).alias("n_results"))
     found = raw.grep(asked.select(F.col("query").alias("key"), F.col("query").alias("needle"))).groupBy(F.col("key").alias("query")).agg(F.count(F.lit(1)).alias("n_raw"))
     rows = seen.join(hits, "query", "left").join(found, "query", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_results", "n_raw")})
     apart = (F.size("tokens") >= 2) & F.forall("tokens", lambda t: F.char_length(t) == 1)

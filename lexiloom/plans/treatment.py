@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import retrieval
 from lexiloom.operators.config import Prescription
 from lexiloom.operators.index import Engine
-from lexiloom.operators.patterns import SubstringIndex
+from lexiloom.operators.patterns import Scan, SubstringIndex
 from lexiloom.plans import doctor
 from lexiloom.plans.service import TOOLS, Executor
 from lexiloom.sources.shared import written
@@ -48,12 +48,12 @@ def candidates(engine: Engine, queries: DataFrame, vectors: DataFrame | None = N
     return out
 
 
-def contexts(engine: Engine, queries: DataFrame, knowledge: DataFrame, vectors: DataFrame | None = None, k: int = 3, raw: SubstringIndex | None = None) -> DataFrame:
+def contexts(engine: Engine, queries: DataFrame, knowledge: DataFrame, vectors: DataFrame | None = None, k: int = 3, raw: Scan | SubstringIndex | None = None) -> DataFrame:
     """query, context, doc_ids: for each query(query) the k rows of knowledge(doc_id, title, body, source) that its symptoms find, for brief().
 
     Asked by what is to be seen of the search, never by the family of the failure, which would give the answer away.
     """
-    seen = retrieval.symptoms(engine, queries, raw or SubstringIndex.of(engine.docs))
+    seen = retrieval.symptoms(engine, queries, raw or Scan(engine.docs))
     docs = knowledge.select("doc_id", engine.analyzer.tokens(F.concat_ws("\n", "title", "body")).alias("tokens"))
     found = retrieval.Retriever(docs, "hybrid", vectors).retrieve(seen.select("query", engine.analyzer.tokens("symptoms").alias("tokens")), k).select("query", "doc_id", "rank")
     found = written(found, "retrieved")  # read twice

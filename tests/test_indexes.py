@@ -288,6 +288,20 @@ def test_symptoms_and_contexts(spark):
     e = Engine(spark.createDataFrame([(1, "fry ing pan"), (2, "other")], "doc_id long, text string"))
     raw = SubstringIndex.of(e.docs)
     got = {r.query: r for r in retrieval.symptoms(e, spark.createDataFrame([("frying",), ("other",), ("a b",), ("nothing",)], "query string"), raw).collect()}
+@pytest.mark.parametrize("group", [2_000_000, 5])
+def test_needles_are_read_past_and_nothing_is_shuffled(spark, monkeypatch, group):
+    monkeypatch.setattr(patterns, "GROUP", group)
+    texts = {1: "The cat, the CAT", 2: "aab", 3: "", 4: None, 5: "x", 6: "ab ab c", 7: "éé漢字 한글"}
+    needles = {"a": "cat", "b": "A", "c": "ab", "d": "thecat", "e": " ", "f": "x", "g": "abab", "h": "漢字한", "i": None, "j": "nowhere", "k": "aaab", "l": "A b", "m": "Ab"}
+    found = patterns.Scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).grep(spark.createDataFrame(list(needles.items()), "key string, needle string"))
+
+    def plain(t):
+        return (t or "").lower().replace(" ", "")
+
+    assert exchanges(found) == 0
+    assert sorted(map(tuple, found.collect())) == sorted((k, i) for k, n in needles.items() if plain(n) for i, t in texts.items() if t is not None and plain(n) in plain(t))
+
+
     assert (got["frying"].n_results, got["frying"].n_raw) == (0, 1) and got["frying"].symptoms == "frying frying no results though texts hold it"
     assert got["other"].symptoms == "other other" and got["a b"].symptoms == "a b a b no results split into single characters" and got["nothing"].n_raw == 0
     rows = spark.createDataFrame([("q", 1, "T", "body", "file.md"), ("q", 2, "U", "more", None)], "query string, rank int, title string, text string, source string")
