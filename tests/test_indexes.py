@@ -161,6 +161,59 @@ def test_many_touched_documents_are_counted_again(spark, corpus, monkeypatch):
     assert sorted(map(tuple, got.doc_freq().collect())) == sorted(map(tuple, want.doc_freq().collect()))
 
 
+@pytest.mark.parametrize("old, new", [
+    ((), (("a", "b", "c"),)), ((), (("a", "b"), ("b", "c", "e"))), ((("a", "b"),), (("a", "b", "c"),)), ((("d", "e"),), (("d", "e"), ("f", "b", "none"))), ((), (("none", "a", "b"),)), ((("a", "b"),), (("a", "b"),)),
+])
+def test_a_change_of_synonyms_moves_postings_and_touches_no_document(spark, corpus, monkeypatch, old, new):
+    docs, _ = corpus
+    of = [Analyzer(AnalyzerConfig(synonym_groups=tuple(map(SynonymGroup, groups)))) for groups in (old, new)]
+    stored, want = Engine(docs, of[0]).stored(keep).with_config(of[1].config), Engine(docs, of[1]).index
+    monkeypatch.setattr(Engine, "_touched", property(lambda self: pytest.fail("documents are looked for")))
+    got = stored.index
+    for table, columns in (("postings", ("term", "doc_id", "tf", "dl")), ("doc_len", ("doc_id", "dl")), ("stats", ("n", "avgdl"))):
+        assert sorted(map(tuple, getattr(got, table).select(*columns).collect())) == sorted(map(tuple, getattr(want, table).select(*columns).collect()))
+    assert sorted(map(tuple, got.doc_freq().collect())) == sorted(map(tuple, want.doc_freq().collect()))
+    assert exchanges(got.postings) == 0
+
+
+@pytest.mark.parametrize("old, new", [((("a", "b"),), ()), ((("a", "b"),), (("a", "c"), ("d", "a"))), ((("a", "b"),), (("c", "b"),))])
+def test_merged_forms_come_apart_by_their_documents(spark, corpus, old, new):
+    docs, _ = corpus
+    of = [Analyzer(AnalyzerConfig(synonym_groups=tuple(map(SynonymGroup, groups)))) for groups in (old, new)]
+    got, want = Engine(docs, of[0]).stored(keep).with_config(of[1].config).index, Engine(docs, of[1]).index
+    assert sorted(map(tuple, got.postings.select("term", "doc_id", "tf", "dl").collect())) == sorted(map(tuple, want.postings.select("term", "doc_id", "tf", "dl").collect()))
+    assert sorted(map(tuple, got.doc_freq().collect())) == sorted(map(tuple, want.doc_freq().collect()))
+
+
+@pytest.fixture
+def no_guesses(spark):
+    """Joins are broadcast where they are asked to be, as over tables whose size Spark doesn't know."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tombstones_and_passages_go_to_the_postings(spark, corpus, no_guesses):
+    docs, _ = corpus
+    e = Engine(docs).stored(keep)
+    delta = e.with_documents(docs.limit(3), docs.limit(6))
+    assert exchanges(delta.index.postings) == exchanges(delta.index.doc_len) == 0
+    held = e.holding(docs.select(F.col("doc_id").alias("key"), "text").limit(5), "key")
+    assert exchanges(held) == 0 and held.count() >= 5
+
+
+def test_lists_of_a_few_words_make_no_blocks(spark, corpus):
+    docs, queries = corpus
+    made = []
+    e = Engine(docs).stored(lambda name, make: made.append(name) or keep(name, make))
+    asked = e.tokenized(queries)
+    got = retrieval.Retriever(e.tokens, "bm25", index=e.index).retrieve(asked, 3)
+    seen = retrieval.symptoms(e, queries, patterns.Scan(docs))
+    want = retrieval.symptoms(e, queries, SubstringIndex.of(docs))
+    assert sorted(map(tuple, got.select("query", "doc_id", "rank").collect())) == sorted(map(tuple, e.index.best(asked, 3, bounds=False).select("query", "doc_id", "rank").collect()))
+    assert sorted(map(str, seen.collect())) == sorted(map(str, want.collect())) and "blocks" not in made
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_the_best_by_bounds_are_the_best_of_all_scores(spark, corpus, monkeypatch, bucket):
     monkeypatch.setattr(index_module, "BUCKET", bucket)
