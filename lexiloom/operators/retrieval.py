@@ -222,9 +222,9 @@ class Retriever:
         return self.index or Index.of_tokens(self.docs)
 
     def _bm25(self, queries: DataFrame, depth: int) -> DataFrame:
-        """query, doc_id, rank of the first places; documents themselves come by the index's bounds."""
+        """query, doc_id, rank of the first places, from the scores of all documents that share a term."""
         if self.owners is None:
-            return self._index.best(queries, depth).select("query", "doc_id", "rank")
+            return self._index.best(queries, depth, bounds=False).select("query", "doc_id", "rank")
         return ranked(self._places(self._index.scores(queries)), depth)
 
     def _dense(self, queries: DataFrame, depth: int | None = None) -> DataFrame:
