@@ -572,6 +572,41 @@ def test_held_out_labels_are_never_read(judged):
     assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
 
 
+def test_more_rows_than_the_driver_takes_are_all_fitted(spark, judged, monkeypatch):
+    """The fit over stored groups finds the least loss over all pairs of each group, and its threshold splits all rows."""
+    docs, labels = judged
+    monkeypatch.setattr(quality, "GROUP", 150)
+    monkeypatch.setattr(quality, "RARER", 8)
+    model = quality.train(docs.unionByName(docs.where("doc_id % 7 = 0")), labels, collected=100)
+    chosen = {r.doc_id: r.quality > 0 for r in labels.where("quality is not null and doc_id is not null").where(~quality.held_out()).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in chosen)
+    better = np.array([chosen[i] for i, _ in rows])
+    x = np.array([quality.features(t) for _, t in rows]).astype(np.float16).astype(float)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.spread[: quality.SHAPES], x.std(0)[: quality.SHAPES] + 1e-3, atol=1e-4)
+    groups = -(-len(chosen) // 150)
+    part = np.array([r.g for r in spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").coalesce(1).select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).collect()])
+    z = (x - model.mean) / model.spread
+    d = np.concatenate([(z[(part == g) & better][:, None] - z[(part == g) & ~better]).reshape(-1, z.shape[1]) for g in range(groups)])
+    slope = 0.01 * model.weights - d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d)
+    assert np.abs(slope).max() < 1e-3
+    s = np.sort(model.strength(x))
+    at = (~better).mean() * (len(s) - 1)
+    assert s[int(at) - 6] <= model.threshold <= s[int(at) + 7]
+    plain = quality.train(docs, labels)
+    assert np.mean((model.scores(x) >= quality.CUT) == (plain.scores(x) >= quality.CUT)) > 0.98
+
+
+def test_a_rare_label_is_dealt_to_all_groups(spark, judged, monkeypatch):
+    docs, labels = judged
+    monkeypatch.setattr(quality, "GROUP", 10)
+    few = labels.where("quality = 1 or doc_id in (0, 4, 12)")
+    model = quality.train(docs, few, collected=100)
+    out = quality.score(docs, model).join(labels.where("quality is not null"), "doc_id").collect()
+    rank = sorted(out, key=lambda r: r.score)
+    assert np.mean([r.quality == 0 for r in rank[:100]]) > 0.9
+    assert {r.predicted for r in quality.score(docs, quality.train(docs.limit(0), labels, collected=100)).collect()} == {1}
+
+
 def test_ranker_without_evidence_rejects_nothing(docs, judged):
     for labels in (judged[1].limit(0), judged[1].where("quality = 1")):
         assert {r.predicted for r in quality.score(docs, quality.train(docs, labels)).collect()} == {1}
