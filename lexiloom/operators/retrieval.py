@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lexiloom.functions.relevance import RRF_K, rrf
 from lexiloom.functions.vectors import unit
 from lexiloom.operators.index import Engine, Index, shipped
+from lexiloom.operators.late import Late, best_by_lists
 from lexiloom.operators.patterns import Scan, SubstringIndex
 from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources.shared import written
@@ -74,15 +75,18 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
     shuffle. Where only the vectors take at most VECTOR_BYTES, these are broadcast, and a task makes the similarities of
     its documents' tokens, some documents at a time. More vectors meet the documents' tokens by an equality join. With `keep` a task may leave out
     documents that aren't among its `keep` best of a query, by falling score, then doc_id; the best of all stay whole.
+    Broadcast vectors then go with lists of near tokens, whose bounds tell which documents are scored at all.
     """
-    known = vectors.select("token", unit("vec").alias("u")).where("u is not null")
+    known = written(vectors.select("token", unit("vec").alias("u")).where("u is not null"), "units")
     q = queries.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token", "left_semi")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("u")), F.lit(0)).alias("dims"), F.coalesce(F.min(F.size("u")), F.lit(0)).alias("least")).first()
     n_asked, n_pairs = q.agg(F.count_distinct("token"), F.count(F.lit(1))).first()
     if size.n * (size.dims + n_asked) * 8 + n_pairs * 100 <= limit:
         return _maxsim_by_table(queries, docs, known.collect(), q.collect(), keep)
     if size.n * size.dims * 8 <= VECTOR_BYTES and size.dims == size.least:
-        return _maxsim_by_vectors(queries, docs, known, q.collect(), keep)
+        if keep is not None:
+            return best_by_lists(queries.schema["query"], docs, Late.of(known, q.collect()), keep)
+        return _maxsim_by_vectors(queries, docs, known, q.collect())
     asked = q.select("token").distinct().join(known, "token").select(F.col("token").alias("q"), F.col("u").alias("uq"))
     d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
     present = VectorIndex.of(vectors.join(d.select("token").distinct(), "token", "left_semi"))
@@ -93,8 +97,8 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
     return joined.join(total, "query").select("query", "doc_id", F.round(F.col("s") / 1e9 / F.col("n"), 6).alias("score"))
 
 
-def _maxsim_by_vectors(queries: DataFrame, docs: DataFrame, known: DataFrame, asked: list, keep: int | None) -> DataFrame:
-    """maxsim() with the vectors at hand, all of one length, and the queries' tokens: nothing is shuffled, and with `keep` a task's rows are few."""
+def _maxsim_by_vectors(queries: DataFrame, docs: DataFrame, known: DataFrame, asked: list) -> DataFrame:
+    """maxsim() of all documents, with the vectors at hand, all of one length, and the queries' tokens: nothing is shuffled."""
     vectors = known.select("token", "u").toArrow()
     tokens = vectors["token"].combine_chunks()
     units = vectors["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), -1)
@@ -113,7 +117,6 @@ def _maxsim_by_vectors(queries: DataFrame, docs: DataFrame, known: DataFrame, as
         if not keys:
             return
         asked = units[pc.index_in(pa.array(terms, tokens.type), tokens).to_numpy()]
-        floor = np.full((0, len(keys)), -np.inf)  # the best scores of each query so far
         for batch in batches:
             for a in range(0, len(batch), DOCS):
                 part = batch.slice(a, DOCS)
@@ -132,12 +135,7 @@ def _maxsim_by_vectors(queries: DataFrame, docs: DataFrame, known: DataFrame, as
                     for i, (low, high) in enumerate(zip(first, [*first[1:], len(at)], strict=True)):
                         sims[place[low:high]].max(0, out=best[i, c : c + ASKED])
                 table = np.concatenate([np.round(np.add.reduceat(np.rint(best[i : i + 64, cols] * times * 1e9), starts, 1) / 1e9 / total, 6) for i in range(0, len(found), 64)])  # documents by queries
-                if keep is None:
-                    doc, query = (x.ravel() for x in np.indices(table.shape))
-                else:  # what reaches the query's keep-th best score so far, equal ones too
-                    floor = np.concatenate([floor, table])
-                    floor = -np.partition(-floor, keep - 1, 0)[:keep] if len(floor) > keep else floor
-                    doc, query = np.nonzero(table >= (floor.min(0) if len(floor) == keep else -np.inf))
+                doc, query = (x.ravel() for x in np.indices(table.shape))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, wanted.field(0).type).take(pa.array(query)), part.column(0).take(pa.array(found[doc])), pa.array(table[doc, query])], schema=wanted)
 
     return docs.select("doc_id", "tokens").mapInArrow(run, schema)

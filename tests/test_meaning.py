@@ -166,3 +166,27 @@ def test_context_and_symptoms(spark):
     rows = spark.createDataFrame([("q", 2, "T2", "b"), ("q", 1, "T1", "a")], "query string, rank int, title string, text string")
     assert render_context(rows).first().context == "[1] T1\na\n\n[2] T2\nb"
     assert symptom_query("아답터", ["답", "터"], 0, "garbage_split") == "아답터 garbage split no results split into single characters"
+
+
+def test_bounds_from_lists_leave_the_best_whole(spark, monkeypatch):
+    import random
+
+    from lexiloom.operators import late
+
+    monkeypatch.setattr(late, "DOCS", 50)
+    rng, scored = random.Random(7), []
+    vectors = spark.createDataFrame([(f"t{i}", [rng.gauss(0, 1) for _ in range(12)]) for i in range(400)], "token string, vec array<double>")
+    docs = spark.createDataFrame([(i, [f"t{rng.randrange(450)}" for _ in range(rng.randint(0, 30))] if i % 90 else None) for i in range(900)], "doc_id long, tokens array<string>").repartition(3)
+    asked = queries(spark, *((f"q{i}", [f"t{rng.randrange(450)}" for _ in range(rng.randint(1, 9))]) for i in range(20)))
+    few, every = maxsim(asked, docs, vectors, 0, keep=4), maxsim(asked, docs, vectors, 0)
+    assert sorted(ranked(placed(few), 4).collect()) == sorted(ranked(placed(every), 4).collect())
+    whole = late.Late.scores
+    monkeypatch.setattr(late.Late, "scores", lambda self, doc, *more: scored.append(len(doc)) or whole(self, doc, *more))
+    known = vectors.select("token", F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, y: s + y * y))).alias("u"))
+    rows = asked.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token").collect()
+    one = late.Late.of(known, rows)
+    best = late.Best(len(one.keys), 4)
+    for batch in docs.toArrow().combine_chunks().to_batches():
+        for ids, owner, at in one.parts(batch):
+            one.among(best, owner, at, len(ids))
+    assert sum(scored) < 900 * len(one.keys) / 4  # most documents are never compared with a query
