@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+
+from lexiloom.functions.relevance import QUANTUM, idf
 
 #: Lists that a known token is in, on average about; vectors that limits are set by, at most; documents whose bounds a task holds at once.
 NEAR, FITTED, DOCS = 2, 4096, 1000
@@ -174,3 +176,142 @@ def best_by_lists(key: StructField, docs: DataFrame, late: Late, keep: int) -> D
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(query)), ids.take(pa.array(doc)), pa.array(score)], schema=wanted)
 
     return docs.select("doc_id", "tokens").mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Terms:
+    """The queries' distinct terms that an index holds, for BM25 in the tasks that hold the documents: rows (query, term) ordered by query, which start at `starts`."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    keys: list
+    cols: np.ndarray
+    starts: np.ndarray
+    avgdl: float
+    k1: float
+    b: float
+
+    @classmethod
+    def of(cls, index, queries: DataFrame) -> Terms:
+        """Of queries(query, tokens) over an Index."""
+        asked = queries.select("query", F.explode(F.array_distinct("tokens")).alias("term"))
+        df = index.doc_freq_of(asked.select("term").distinct()).crossJoin(F.broadcast(index.stats))  # one row of stats
+        rows = asked.join(df.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl"), "term").collect()  # the queries' terms
+        weight, keys = {r.term: r.idf for r in rows}, sorted({r["query"] for r in rows}, key=str)
+        column, row = {t: i for i, t in enumerate(sorted(weight))}, {k: i for i, k in enumerate(keys)}
+        pairs = np.array(sorted((row[r["query"]], column[r.term]) for r in rows), np.int64).reshape(-1, 2)
+        return cls(pa.array(sorted(weight), pa.string()), np.array([weight[t] for t in column]), keys, pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)), rows[0].avgdl if rows else 1.0, index.k1, index.b)
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Of a batch (doc_id, tokens), some documents at a time: their ids, and queries by documents the units of the scores, as Index.scores() adds them up; 0 without a shared term."""
+        lists = batch.column(1)
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        at = pc.index_in(lists.flatten(), self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        ends, width = np.concatenate([[0], np.cumsum(sizes)]), len(self.terms)
+        for a in range(0, len(batch) if self.keys else 0, DOCS):
+            b = min(a + DOCS, len(batch))
+            here, owner = at[ends[a] : ends[b]], np.repeat(np.arange(b - a), sizes[a:b])
+            pairs = np.sort(owner[here >= 0] * np.int64(width) + here[here >= 0])
+            new = np.flatnonzero(np.diff(pairs, prepend=-1))
+            (owner, term), tf = np.divmod(pairs[new], width), np.diff(new, append=len(pairs))
+            part = self.idf[term] * tf * (self.k1 + 1.0) / (tf + self.k1 * (1.0 - self.b + self.b * sizes[a:b][owner] / self.avgdl))
+            units = np.zeros((width, b - a))
+            units[term, owner] = np.floor(part * QUANTUM + 0.5)  # whole numbers, whose sums are exact
+            yield batch.column(0).slice(a, b - a), np.add.reduceat(units[self.cols], self.starts, 0)
+
+
+def _in_tasks(key: StructField, docs: DataFrame, shared: tuple, columns: list[StructField], run) -> DataFrame:
+    """query, doc_id and `columns` that run(shared, batches) gives as (values of query, doc_id, columns) over docs(doc_id, tokens)."""
+    shipped, schema = docs.sparkSession.sparkContext.broadcast(shared), StructType([key, docs.schema["doc_id"], *columns])
+    types = [f.type for f in to_arrow_schema(schema)]
+
+    def given(batches):
+        for values in run(shipped.value, batches):
+            yield pa.RecordBatch.from_arrays([v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], schema.names)
+
+    return docs.select("doc_id", "tokens").mapInArrow(given, schema)
+
+
+_SCORE, _DENSE, _COUNT = StructField("score", DoubleType()), StructField("dense", BooleanType()), StructField("n", LongType())
+
+
+def first_lists(key: StructField, docs: DataFrame, late: Late, terms: Terms, depth: int) -> DataFrame:
+    """query, doc_id, score, dense: what each task can't leave out of a query's first `depth` places by late interaction (dense) and by BM25."""
+
+    def run(shared, batches):
+        late, terms = shared
+        near, best = Best(len(late.keys), depth), Best(len(terms.keys), depth)
+        for batch in batches:
+            for ids, owner, at in late.parts(batch) if late.keys else ():
+                query, doc, score = late.among(near, owner, at, len(ids))
+                yield [late.keys[q] for q in query], ids.take(pa.array(doc)), score, np.ones(len(doc), bool)
+            for ids, units in terms.parts(batch):
+                top = -np.partition(-units, depth - 1, 1)[:, depth - 1 :][:, :1] if len(ids) > depth else np.zeros((len(units), 1))
+                query, doc = np.nonzero((units >= np.maximum(top, best.floor[:, None])) & (units > 0))
+                best.add(query, units[query, doc])
+                still = units[query, doc] >= best.floor[query]
+                query, doc = query[still], doc[still]
+                yield [terms.keys[q] for q in query], ids.take(pa.array(doc)), units[query, doc] / QUANTUM, np.zeros(len(doc), bool)
+
+    return _in_tasks(key, docs, (late, terms), [_SCORE, _DENSE], run)
+
+
+def scores_of(key: StructField, docs: DataFrame, late: Late, terms: Terms, wanted: list) -> DataFrame:
+    """query, doc_id, score, dense of the wanted rows (query, doc_id, dense), which are in the lists."""
+    of: dict = {}
+    for r in wanted:
+        of.setdefault((r.doc_id, r.dense), []).append(r["query"])
+
+    def run(shared, batches):
+        late, terms, of = shared
+        rows = {True: {k: i for i, k in enumerate(late.keys)}, False: {k: i for i, k in enumerate(terms.keys)}}
+
+        def pairs(ids, dense):
+            found = [(d, rows[dense][q]) for d, i in enumerate(ids.to_pylist()) for q in of.get((i, dense), ()) if q in rows[dense]]
+            return np.array(found, np.int64).reshape(-1, 2).T
+
+        for batch in batches:
+            for ids, owner, at in late.parts(batch) if late.keys else ():
+                doc, query = pairs(ids, True)
+                yield [late.keys[q] for q in query], ids.take(pa.array(doc)), late.scores(doc, query, np.searchsorted(owner, np.arange(len(ids) + 1)), at), np.ones(len(doc), bool)
+            for ids, units in terms.parts(batch):
+                doc, query = pairs(ids, False)
+                doc, query = doc[units[query, doc] > 0], query[units[query, doc] > 0]
+                yield [terms.keys[q] for q in query], ids.take(pa.array(doc)), units[query, doc] / QUANTUM, np.zeros(len(doc), bool)
+
+    return _in_tasks(key, docs, (late, terms, of), [_SCORE, _DENSE], run)
+
+
+def counts_before(key: StructField, docs: DataFrame, late: Late, terms: Terms, own: list) -> DataFrame:
+    """query, doc_id, dense, n: how many documents of each list come before rows (query, doc_id, score, dense), by falling score, then doc_id; a row a task.
+
+    Documents are counted where they are. By late interaction only those are scored whose bounds reach the least of a query's own scores.
+    """
+
+    def run(shared, batches):
+        late, terms, own = shared
+        n = np.zeros(len(own), np.int64)
+        of: dict = {}
+        for i, r in enumerate(own):
+            of.setdefault((r["query"], r.dense), []).append(i)
+        least = np.array([min((own[i].score for i in of.get((k, True), ())), default=np.inf) for k in late.keys])
+        asked = [(q, of[k, False]) for q, k in enumerate(terms.keys) if (k, False) in of]
+
+        def count(mine, score, ids):
+            for i in mine:
+                at = round(own[i].score * QUANTUM) if not own[i].dense else own[i].score
+                n[i] += (score > at).sum() + (ids[score == at] < own[i].doc_id).sum()
+
+        for batch in batches:
+            for ids, owner, at in late.parts(batch) if np.isfinite(least).any() else ():
+                doc, query = np.nonzero((late.bounds(owner, at, len(ids)) >= least[:, None]).T)
+                score, ids = late.scores(doc, query, np.searchsorted(owner, np.arange(len(ids) + 1)), at), ids.to_numpy(zero_copy_only=False)
+                for q in np.unique(query):
+                    count(of[late.keys[q], True], score[query == q], ids[doc[query == q]])
+            for ids, units in terms.parts(batch) if asked else ():
+                ids = ids.to_numpy(zero_copy_only=False)
+                for q, mine in asked:
+                    count(mine, units[q], ids)
+        yield [r["query"] for r in own], [r.doc_id for r in own], [r.dense for r in own], n
+
+    return _in_tasks(key, docs, (late, terms, own), [_DENSE, _COUNT], run)

@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lexiloom.functions.relevance import RRF_K, rrf
 from lexiloom.functions.vectors import unit
 from lexiloom.operators.index import Engine, Index, shipped
-from lexiloom.operators.late import Late, best_by_lists
+from lexiloom.operators.late import Late, Terms, best_by_lists, counts_before, first_lists, scores_of
 from lexiloom.operators.patterns import Scan, SubstringIndex
 from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources.shared import written
@@ -77,9 +77,7 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
     documents that aren't among its `keep` best of a query, by falling score, then doc_id; the best of all stay whole.
     Broadcast vectors then go with lists of near tokens, whose bounds tell which documents are scored at all.
     """
-    known = written(vectors.select("token", unit("vec").alias("u")).where("u is not null"), "units")
-    q = queries.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token", "left_semi")
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("u")), F.lit(0)).alias("dims"), F.coalesce(F.min(F.size("u")), F.lit(0)).alias("least")).first()
+    known, q, size = _known(queries, vectors)
     n_asked, n_pairs = q.agg(F.count_distinct("token"), F.count(F.lit(1))).first()
     if size.n * (size.dims + n_asked) * 8 + n_pairs * 100 <= limit:
         return _maxsim_by_table(queries, docs, known.collect(), q.collect(), keep)
@@ -97,6 +95,13 @@ def maxsim(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
     return joined.join(total, "query").select("query", "doc_id", F.round(F.col("s") / 1e9 / F.col("n"), 6).alias("score"))
 
 
+def _known(queries: DataFrame, vectors: DataFrame):
+    """(token, u) of the vectors with a direction; the queries' tokens among them, with their times; their number and greatest and least length."""
+    known = written(vectors.select("token", unit("vec").alias("u")).where("u is not null"), "units")
+    q = queries.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")).join(known.select("token"), "token", "left_semi")
+    return known, q, known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("u")), F.lit(0)).alias("dims"), F.coalesce(F.min(F.size("u")), F.lit(0)).alias("least")).first()
+
+
 def _maxsim_by_vectors(queries: DataFrame, docs: DataFrame, known: DataFrame, asked: list) -> DataFrame:
     """maxsim() of all documents, with the vectors at hand, all of one length, and the queries' tokens: nothing is shuffled."""
     vectors = known.select("token", "u").toArrow()
@@ -235,16 +240,38 @@ class Retriever:
         Of either list the first RRF_K + 2 k places can matter only: the k best of a list reach 1 / (RRF_K + k), and what
         is to beat them reaches half of that in one list. A document among them that isn't in the other list's first
         places has at most the next place there. If that could bring it among the k best, the better documents of the
-        other list are counted for it; nothing is ranked or stored for that.
+        other list are counted for it; nothing is ranked or stored for that. Where documents are searched and the vectors can
+        be broadcast, both lists come from one pass over the documents, and both counts from another.
         """
-        depth = RRF_K + 2 * k
-        near = written(fuse(ranked(self._places(self._index.scores(queries)), depth), ranked(self._dense(queries, depth), depth)), "fused")  # 2 depth rows a query at most
+        depth, late, key = RRF_K + 2 * k, None, queries.schema["query"]
+        if self.owners is None:
+            known, q, size = _known(queries, self.vectors)
+            if size.n * size.dims * 8 <= VECTOR_BYTES and size.dims == size.least:
+                late, terms = Late.of(known, q.collect()), Terms.of(self._index, queries)
+        if late:
+            lists = written(first_lists(key, self.docs, late, terms, depth), "lists")
+            first = [ranked(placed(lists.where(c)), depth) for c in ("not dense", "dense")]
+        else:
+            first = [ranked(self._places(self._index.scores(queries)), depth), ranked(self._dense(queries, depth), depth)]
+        near = written(fuse(*first), "fused")  # 2 depth rows a query at most
         most = F.col("score") + F.when(F.col("rank_bm25").isNull() | F.col("rank_dense").isNull(), 1.0 / (RRF_K + depth + 1)).otherwise(0.0)
         kth = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).where(F.col("place") == k).select("query", F.col("score").alias("kth"))
         possible = near.join(kth, "query", "left").where(most >= F.coalesce("kth", F.lit(0.0)) - 1e-8)
         open_bm25, open_dense = (written(possible.where(F.col(c).isNull()).select("query", "doc_id"), c) for c in ("rank_bm25", "rank_dense"))
+        if late:
+            wanted = open_bm25.withColumn("dense", F.lit(False)).unionByName(open_dense.withColumn("dense", F.lit(True)))
+            docs = self.docs.join(shipped(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+            own = scores_of(key, docs, late, terms, wanted.collect()).collect()  # 2 depth rows a query at most
+            counts = counts_before(key, self.docs if own else docs, late, terms, own)
+            before = written(counts.groupBy("query", "doc_id", "dense").agg((F.sum("n") + 1).cast("int").alias("rank")), "before")
+            counted, counted_dense = (before.where(c).select("query", "doc_id", F.col("rank").alias(f"more_{name}")) for c, name in (("not dense", "bm25"), ("dense", "dense")))
+            return self._known_ranks(possible, counted, counted_dense)
         counted = self._counted(open_bm25, self._open_bm25(queries, open_bm25), lambda asked: self._places(self._index.scores(asked)), queries, "more_bm25")
         counted_dense = self._counted(open_dense, self._open_dense(queries, open_dense), self._dense, queries, "more_dense")
+        return self._known_ranks(possible, counted, counted_dense)
+
+    def _known_ranks(self, possible: DataFrame, counted: DataFrame, counted_dense: DataFrame) -> DataFrame:
+        """The fused scores of the possible documents with the ranks that were counted for them."""
         known = possible.join(counted, ["query", "doc_id"], "left").join(counted_dense, ["query", "doc_id"], "left")
         bm25, dense = F.coalesce("rank_bm25", "more_bm25"), F.coalesce("rank_dense", "more_dense")
         return known.select("query", "doc_id", F.round(rrf(bm25) + rrf(dense), 9).alias("score"), bm25.alias("rank_bm25"), dense.alias("rank_dense"))

@@ -190,3 +190,23 @@ def test_bounds_from_lists_leave_the_best_whole(spark, monkeypatch):
         for ids, owner, at in one.parts(batch):
             one.among(best, owner, at, len(ids))
     assert sum(scored) < 900 * len(one.keys) / 4  # most documents are never compared with a query
+
+
+def test_fusion_counts_in_the_tasks(spark, monkeypatch):
+    import random
+
+    from lexiloom.operators import late, retrieval
+
+    monkeypatch.setattr(late, "DOCS", 70)
+    rng, own = random.Random(3), []
+    vectors = spark.createDataFrame([(f"t{i}", [rng.gauss(0, 1) for _ in range(6)]) for i in [*range(60), *range(200, 215)]], "token string, vec array<double>")
+    docs = spark.createDataFrame([(i, [f"t{min(119, int(rng.expovariate(0.03)))}" for _ in range(rng.randint(1, 40))]) for i in range(1500)], "doc_id long, tokens array<string>").repartition(3)
+    asked = queries(spark, *((f"q{i}", [f"t{200 + i}", f"t{60 + i}"]) for i in range(15)))  # a vector that no document has, a term without one: the lists have little in common
+    fused = fuse(ranked(placed(Index.of_tokens(docs).scores(asked))), ranked(placed(maxsim(asked, docs, vectors)))).collect()
+    monkeypatch.setattr(retrieval, "maxsim", None)  # which would give a row for each query and document
+    monkeypatch.setattr(retrieval, "counts_before", lambda *a: own.extend(a[-1]) or late.counts_before(*a))
+    got = Retriever(docs, "hybrid", vectors).retrieve(asked).collect()
+    assert own
+    for q in {r.query for r in fused}:
+        want = sorted((r for r in fused if r.query == q), key=lambda r: (-r.score, r.doc_id))[:3]
+        assert [(r.doc_id, r.rank_bm25, r.rank_dense) for r in want] == [(r.doc_id, r.rank_bm25, r.rank_dense) for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)]
