@@ -9,7 +9,7 @@ number of vectors; they bear on the work only, results are exact with any.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,12 @@ def _matrix(u: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return u.flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1) if len(u) else np.zeros((0, 1))
 
 
+def _of(wanted: set, keys: list, cols: np.ndarray, starts: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """The keys that are wanted, whether each row is theirs, and where their rows start."""
+    sizes, stay = np.diff(starts, append=len(cols)), np.array([k in wanted for k in keys], bool)
+    return [k for k in keys if k in wanted], np.repeat(stay, sizes), np.cumsum(sizes[stay]) - sizes[stay]
+
+
 class Best:
     """The `keep` best scores of each query so far; floor is the least of them, -inf as long as there are fewer."""
 
@@ -104,6 +110,17 @@ class Late:
         flat = (every[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("near", "sims"))
         return cls(every["token"].combine_chunks(), _matrix(every["u"]), keys, vectors, cols, times, starts, total, limits, np.concatenate([[0], np.cumsum(sizes)]), *flat)
 
+    def only(self, wanted: set) -> Late:
+        """For these queries alone."""
+        keys, rows, starts = _of(wanted, self.keys, self.cols, self.starts)
+        used, cols = np.unique(self.cols[rows], return_inverse=True)
+        at = np.full(len(self.limits), -1, np.int32)
+        at[used] = np.arange(len(used))
+        near = at[self.near]
+        offsets = np.concatenate([[0], np.cumsum(near >= 0)])[self.offsets]
+        total = self.total[[k in wanted for k in self.keys]] if self.keys else self.total
+        return replace(self, keys=keys, asked=self.asked[used], cols=cols, times=self.times[rows], starts=starts, total=total, limits=self.limits[used], offsets=offsets, near=near[near >= 0], sims=self.sims[near >= 0])
+
     def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """Of a batch (doc_id, tokens), some documents at a time: ids of those with a known token, and pairs (document, known token) by document."""
         lists = batch.column(1)
@@ -202,6 +219,12 @@ class Terms:
         pairs = np.array(sorted((row[r["query"]], column[r.term]) for r in rows), np.int64).reshape(-1, 2)
         return cls(pa.array(sorted(weight), pa.string()), np.array([weight[t] for t in column]), keys, pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)), rows[0].avgdl if rows else 1.0, index.k1, index.b)
 
+    def only(self, wanted: set) -> Terms:
+        """For these queries alone."""
+        keys, rows, starts = _of(wanted, self.keys, self.cols, self.starts)
+        used, cols = np.unique(self.cols[rows], return_inverse=True)
+        return replace(self, terms=self.terms.take(pa.array(used)), idf=self.idf[used], keys=keys, cols=cols, starts=starts)
+
     def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Of a batch (doc_id, tokens), some documents at a time: their ids, and queries by documents the units of the scores, as Index.scores() adds them up; 0 without a shared term."""
         lists = batch.column(1)
@@ -314,4 +337,5 @@ def counts_before(key: StructField, docs: DataFrame, late: Late, terms: Terms, o
                     count(mine, units[q], ids)
         yield [r["query"] for r in own], [r.doc_id for r in own], [r.dense for r in own], n
 
+    late, terms = late.only({r["query"] for r in own if r.dense}), terms.only({r["query"] for r in own if not r.dense})
     return _in_tasks(key, docs, (late, terms, own), [_DENSE, _COUNT], run)
